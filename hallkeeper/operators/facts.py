@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hallkeeper.functions.columns import money
 from hallkeeper.functions.ranking import first_per_key
+from hallkeeper.functions.skew import spread_join
 from hallkeeper.tables import Tables
 
 ASSIGNABLE_ROOM = ("Available", "Occupied")
@@ -152,8 +153,6 @@ def later_counts(
     Both sides shrink to one row per key and day first, so no pairs are built:
     a group holds at most as many rows as the calendar has days.
     """
-    from pyspark.sql import Window
-
     keys = list(keys)
     days = (
         left.groupBy(*keys, F.col(left_day).alias("__day"))
@@ -164,4 +163,4 @@ def later_counts(
     )
     after = Window.partitionBy(*keys).orderBy(F.desc("__day")).rowsBetween(Window.unboundedPreceding, -1)
     totals = days.select(*keys, "__day", F.coalesce(F.sum("__n").over(after), F.lit(0)).alias(out))
-    return left.withColumn("__day", F.col(left_day)).join(totals, [*keys, "__day"], "left").drop("__day")
+    return spread_join(left.withColumn("__day", F.col(left_day)), totals, [*keys, "__day"]).drop("__day")

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hallkeeper.operators import checks
+from hallkeeper.operators import checks, facts, finance, histories, queues, snapshots, views
 from hallkeeper.sources.testdata import AS_OF, NOW, testdata_tables
 from hallkeeper.tables import Tables
 
@@ -32,5 +32,113 @@ def _check_queries() -> dict[str, Query]:
     return found
 
 
+def _fact_queries() -> dict[str, Query]:
+    names = (
+        "current_assignment", "active_per_room", "active_per_bed", "bed_counts", "paid_per_invoice",
+        "latest_inspection", "last_maintenance",
+    )
+    return {name: _over_tables(getattr(facts, name)) for name in names}
+
+
+def _finance_queries() -> dict[str, Query]:
+    return {
+        "invoice_balances": _over_tables(finance.invoice_balances),
+        "unpaid_totals": _over_tables(finance.unpaid_totals),
+        "penalty_summary": _over_tables(finance.penalty_summary),
+        "invoice_statuses": _over_tables(finance.invoice_statuses, AS_OF),
+        "view_student_financials": _over_tables(finance.student_financials),
+        "view_monthly_revenue": _over_tables(finance.monthly_revenue),
+        "view_overdue_invoices": _over_tables(finance.overdue_invoices, AS_OF),
+    }
+
+
+def _listing_queries() -> dict[str, Query]:
+    return {
+        "application_queue": _over_tables(queues.application_queue),
+        "transfer_queue": _over_tables(queues.transfer_queue),
+        "assignable_rooms": _over_tables(queues.assignable_rooms),
+        "assignable_room_counts": _over_tables(queues.assignable_room_counts),
+        "available_rooms": _over_tables(queues.available_rooms),
+        "available_room_counts": _over_tables(queues.available_room_counts),
+        "transfer_destinations": _over_tables(queues.transfer_destinations),
+        "transfer_destination_counts": _over_tables(queues.transfer_destination_counts),
+        "room_catalog": _over_tables(queues.room_catalog),
+        "available_beds": _over_tables(queues.list_available_beds),
+        "due_transfers": _over_tables(queues.due_transfers, AS_OF),
+        "active_announcements": _over_tables(queues.active_announcements, NOW),
+        "read_announcements": _over_tables(queues.read_announcements, NOW),
+        "active_notifications": _over_tables(queues.active_notifications, NOW),
+        "unread_counts": _over_tables(queues.unread_counts, NOW),
+        "open_semesters": _over_tables(queues.open_semesters, AS_OF),
+        "service_audience": _over_tables(queues.service_audience),
+        "visible_service_counts": _over_tables(queues.visible_service_counts),
+    }
+
+
+def _snapshot_queries() -> dict[str, Query]:
+    return {
+        "records_snapshot": _over_tables(snapshots.records_snapshot),
+        "dashboard_snapshot": _over_tables(snapshots.dashboard_snapshot, NOW),
+        "room_roster": _over_tables(snapshots.room_roster),
+        "roommate_counts": _over_tables(snapshots.roommate_counts),
+        "accommodation_accepted": _over_tables(snapshots.accommodation_accepted),
+        "active_portal_accounts": _over_tables(snapshots.active_portal_accounts),
+        "latest_application": _over_tables(snapshots.latest_application),
+        "student_profiles": _over_tables(snapshots.student_profiles),
+        "room_documents": _over_tables(snapshots.room_documents),
+        "request_documents": _over_tables(snapshots.request_documents),
+        "announcement_documents": _over_tables(snapshots.announcement_documents, NOW),
+        "top_announcements": _over_tables(snapshots.top_announcements, NOW),
+        "service_activity": _over_tables(snapshots.service_activity),
+        "history_payments": _over_tables(histories.payment_history),
+        "history_penalties": _over_tables(histories.penalty_history),
+        "history_incidents": _over_tables(histories.incident_history),
+        "history_leave": _over_tables(histories.leave_history),
+        "history_visitors": _over_tables(histories.visitor_history),
+        "history_transfers": _over_tables(histories.transfer_history),
+        "history_applications": _over_tables(histories.application_history),
+        "history_lost_and_found": _over_tables(histories.lost_and_found_history),
+        "history_meal_subscriptions": _over_tables(histories.meal_subscription_history),
+        "history_maintenance": _over_tables(histories.maintenance_history),
+        "history_complaints": _over_tables(histories.complaint_history),
+        "recent_meals": _over_tables(histories.recent_meals),
+        "recent_laundry": _over_tables(histories.recent_laundry),
+        "recent_access": _over_tables(histories.recent_access),
+        "recent_inspections": _over_tables(histories.recent_inspections),
+        "latest_requests": _over_tables(histories.latest_requests),
+        "maintenance_logs_nested": _over_tables(histories.maintenance_logs_nested),
+        "application_assignments_nested": _over_tables(histories.application_assignments_nested),
+        "invoice_payments_nested": _over_tables(histories.invoice_payments_nested),
+        "programs_by_faculty": _over_tables(histories.programs_by_faculty),
+    }
+
+
+def _view_queries() -> dict[str, Query]:
+    return {
+        "dashboard_kpis": _over_tables(views.dashboard_kpis),
+        "capacity": _over_tables(views.capacity),
+        "priority_queues": _over_tables(views.priority_queues, AS_OF),
+        "activity_metrics": _over_tables(views.activity_metrics, AS_OF),
+        "view_student_directory": _over_tables(views.student_directory),
+        "view_room_occupancy": _over_tables(views.room_occupancy),
+        "view_building_capacity": _over_tables(views.building_capacity),
+        "view_available_beds": _over_tables(views.available_bed_slots),
+        "view_actionable_inspections": _over_tables(views.actionable_inspections),
+        "view_active_maintenance": _over_tables(views.active_maintenance),
+        "view_expiring_contracts": _over_tables(views.expiring_contracts, AS_OF),
+        "view_active_blacklist": _over_tables(views.active_blacklist, AS_OF),
+        "view_daily_meals": _over_tables(views.daily_meals, NOW.date()),
+        "view_active_leave": _over_tables(views.active_leave, AS_OF),
+        "view_maintenance_kpis": _over_tables(views.maintenance_kpis),
+    }
+
+
 def queries() -> dict[str, Query]:
-    return {**_check_queries()}
+    return {
+        **_check_queries(),
+        **_fact_queries(),
+        **_finance_queries(),
+        **_listing_queries(),
+        **_snapshot_queries(),
+        **_view_queries(),
+    }

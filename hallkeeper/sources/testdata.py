@@ -124,10 +124,10 @@ FROM {lineitem}
 """,
     "maintenance_request": """
 SELECT event_id AS RequestID, event_id % (SELECT count(*)
-  , CASE event_id % 3 WHEN 0 THEN 'Plumbing' WHEN 1 THEN 'Electrical' END AS Category
 FROM {part}) AS RoomID, CAST(user_id AS STRING) AS ReportedByStudentID, concat('Request ', CAST(event_id AS STRING)) AS Title
   , CASE event_id % 4 WHEN 0 THEN 'Low' WHEN 1 THEN 'Medium' WHEN 2 THEN 'High' ELSE 'Critical' END AS Priority, CASE event_id % 5 WHEN 0 THEN 'Open' WHEN 1 THEN 'In Progress' WHEN 2 THEN 'Resolved' WHEN 3 THEN 'Closed' ELSE 'Cancelled' END AS Status, ts AS ReportedAt
   , CASE WHEN event_id % 5 IN (2, 3) AND event_id % 7 <> 0 THEN ts + INTERVAL 36 HOUR END AS ResolvedAt
+  , CASE event_id % 3 WHEN 0 THEN 'Plumbing' WHEN 1 THEN 'Electrical' END AS Category
 FROM {events}
 WHERE event_type = 'error'
 """,
@@ -267,7 +267,7 @@ FROM {supplier}
 """,
     "laundry_usage": """
 SELECT event_id AS UsageID, event_id % (SELECT count(*)
-FROM {supplier}) AS LaundryID, CAST(user_id AS STRING) AS StudentID, ts AS UsageDate, CAST(value AS INT) AS Duration
+FROM {supplier}) AS LaundryID, CAST(user_id AS STRING) AS StudentID, ts AS UsageDate, CAST(floor(value) AS INT) AS Duration
 FROM {events}
 WHERE event_type = 'view'
 """,

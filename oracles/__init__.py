@@ -24,9 +24,9 @@ def with_projections(body: str) -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    from oracles import checks
+    from oracles import checks, finance, listings, snapshots, views
 
     bodies: dict[str, str] = {}
-    for module in (checks,):
+    for module in (checks, finance, listings, snapshots, views):
         bodies.update(module.oracles())
     return {name: with_projections(body) for name, body in bodies.items()}
