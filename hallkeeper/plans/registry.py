@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hallkeeper.operators import checks, facts, finance, histories, queues, snapshots, views
+from hallkeeper.operators import checks, facts, finance, histories, queues, repairs, snapshots, views
+from hallkeeper.operators.repairs import Moment
+from hallkeeper.plans import reconcile
 from hallkeeper.sources.testdata import AS_OF, NOW, testdata_tables
 from hallkeeper.tables import Tables
 
+AT = Moment(AS_OF, NOW)
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -133,6 +137,52 @@ def _view_queries() -> dict[str, Query]:
     }
 
 
+REPAIRED_CHECKS = (
+    "missing_occupancy_logs", "occupancy_mismatch", "room_status_mismatch", "bed_occupancy_mismatch",
+    "resolved_maintenance_missing_timestamp", "closed_complaints_missing_timestamp",
+    "resolved_incidents_missing_timestamp", "decisions_missing_dates", "invoice_status_mismatch",
+    "student_account_profile_mismatch", "stale_visitor_permissions", "stale_meal_subscriptions",
+    "pending_penalties_past_due", "building_maintenance_rollup_mismatch", "assignment_checkout_before_checkin",
+    "transfer_move_before_source_checkin",
+)
+"""Checks whose violations the pipelines remove."""
+
+
+def _repair_queries() -> dict[str, Query]:
+    def housing_step(t: Tables, step: str) -> DataFrame:
+        """One step of the housing pipeline, on the state the steps before it leave."""
+        before = []
+        for repair in repairs.HOUSING:
+            if repair.step == step:
+                break
+            before.append(repair)
+        if before:
+            t, _ = repairs.run_steps(t, before, AT)
+        return repairs.step_changes(t, repairs.HOUSING, step, AT)
+
+    def after_housing(t: Tables, table: str) -> DataFrame:
+        return reconcile.reconcile_housing(t, AT).tables[table]
+
+    def fills(t: Tables) -> DataFrame:
+        recounted, _ = repairs.run_steps(t, repairs.HOUSING[:3], AT)
+        return repairs.bed_fills(recounted)
+
+    def checked_after(t: Tables) -> DataFrame:
+        repaired = reconcile.reconcile_after(t, {"room_assignment", "invoice"}, AT)
+        return checks.integrity_snapshot(repaired, AS_OF, REPAIRED_CHECKS)
+
+    found = {f"repair_{r.step}": _over_tables(housing_step, r.step) for r in repairs.HOUSING}
+    for repair in repairs.OPERATIONAL:
+        found[f"repair_{repair.step}"] = _over_tables(repairs.step_changes, repairs.OPERATIONAL, repair.step, AT)
+    for table in ("occupancy_log", "bed_slot", "room_assignment", "room"):
+        found[f"reconciled_{table}"] = _over_tables(after_housing, table)
+    found["bed_fills"] = _over_tables(fills)
+    found["reconcile_housing_counts"] = _over_tables(reconcile.housing_counts, AT)
+    found["reconcile_operational_counts"] = _over_tables(reconcile.operational_counts, AT)
+    found["integrity_after_repairs"] = _over_tables(checked_after)
+    return found
+
+
 def queries() -> dict[str, Query]:
     return {
         **_check_queries(),
@@ -141,4 +191,5 @@ def queries() -> dict[str, Query]:
         **_listing_queries(),
         **_snapshot_queries(),
         **_view_queries(),
+        **_repair_queries(),
     }

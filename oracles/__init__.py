@@ -18,15 +18,17 @@ def with_projections(body: str) -> str:
     used = [name for name in PROJECTIONS if re.search(rf"\b{name}\b", body)]
     ctes = ",\n".join(f"{name} AS ({PROJECTIONS[name].format(**ORACLE_WORDS)})" for name in used)
     body = body.strip()
+    if not used:
+        return body
     if body.upper().startswith("WITH "):
         return f"WITH {ctes},\n{body[5:]}"
     return f"WITH {ctes}\n{body}"
 
 
 def oracle_sql() -> dict[str, str]:
-    from oracles import checks, finance, listings, snapshots, views
+    from oracles import checks, finance, listings, repairs, snapshots, views
 
     bodies: dict[str, str] = {}
-    for module in (checks, finance, listings, snapshots, views):
+    for module in (checks, finance, listings, repairs, snapshots, views):
         bodies.update(module.oracles())
     return {name: with_projections(body) for name, body in bodies.items()}
