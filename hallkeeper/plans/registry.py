@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from hallkeeper.operators import checks, facts, finance, histories, queues, repairs, snapshots, views
+from hallkeeper.operators import checks, facts, finance, histories, queues, repairs, rules, snapshots, views
 from hallkeeper.operators.repairs import Moment
 from hallkeeper.plans import reconcile
 from hallkeeper.sources.testdata import AS_OF, NOW, testdata_tables
@@ -183,6 +183,38 @@ def _repair_queries() -> dict[str, Query]:
     return found
 
 
+def _rule_queries() -> dict[str, Query]:
+    def raw_invoice_rules(t: Tables) -> DataFrame:
+        return rules.import_rules(t.raw_invoice, "invoice", "LineNo")
+
+    def raw_invoice_rows(t: Tables) -> DataFrame:
+        return rules.import_rows(t.raw_invoice)
+
+    def complaints_after(t: Tables) -> DataFrame:
+        return rules.apply_cancellations(t, AT).complaint
+
+    return {
+        "rules_finance_links": _over_tables(rules.finance_links),
+        "rules_transfers": _over_tables(rules.transfer_rules),
+        "rules_assignments": _over_tables(rules.assignment_rules),
+        "rules_dates": _over_tables(rules.date_rules),
+        "vocabulary_counts": _over_tables(rules.vocabulary_counts),
+        "rules_import": _over_tables(raw_invoice_rules),
+        "imported_invoices": _over_tables(raw_invoice_rows),
+        "rules_portal_registration": _over_tables(rules.portal_rules),
+        "student_role": _over_tables(rules.student_role),
+        "application_checks": _over_tables(rules.application_checks, AS_OF),
+        "transfer_request_checks": _over_tables(rules.transfer_request_checks, AS_OF),
+        "cancel_requests": _over_tables(rules.cancel_requests),
+        "complaints_after_cancelling": _over_tables(complaints_after),
+        "status_edits": _over_tables(rules.status_edits, AS_OF),
+        "announcement_marks": _over_tables(rules.announcement_marks, NOW),
+        "receipts_after_marks": _over_tables(rules.receipts_after_marks, NOW),
+        "notification_marks": _over_tables(rules.notification_marks),
+        "notifications_after_marks": _over_tables(rules.notifications_after_marks),
+    }
+
+
 def queries() -> dict[str, Query]:
     return {
         **_check_queries(),
@@ -192,4 +224,5 @@ def queries() -> dict[str, Query]:
         **_snapshot_queries(),
         **_view_queries(),
         **_repair_queries(),
+        **_rule_queries(),
     }

@@ -258,7 +258,6 @@ FROM {region}
 SELECT c_custkey AS VisitorID, 'Visitor' AS FirstName, c_name AS LastName, CASE WHEN c_custkey % 4 = 0 THEN NULL ELSE concat('V', CAST(c_custkey AS STRING)) END AS NationalID
   , true AS IsActive
 FROM {customer}
-WHERE c_custkey < 500
 """,
     "laundry": """
 SELECT s_suppkey AS LaundryID, CASE WHEN s_suppkey % 3 = 0 THEN NULL ELSE s_suppkey END AS ServiceID, CAST(s_nationkey AS INT) AS BuildingID
@@ -276,7 +275,77 @@ SELECT o_orderkey AS ItemID, concat('Item ', CAST(o_orderkey AS STRING)) AS Item
   , CASE o_orderkey % 4 WHEN 0 THEN 'Found' WHEN 1 THEN 'Claimed' WHEN 2 THEN 'Unclaimed' ELSE 'Disposed' END AS Status
   , CAST(o_orderdate AS DATE) AS ReportDate, CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE CAST(o_custkey AS STRING) END AS ReportedBy
 FROM {orders}
-WHERE o_orderkey % 9 = 4
+""",
+    # Incoming rows: what the rules and workflows are asked to accept.
+    "portal_candidate": """
+SELECT c_custkey AS CandidateID
+  , CASE c_custkey % 4 WHEN 0 THEN CAST(c_custkey AS STRING) WHEN 1 THEN concat('n', CAST(c_custkey AS STRING)) WHEN 2 THEN concat('n ', CAST(c_custkey AS STRING)) ELSE concat(' m', CAST(c_custkey AS STRING), ' ') END AS StudentID
+  , CASE WHEN c_custkey % 5 = 0 THEN concat(' S', CAST(c_custkey AS STRING), '@Example.org ') ELSE concat('n', CAST(c_custkey AS STRING), '@example.org') END AS Email
+  , 'Student' AS FirstName, CASE WHEN c_custkey % 8 = 0 THEN 'Other' ELSE c_name END AS LastName
+  , DATE '1980-01-01' + CAST(c_custkey % 3650 AS INT) AS DateOfBirth
+  , CASE WHEN c_custkey % 2 = 0 AND c_custkey % 12 <> 0 THEN 'Male' ELSE 'Female' END AS Gender
+  , CASE WHEN c_custkey % 3 = 0 THEN NULL WHEN c_custkey % 3 = 1 THEN concat('N', CAST(c_custkey AS STRING)) ELSE concat('P', CAST(c_custkey AS STRING)) END AS NationalIDOrPassport
+  , CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE CAST(c_nationkey % 5 AS INT) END AS FacultyID, CAST(c_nationkey AS INT) AS ProgramID
+FROM {customer}
+""",
+    "application_candidate": """
+SELECT o_orderkey AS CandidateID, CAST(o_custkey AS STRING) AS StudentID, CASE WHEN o_orderkey % 7 >= 5 THEN NULL ELSE CAST(1 + o_orderkey % 7 AS INT) END AS SemesterID
+  , CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE CAST(o_orderdate AS DATE) END AS StartDate
+  , CASE WHEN o_orderkey % 6 = 0 THEN NULL WHEN o_orderkey % 6 = 1 THEN CAST(o_orderdate AS DATE) - 5 ELSE CAST(o_orderdate AS DATE) + 90 END AS EndDate
+  , CAST((o_orderkey % 450) / 100.0 AS DECIMAL(4,2)) AS GPA
+FROM {orders}
+""",
+    "transfer_candidate": """
+SELECT o_orderkey AS CandidateID, CAST(o_custkey AS STRING) AS StudentID, o_orderkey % (SELECT count(*) AS n
+FROM {part}) AS ToRoomID
+FROM {orders}
+""",
+    "cancel_request": """
+SELECT 'registration' AS Entity, o_orderkey AS RowKey, CAST(CASE WHEN o_orderkey % 20 = 0 THEN o_custkey + 1 ELSE o_custkey END AS STRING) AS StudentID
+FROM {orders}
+UNION ALL SELECT 'room_transfer', o_orderkey, CAST(o_custkey AS STRING)
+FROM {orders}
+UNION ALL SELECT 'leave_permission', o_orderkey, CAST(o_custkey AS STRING)
+FROM {orders}
+UNION ALL SELECT 'visitor_permission', o_orderkey, CAST(o_custkey AS STRING)
+FROM {orders}
+UNION ALL SELECT 'lost_and_found_item', o_orderkey, CAST(o_custkey AS STRING)
+FROM {orders}
+UNION ALL SELECT 'maintenance_request', event_id, CAST(user_id AS STRING)
+FROM {events}
+UNION ALL SELECT 'complaint', event_id, CAST(user_id AS STRING)
+FROM {events}
+""",
+    "status_edit": """
+SELECT 'registration' AS Entity, o_orderkey AS RowKey, CASE o_orderkey % 3 WHEN 0 THEN 'Approved' WHEN 1 THEN 'Rejected' ELSE 'Pending' END AS NewStatus, CAST(NULL AS DATE) AS EffectiveMoveDate
+FROM {orders}
+UNION ALL SELECT 'room_transfer', o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'Approved' WHEN 1 THEN 'Completed' ELSE 'Rejected' END, CASE WHEN o_orderkey % 4 = 0 THEN NULL ELSE CAST(o_orderdate AS DATE) + 14 END
+FROM {orders}
+""",
+    "read_mark": """
+SELECT CAST(user_id AS STRING) AS StudentID, event_id % 120 AS AnnouncementID, event_id AS NotificationID
+FROM {events}
+""",
+    "visitor_intake": """
+SELECT o_orderkey AS RequestID, CAST(o_custkey AS STRING) AS StudentID, 'Guest' AS FirstName, concat('of ', CAST(o_custkey AS STRING)) AS LastName
+  , CASE WHEN o_orderkey % 5 = 0 THEN '' WHEN o_orderkey % 5 = 1 THEN NULL WHEN o_orderkey % 5 = 2 THEN concat('V', CAST(o_custkey AS STRING)) ELSE concat('X', CAST(o_orderkey % 700 AS STRING)) END AS NationalID
+  , CAST(o_orderdate AS DATE) AS StartDate, CAST(o_orderdate AS DATE) + CAST(o_orderkey % 9 AS INT) - 1 AS EndDate
+FROM {orders}
+""",
+    "raw_invoice": """
+SELECT o_orderkey AS LineNo, CASE WHEN o_orderkey % 31 = 0 THEN 'x12' WHEN o_orderkey % 37 = 0 THEN '' ELSE concat(' ', CAST(o_orderkey AS STRING)) END AS InvoiceID
+  , CASE WHEN o_orderkey % 29 = 0 THEN 'ten' ELSE CAST(CAST(o_totalprice AS DECIMAL(10,2)) AS STRING) END AS TotalAmount
+  , CASE WHEN o_orderkey % 23 = 0 THEN '1998-13-01' WHEN o_orderkey % 19 = 0 THEN '  ' ELSE CAST(CAST(o_orderdate AS DATE) AS STRING) END AS DueDate
+  , CASE WHEN o_orderkey % 17 = 0 THEN 'yesterday' ELSE concat(CAST(CAST(o_orderdate AS DATE) AS STRING), 'T08:30:00') END AS CreatedAt
+  , CASE WHEN o_orderkey % 13 = 0 THEN '1850' WHEN o_orderkey % 41 = 0 THEN 'MMXX' ELSE '1999' END AS AcademicYear
+  , CASE WHEN o_orderkey % 11 = 0 THEN 'Lost' WHEN o_orderkey % 43 = 0 THEN NULL ELSE 'Unpaid' END AS PaymentStatus
+FROM {orders}
+""",
+    "housing_decision": """
+SELECT o_orderkey AS ApplicationID, (o_orderkey * 7) % (SELECT count(*) AS n
+FROM {part}) AS RoomID, CASE WHEN o_orderkey % 4 = 0 THEN ((o_orderkey * 7) % (SELECT count(*) AS n
+FROM {part})) * 10 + 1 + o_orderkey % 3 END AS BedSlotID, CASE WHEN o_orderkey % 3 = 0 THEN CAST(o_orderdate AS DATE) + 60 END AS CheckInDate
+FROM {orders}
 """,
 }
 

@@ -26,9 +26,9 @@ def with_projections(body: str) -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    from oracles import checks, finance, listings, repairs, snapshots, views
+    from oracles import checks, finance, listings, repairs, rules, snapshots, views
 
     bodies: dict[str, str] = {}
-    for module in (checks, finance, listings, repairs, snapshots, views):
+    for module in (checks, finance, listings, repairs, rules, snapshots, views):
         bodies.update(module.oracles())
     return {name: with_projections(body) for name, body in bodies.items()}
