@@ -30,24 +30,34 @@ def hot_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return counts.filter((F.col("__n") > HOT_ROWS) & (F.col("__n") * HOT_SHARE > total)).select(*keys)
 
 
-def spread_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+def spread_join(
+    left: DataFrame,
+    right: DataFrame,
+    keys: Sequence[str],
+    how: str = "left",
+    hot_in: DataFrame | None = None,
+    hot_on: Sequence[str] | None = None,
+) -> DataFrame:
     """Join many-rowed ``left`` to ``right``, which has one row per key.
 
     Hot keys of ``left`` are cut into SPREAD slices by a hash of the row and the
     matching row of ``right`` is repeated for each slice. The hot-key list is
     broadcast: it cannot exceed HOT_SHARE rows.
+
+    ``hot_in`` names the rows to look for hot keys in when ``left`` is a join
+    result, so that it is not worked out twice; ``hot_on`` a subset of the keys.
     """
-    keys = list(keys)
-    hot = F.broadcast(hot_keys(left, keys).withColumn("__hot", F.lit(True)))
+    keys, hot_on = list(keys), list(hot_on or keys)
+    hot = F.broadcast(hot_keys(left if hot_in is None else hot_in, hot_on).withColumn("__hot", F.lit(True)))
     is_hot = F.coalesce(F.col("__hot"), F.lit(False))
     row_hash = F.xxhash64(*[F.col(c) for c in left.columns])
     sliced = (
-        left.join(hot, keys, "left")
+        left.join(hot, hot_on, "left")
         .withColumn("__slice", F.when(is_hot, F.pmod(row_hash, F.lit(SPREAD))).otherwise(0).cast("int"))
         .drop("__hot")
     )
     repeated = (
-        right.join(hot, keys, "left")
+        right.join(hot, hot_on, "left")
         .withColumn("__slice", F.explode(F.sequence(F.lit(0), F.when(is_hot, SPREAD - 1).otherwise(0))))
         .drop("__hot")
     )

@@ -92,6 +92,7 @@ def room_frame(t: Tables) -> DataFrame:
         "CurrentOccupancy",
         "TotalBeds",
         "FreeBeds",
+        "OccupiedBeds",
         "MonthlyRent",
         "DepositAmount",
     )
@@ -116,7 +117,8 @@ def transfer_rules(t: Tables, candidates: DataFrame | None = None) -> DataFrame:
         .withColumn("__lives", F.lit(True))
     )
     rooms = room_frame(t).withColumnRenamed("RoomID", "ToRoomID")
-    wide = spread_join(spread_join(rows, sources, ["StudentID", "FromRoomID"]), rooms, ["ToRoomID"])
+    wide = spread_join(rows, sources, ["StudentID", "FromRoomID"])
+    wide = spread_join(wide, rooms, ["ToRoomID"], hot_in=rows)
     pending = F.coalesce("Status", F.lit("Pending")).isin("Pending", "Approved")
     needs_source = pending | ((F.col("Status") == "Completed") & ~F.col("WasCompleted"))
     known = pending & F.col("RoomStatus").isNotNull()
@@ -141,7 +143,8 @@ def assignment_rules(t: Tables) -> DataFrame:
     per_student = rows.groupBy("StudentID").agg(F.count(F.lit(1)).alias("__mine"))
     beds = t.bed_slot.select("BedSlotID", F.col("RoomID").alias("BedRoomID"), "IsReserved")
     applicants = t.registration.select("ApplicationID", F.col("StudentID").alias("ApplicantID"))
-    wide = spread_join(spread_join(rows, per_student, ["StudentID"]), room_frame(t), ["RoomID"])
+    wide = spread_join(rows, per_student, ["StudentID"])
+    wide = spread_join(wide, room_frame(t), ["RoomID"], hot_in=rows)
     wide = wide.join(beds, "BedSlotID", "left").join(applicants, "ApplicationID", "left")
     others_seated = F.greatest(F.coalesce("CurrentOccupancy", F.lit(0)) - 1, F.lit(0))
     has_bed = F.col("BedSlotID").isNotNull()
@@ -178,20 +181,29 @@ def date_rules(t: Tables) -> DataFrame:
 
 
 def vocabulary_counts(t: Tables) -> DataFrame:
-    """(table_name, column_name, value, rows, allowed) for every closed vocabulary in use."""
+    """(table_name, column_name, value, rows, allowed) for every closed vocabulary in use.
+
+    All columns of a table are counted in one pass.
+    """
     parts = []
-    for (table, column), values in VOCABULARIES.items():
-        if table in t:
-            counted = t[table].groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("rows"))
-            parts.append(
-                counted.select(
-                    F.lit(table).alias("table_name"),
-                    F.lit(column).alias("column_name"),
-                    "value",
-                    "rows",
-                    F.coalesce(F.col("value").isin(*values), F.lit(False)).alias("allowed"),
-                )
+    for table in sorted({table for table, _ in VOCABULARIES if table in t}):
+        columns = {column: values for (owner, column), values in VOCABULARIES.items() if owner == table}
+        pairs = [F.struct(F.lit(c).alias("column_name"), F.col(c).alias("value")) for c in columns]
+        counted = t[table].select(F.inline(F.array(*pairs))).groupBy("column_name", "value").agg(
+            F.count(F.lit(1)).alias("rows")
+        )
+        allowed = F.lit(False)
+        for column, values in columns.items():
+            allowed = F.when(F.col("column_name") == column, F.col("value").isin(*values)).otherwise(allowed)
+        parts.append(
+            counted.select(
+                F.lit(table).alias("table_name"),
+                "column_name",
+                "value",
+                "rows",
+                F.coalesce(allowed, F.lit(False)).alias("allowed"),
             )
+        )
     return union_all(parts)
 
 
@@ -337,8 +349,9 @@ def application_checks(t: Tables, as_of: dt.date) -> DataFrame:
         .select("StudentID", "SemesterID", F.lit(True).alias("__running"))
         .distinct()
     )
-    wide = spread_join(t.application_candidate, barred, ["StudentID"])
-    wide = spread_join(wide.join(semesters, "SemesterID", "left"), running, ["StudentID", "SemesterID"])
+    rows = t.application_candidate
+    wide = spread_join(rows, barred, ["StudentID"]).join(semesters, "SemesterID", "left")
+    wide = spread_join(wide, running, ["StudentID", "SemesterID"], hot_in=rows)
     has_semester = F.col("SemesterID").isNotNull()
     rule = _first_broken(
         ("gpa_out_of_range", ~F.col("GPA").between(0, 4)),
@@ -365,31 +378,29 @@ def application_checks(t: Tables, as_of: dt.date) -> DataFrame:
 def transfer_request_checks(t: Tables, as_of: dt.date) -> DataFrame:
     """Transfer requests with their first broken rule (null when accepted)."""
     current = facts.current_assignment(t).select("StudentID", F.col("RoomID").alias("FromRoomID"))
-    genders = t.student.select("StudentID", "Gender")
-    choices = queues.transfer_destinations(t).select(
-        "Gender", F.col("RoomID").alias("ToRoomID"), F.lit(True).alias("__listed")
-    )
-    rooms = facts.with_bed_counts(t.room, t).select(
-        F.col("RoomID").alias("ToRoomID"),
-        (F.col("Status").isin(*ASSIGNABLE_ROOM) & (facts.available_beds() > 0)).alias("__free"),
-        has_assignable_bed().alias("__bed"),
-    )
+    people = t.student.select("StudentID", "Gender").join(current, "StudentID", "full")
+    rooms = room_frame(t).withColumnRenamed("RoomID", "ToRoomID")
     asked = (
         t.room_transfer.filter(F.col("Status").isin("Pending", "Approved"))
         .select("StudentID", "FromRoomID", "ToRoomID", F.lit(True).alias("__asked"))
         .distinct()
     )
-    wide = spread_join(t.transfer_candidate, current, ["StudentID"])
-    wide = spread_join(wide, genders, ["StudentID"])
-    wide = spread_join(wide, choices, ["Gender", "ToRoomID"])
-    wide = spread_join(wide, rooms, ["ToRoomID"])
-    wide = spread_join(wide, asked, ["StudentID", "FromRoomID", "ToRoomID"])
-    listed = F.col("__listed").isNotNull() & (F.col("ToRoomID") != F.col("FromRoomID"))
+    rows = t.transfer_candidate
+    wide = spread_join(rows, people, ["StudentID"])
+    wide = spread_join(wide, rooms, ["ToRoomID"], hot_in=rows)
+    wide = spread_join(wide, asked, ["StudentID", "FromRoomID", "ToRoomID"], hot_in=rows, hot_on=["StudentID"])
+    listed = (
+        F.col("RoomStatus").isin(*ASSIGNABLE_ROOM)
+        & (F.col("BuildingStatus") == "Active")
+        & (F.col("GenderAllowed").isin("Mixed") | (F.col("GenderAllowed") == F.col("Gender")))
+        & (F.coalesce("CurrentOccupancy", F.lit(0)) < F.col("Capacity"))
+        & has_assignable_bed()
+        & (F.col("ToRoomID") != F.col("FromRoomID"))
+    )
     rule = _first_broken(
         ("no_active_room", F.col("FromRoomID").isNull()),
-        ("not_a_destination", ~listed),
-        ("room_not_available", ~F.coalesce("__free", F.lit(False))),
-        ("no_free_bed", ~F.coalesce("__bed", F.lit(False))),
+        ("not_a_destination", ~F.coalesce(listed, F.lit(False))),
+        ("room_not_available", facts.available_beds() < 1),
         ("already_requested", F.col("__asked")),
     )
     return wide.select(

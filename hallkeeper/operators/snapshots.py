@@ -120,7 +120,7 @@ def roommate_counts(t: Tables) -> DataFrame:
     """(StudentID, RoomID, Roommates) for every student with a current room."""
     per_room = residents(t).groupBy("RoomID").agg(F.count(F.lit(1)).alias("n"))
     rooms = facts.current_assignment(t).select("StudentID", "RoomID").join(t.student, "StudentID", "left_semi")
-    return spread_join(rooms, per_room, ["RoomID"]).select(
+    return spread_join(rooms, per_room, ["RoomID"], hot_in=active(t.room_assignment)).select(
         "StudentID", "RoomID", (F.col("n") - 1).cast("bigint").alias("Roommates")
     )
 
