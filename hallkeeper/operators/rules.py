@@ -57,7 +57,7 @@ def _broken(df: DataFrame, table: str, key: str, rule: str | Column) -> DataFram
     return df.select(F.lit(table).alias("table_name"), F.col(key).cast("string").alias("row_key"), name.alias("rule"))
 
 
-def _first_broken(*rules: tuple[str, Column]) -> Column:
+def first_broken(*rules: tuple[str, Column]) -> Column:
     """Name of the first rule whose condition for failure holds; null when none does."""
     name, failed = rules[0]
     chain = F.when(failed, name)
@@ -122,7 +122,7 @@ def transfer_rules(t: Tables, candidates: DataFrame | None = None) -> DataFrame:
     pending = F.coalesce("Status", F.lit("Pending")).isin("Pending", "Approved")
     needs_source = pending | ((F.col("Status") == "Completed") & ~F.col("WasCompleted"))
     known = pending & F.col("RoomStatus").isNotNull()
-    rule = _first_broken(
+    rule = first_broken(
         ("same_room", F.col("FromRoomID") == F.col("ToRoomID")),
         ("no_active_source", F.col("__lives").isNull() & needs_source),
         ("building_not_active", known & (F.col("BuildingStatus") != "Active")),
@@ -148,7 +148,7 @@ def assignment_rules(t: Tables) -> DataFrame:
     wide = wide.join(beds, "BedSlotID", "left").join(applicants, "ApplicationID", "left")
     others_seated = F.greatest(F.coalesce("CurrentOccupancy", F.lit(0)) - 1, F.lit(0))
     has_bed = F.col("BedSlotID").isNotNull()
-    rule = _first_broken(
+    rule = first_broken(
         ("other_active_assignment", F.col("__mine") > 1),
         ("building_not_active", F.col("BuildingStatus") != "Active"),
         ("room_not_assignable", ~F.col("RoomStatus").isin(*ASSIGNABLE_ROOM)),
@@ -353,7 +353,7 @@ def application_checks(t: Tables, as_of: dt.date) -> DataFrame:
     wide = spread_join(rows, barred, ["StudentID"]).join(semesters, "SemesterID", "left")
     wide = spread_join(wide, running, ["StudentID", "SemesterID"], hot_in=rows)
     has_semester = F.col("SemesterID").isNotNull()
-    rule = _first_broken(
+    rule = first_broken(
         ("gpa_out_of_range", ~F.col("GPA").between(0, 4)),
         ("semester_not_open", has_semester & F.col("__open").isNull()),
         ("blacklisted", F.col("__barred")),
@@ -397,7 +397,7 @@ def transfer_request_checks(t: Tables, as_of: dt.date) -> DataFrame:
         & has_assignable_bed()
         & (F.col("ToRoomID") != F.col("FromRoomID"))
     )
-    rule = _first_broken(
+    rule = first_broken(
         ("no_active_room", F.col("FromRoomID").isNull()),
         ("not_a_destination", ~F.coalesce(listed, F.lit(False))),
         ("room_not_available", facts.available_beds() < 1),

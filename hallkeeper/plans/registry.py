@@ -5,11 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from hallkeeper.operators import checks, facts, finance, histories, queues, repairs, rules, snapshots, views
+from hallkeeper.functions.columns import enum_literals, shortened, status_slug, text_or
+from hallkeeper.functions.ranking import union_all
+from hallkeeper.operators import allocation, browse, changes, checks, facts, finance, histories, queues, repairs, rules, snapshots, views
 from hallkeeper.operators.repairs import Moment
 from hallkeeper.plans import reconcile
+from hallkeeper.plans.sample_changes import REPAIRED_TABLES, later_tables, sample_changes
+from hallkeeper.session import new_folder
 from hallkeeper.sources.testdata import AS_OF, NOW, testdata_tables
+from hallkeeper.streaming import notices
 from hallkeeper.tables import Tables
 
 AT = Moment(AS_OF, NOW)
@@ -215,6 +221,98 @@ def _rule_queries() -> dict[str, Query]:
     }
 
 
+def _allocation_queries() -> dict[str, Query]:
+    def reconciled(t: Tables) -> Tables:
+        """Tables with logs, bed flags and room counters set right."""
+        return reconcile.reconcile_housing(t, AT).tables
+
+    def approvals(t: Tables) -> DataFrame:
+        return allocation.approvals(reconciled(t), AT)
+
+    def moves(t: Tables) -> DataFrame:
+        return allocation.move_outcomes(t, AT)
+
+    return {
+        "approve_applications": _over_tables(approvals),
+        "complete_due_transfers": _over_tables(moves),
+        "visitor_intake_permissions": _over_tables(lambda t: allocation.visitor_intake(t, AT).permissions),
+        "visitor_intake_visitors": _over_tables(lambda t: allocation.visitor_intake(t, AT).visitors),
+        "new_account_students": _over_tables(lambda t: allocation.new_accounts(t).students),
+        "new_account_users": _over_tables(lambda t: allocation.new_accounts(t).users),
+    }
+
+
+def _browse_queries() -> dict[str, Query]:
+    def labels(t: Tables) -> DataFrame:
+        return browse.row_labels(t, "student").unionByName(browse.row_labels(t, "system_user"))
+
+    def enums(t: Tables) -> DataFrame:
+        column_type = F.concat(
+            F.lit("enum('"), "BuildingName", F.lit("','it''s "), "GenderAllowed", F.lit("')")
+        )
+        return t.building.select("BuildingID", F.array_join(enum_literals(column_type), "|").alias("enum_values"))
+
+    def texts(t: Tables) -> DataFrame:
+        return t.maintenance_request.select(
+            "RequestID",
+            shortened(F.col("Title"), 11).alias("ShortTitle"),
+            status_slug(F.col("Status")).alias("StatusSlug"),
+            text_or(F.col("Category"), "General").alias("CategoryText"),
+        )
+
+    def active_students(t: Tables) -> DataFrame:
+        return browse.row_count(t, "student", F.col("Status") == "Active")
+
+    def cascade(t: Tables) -> DataFrame:
+        return browse.cascade_keys(t, "student", t.student.filter(F.col("Status") == "Graduated"))
+
+    def closed_logs(t: Tables) -> DataFrame:
+        doomed = t.room_assignment.filter(F.col("Status") == "Cancelled")
+        return browse.logs_closed_by_delete(t, doomed, AS_OF)
+
+    return {
+        "table_scan_rooms": _over_tables(browse.scan, "room", ["RoomID", "RoomNumber", "Capacity"]),
+        "row_count_active_students": _over_tables(active_students),
+        "table_inventory": _over_tables(browse.table_inventory),
+        "search_students": _over_tables(browse.search, "student", " Customer#0000000"),
+        "matching_transfers": _over_tables(browse.matching_rows, "room_transfer", "1998"),
+        "labels_students": _over_tables(labels),
+        "labels_buildings": _over_tables(browse.row_labels, "building"),
+        "export_invoices": _over_tables(lambda t: browse.display_rows(t.invoice)),
+        "enum_literals": _over_tables(enums),
+        "status_texts": _over_tables(texts),
+        "cascade_delete_graduates": _over_tables(cascade),
+        "logs_closed_by_delete": _over_tables(closed_logs),
+    }
+
+
+def _change_queries() -> dict[str, Query]:
+    def changed_columns(t: Tables) -> DataFrame:
+        later = later_tables(t, AT)
+        parts = [changes.snapshot_changes(name, t[name], later[name]) for name in REPAIRED_TABLES]
+        differing = F.filter(F.map_keys("new"), lambda c: ~F.col("new")[c].eqNullSafe(F.col("old")[c]))
+        return union_all(parts).select("table_name", "operation", "row_key", F.array_join(differing, ",").alias("columns"))
+
+    def batch(t: Tables) -> DataFrame:
+        return changes.notifications_for(sample_changes(t, AT), t)
+
+    def streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """The same notices from a file stream, read back from the file sink."""
+        t = testdata_tables(spark, sf_dir)
+        root = new_folder(spark, "notices")
+        sample_changes(t, AT).write.parquet(f"{root}/changes")
+        stream = notices.read_changes(spark, f"{root}/changes")
+        query = notices.start_notices(stream, t, f"{root}/notices", f"{root}/progress")
+        query.awaitTermination()
+        return spark.read.parquet(f"{root}/notices")
+
+    return {
+        "changed_columns": _over_tables(changed_columns),
+        "notifications_batch": _over_tables(batch),
+        "notifications_streaming": streamed,
+    }
+
+
 def queries() -> dict[str, Query]:
     return {
         **_check_queries(),
@@ -225,4 +323,7 @@ def queries() -> dict[str, Query]:
         **_view_queries(),
         **_repair_queries(),
         **_rule_queries(),
+        **_allocation_queries(),
+        **_browse_queries(),
+        **_change_queries(),
     }

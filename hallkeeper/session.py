@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,13 +24,11 @@ def local_session(cpus: int | str = 8, app: str = "hallkeeper", memory: str = "8
     )
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the reliable checkpoint folder and read it back.
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder the cluster names in ``spark.checkpoint.dir``.
 
-    The folder is the one the cluster names in ``spark.checkpoint.dir``. Only a
-    local master may fall back to a scratch folder of its own.
+    Only a local master may fall back to a scratch folder of its own.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -38,4 +37,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
                 raise RuntimeError("spark.checkpoint.dir must name a shared folder")
             folder = tempfile.mkdtemp(prefix="run-checkpoints-", dir="/tmp")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write ``df`` to the reliable checkpoint folder and read it back."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder name on the shared storage."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
