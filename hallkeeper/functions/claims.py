@@ -40,26 +40,39 @@ class Claim:
         return f"__open_{self.name}"
 
 
-def _with_totals(rows: DataFrame, claim: Claim, order: Sequence[Column], cells: Sequence[Cell]) -> DataFrame:
-    """Add the earlier granted and earlier undecided rows per claimed thing."""
-    has_key = reduce(and_, [F.col(k).isNotNull() for k in claim.keys])
-    totals = running_totals(
-        rows.filter(has_key), claim.keys, order, cells, {claim.granted: F.col("__granted"), claim.open: F.col("__open")}
-    )
-    zero = F.lit(0).cast("bigint")
-    return totals.unionByName(rows.filter(~has_key).withColumns({claim.granted: zero, claim.open: zero}))
+def _with_totals(
+    rows: DataFrame,
+    row_id: str,
+    claims: Sequence[Claim],
+    order: Sequence[Column],
+    cells: Sequence[Cell],
+    known_rows: int,
+) -> DataFrame:
+    """Add, per claim, the earlier granted and earlier undecided rows.
+
+    Each claim is worked out from the rows themselves and joined on the row id.
+    """
+    judged = rows
+    for claim in claims:
+        has_key = reduce(and_, [F.col(k).isNotNull() for k in claim.keys])
+        values = {claim.granted: F.col("__granted"), claim.open: F.col("__open")}
+        totals = running_totals(rows.filter(has_key), claim.keys, order, cells, values, known_rows)
+        judged = judged.join(totals.select(row_id, claim.granted, claim.open), row_id, "left")
+    return judged.fillna(0, [name for c in claims for name in (c.granted, c.open)])
 
 
 def grant_in_order(
-    rows: DataFrame, order: Sequence[Column], cells: Sequence[Cell], claims: Sequence[Claim]
+    rows: DataFrame, row_id: str, order: Sequence[Column], cells: Sequence[Cell], claims: Sequence[Claim]
 ) -> DataFrame:
-    """Add ``Granted`` and, per claim, ``__granted_<name>``: how many earlier rows hold it."""
+    """Add ``Granted`` and, per claim, ``__granted_<name>``: how many earlier rows hold it.
+
+    ``rows`` should be cheap to read again (cut from its lineage).
+    """
     columns = rows.columns
+    known_rows = rows.count()
     state = rows.withColumns({"__granted": F.lit(0), "__open": F.lit(1)})
     while True:
-        judged = state
-        for claim in claims:
-            judged = _with_totals(judged, claim, order, cells)
+        judged = _with_totals(state, row_id, claims, order, cells, known_rows)
         wins = reduce(and_, [F.col(c.granted) + F.col(c.open) < c.limit for c in claims])
         loses = reduce(or_, [F.col(c.granted) >= c.limit for c in claims])
         undecided = F.col("__open") == 1
@@ -72,6 +85,5 @@ def grant_in_order(
         )
         if state.filter(F.col("__open") == 1).isEmpty():
             break
-    for claim in claims:
-        state = _with_totals(state, claim, order, cells)
-    return state.select(*columns, (F.col("__granted") == 1).alias("Granted"), *[c.granted for c in claims])
+    final = _with_totals(state, row_id, claims, order, cells, known_rows)
+    return final.select(*columns, (F.col("__granted") == 1).alias("Granted"), *[c.granted for c in claims])

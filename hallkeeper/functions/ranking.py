@@ -43,13 +43,22 @@ def running_totals(
     order: Sequence[Column],
     cells: Sequence[Cell],
     values: dict[str, Column],
+    known_rows: int | None = None,
 ) -> DataFrame:
     """Add, per key, the sum of each value over all *earlier* rows.
 
     ``order`` must be total within a key and agree with ``cells``; keys are
-    non-null. ``values`` maps output names to bigint expressions.
+    non-null. ``values`` maps output names to bigint expressions. When the
+    caller has counted the rows and all of them together fit one cell, a plain
+    window is as safe and has fewer steps.
     """
     keys = list(keys)
+    if known_rows is not None and known_rows <= ID_BLOCK:
+        window = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+        zero = F.lit(0).cast("bigint")
+        return df.select(
+            "*", *[F.coalesce(F.sum(v.cast("bigint")).over(window), zero).alias(out) for out, v in values.items()]
+        )
     cell_names = [f"__cell{i}" for i in range(len(cells))]
     value_names = {name: f"__value_{name}" for name in values}
     tagged = df.select(
@@ -107,9 +116,10 @@ def row_rank(
     order: Sequence[Column],
     cells: Sequence[Cell],
     out: str = "rn",
+    known_rows: int | None = None,
 ) -> DataFrame:
     """``row_number()`` per key, exact, with no key gathered in one task."""
-    ranked = running_totals(df, keys, order, cells, {out: F.lit(1)})
+    ranked = running_totals(df, keys, order, cells, {out: F.lit(1)}, known_rows)
     return ranked.withColumn(out, F.col(out) + 1)
 
 

@@ -37,6 +37,7 @@ def spread_join(
     how: str = "left",
     hot_in: DataFrame | None = None,
     hot_on: Sequence[str] | None = None,
+    known_rows: int | None = None,
 ) -> DataFrame:
     """Join many-rowed ``left`` to ``right``, which has one row per key.
 
@@ -46,7 +47,11 @@ def spread_join(
 
     ``hot_in`` names the rows to look for hot keys in when ``left`` is a join
     result, so that it is not worked out twice; ``hot_on`` a subset of the keys.
+    A caller that has counted the rows and found too few for a hot key gets a
+    plain join.
     """
+    if known_rows is not None and known_rows <= HOT_ROWS:
+        return left.join(right, list(keys), how)
     keys, hot_on = list(keys), list(hot_on or keys)
     hot = F.broadcast(hot_keys(left if hot_in is None else hot_in, hot_on).withColumn("__hot", F.lit(True)))
     is_hot = F.coalesce(F.col("__hot"), F.lit(False))

@@ -93,7 +93,7 @@ def approvals(t: Tables, at: Moment) -> DataFrame:
         )
     )
 
-    contenders = judged.filter(F.col("Static").isNull()).drop("Static")
+    contenders = cut_lineage(judged.filter(F.col("Static").isNull()).drop("Static"))
     order = [F.asc("__auto"), F.asc("__rank"), F.asc("Priority"), F.asc("ApplicationDate"), F.asc("ApplicationID")]
     cells = [
         Cell(F.col("__auto") * 1000000 + F.col("__rank") * 100000 + F.coalesce("Priority", F.lit(0))),
@@ -106,7 +106,7 @@ def approvals(t: Tables, at: Moment) -> DataFrame:
         Claim("room", ("RoomID",), room_limit),
         Claim("bed", ("BedSlotID",), F.lit(1)),
     ]
-    granted = cut_lineage(grant_in_order(contenders, order, cells, claims))
+    granted = cut_lineage(grant_in_order(contenders, "ApplicationID", order, cells, claims))
 
     # Beds not named by anyone granted go to the others in the same order.
     named = granted.filter(F.col("Granted") & F.col("BedSlotID").isNotNull()).select("BedSlotID")
@@ -198,22 +198,22 @@ def _occupancy(stays: DataFrame, beds: DataFrame) -> DataFrame:
     return residents.join(counted, "RoomID", "full").fillna(0, ["Residents", "TotalBeds", "FreeBeds"])
 
 
-def _ranked_open_beds(stays: DataFrame, beds: DataFrame) -> DataFrame:
+def _ranked_open_beds(stays: DataFrame, beds: DataFrame, known_beds: int) -> DataFrame:
     """(RoomID, rn, __bed): beds nobody holds, unreserved, in hand-out order."""
     used = stays.filter(F.col("BedSlotID").isNotNull()).select("BedSlotID")
     open_beds = beds.join(used, "BedSlotID", "left_anti").withColumn("IsOccupied", F.lit(False))
-    return ranked_free_beds(open_beds).withColumnRenamed("BedSlotID", "__bed")
+    return ranked_free_beds(open_beds, known_beds).withColumnRenamed("BedSlotID", "__bed")
 
 
-def _seat_waiting(stays: DataFrame, beds: DataFrame) -> DataFrame:
+def _seat_waiting(stays: DataFrame, beds: DataFrame, known_stays: int, known_beds: int) -> DataFrame:
     """Stays with free beds handed to those without one, oldest check-in first."""
     waiting = stays.filter(F.col("BedSlotID").isNull()).join(beds, "RoomID", "left_semi")
     cells = [Cell(F.col("CheckInDate")), Cell(id_block("AssignmentID"))]
     queue = row_rank(
         waiting.select("RoomID", "AssignmentID", "CheckInDate"),
-        ["RoomID"], [F.asc("CheckInDate"), F.asc("AssignmentID")], cells,
+        ["RoomID"], [F.asc("CheckInDate"), F.asc("AssignmentID")], cells, known_rows=known_stays,
     )
-    given = queue.join(_ranked_open_beds(stays, beds), ["RoomID", "rn"]).select("AssignmentID", "__bed")
+    given = queue.join(_ranked_open_beds(stays, beds, known_beds), ["RoomID", "rn"]).select("AssignmentID", "__bed")
     return (
         stays.join(given, "AssignmentID", "left")
         .withColumn("BedSlotID", F.coalesce("BedSlotID", "__bed"))
@@ -221,7 +221,7 @@ def _seat_waiting(stays: DataFrame, beds: DataFrame) -> DataFrame:
     )
 
 
-def _judged(pending: DataFrame, stays: DataFrame, beds: DataFrame, rooms: DataFrame) -> DataFrame:
+def _judged(pending: DataFrame, stays: DataFrame, beds: DataFrame, rooms: DataFrame, known_rows: int) -> DataFrame:
     """Pending transfers with source stay, destination state and first broken rule."""
     sources = first_per_key(
         stays, ["StudentID", "RoomID"], [F.desc("CheckInDate"), F.desc("AssignmentID")]
@@ -233,8 +233,9 @@ def _judged(pending: DataFrame, stays: DataFrame, beds: DataFrame, rooms: DataFr
         "ContractDuration",
     )
     state = rooms.join(_occupancy(stays, beds), "RoomID", "left").fillna(0, ["Residents", "TotalBeds", "FreeBeds"])
-    wide = spread_join(pending, sources, ["StudentID", "FromRoomID"])
-    wide = spread_join(wide, state.withColumnRenamed("RoomID", "ToRoomID"), ["ToRoomID"], hot_in=pending)
+    places = state.withColumnRenamed("RoomID", "ToRoomID")
+    wide = spread_join(pending, sources, ["StudentID", "FromRoomID"], known_rows=known_rows)
+    wide = spread_join(wide, places, ["ToRoomID"], hot_in=pending, known_rows=known_rows)
     admitted = F.col("GenderAllowed").isin("Mixed") | F.coalesce(F.col("GenderAllowed") == F.col("Gender"), F.lit(False))
     reason = rules.first_broken(
         ("no_active_source", F.col("OldAssignmentID").isNull()),
@@ -285,17 +286,20 @@ def complete_transfers(t: Tables, transfer_ids: DataFrame, at: Moment) -> Moves:
     # Stays in touched rooms, and stays elsewhere that hold one of their beds.
     inside = held.join(touched, "RoomID", "left_semi")
     outside = held.join(touched, "RoomID", "left_anti").join(beds, "BedSlotID", "left_semi")
-    stays = cut_lineage(_seat_waiting(inside.unionByName(outside.select(*inside.columns)), beds))
+    stays = cut_lineage(inside.select(*held.columns).unionByName(outside.select(*held.columns)))
+    # A move ends one stay and starts one, so this count holds for every round.
+    known_rows, known_stays, known_beds = pending.count(), stays.count(), beds.count()
+    stays = cut_lineage(_seat_waiting(stays, beds, known_stays, known_beds))
     base = t.room_assignment.select(F.coalesce(F.max("AssignmentID"), F.lit(0))).scalar()
 
     rounds: list[DataFrame] = []
     while True:
-        eligible = cut_lineage(_judged(pending, stays, beds, rooms).filter(F.col("Reason").isNull()))
+        eligible = cut_lineage(_judged(pending, stays, beds, rooms, known_rows).filter(F.col("Reason").isNull()))
         first = first_per_key(eligible, ["StudentID"], order)
         seats = F.col("Capacity") - F.col("Residents")
         room_for = F.when(F.col("TotalBeds") > 0, F.least(seats, F.col("FreeBeds"))).otherwise(seats)
-        ranked = row_rank(first, ["ToRoomID"], order, cells).filter(F.col("rn") <= room_for)
-        open_beds = _ranked_open_beds(stays, beds).withColumnRenamed("RoomID", "ToRoomID")
+        ranked = row_rank(first, ["ToRoomID"], order, cells, known_rows=known_rows).filter(F.col("rn") <= room_for)
+        open_beds = _ranked_open_beds(stays, beds, known_beds).withColumnRenamed("RoomID", "ToRoomID")
         moved = cut_lineage(
             ranked.join(open_beds, ["ToRoomID", "rn"], "left").select(
                 "TransferID", "StudentID", "FromRoomID", "ToRoomID", "OldAssignmentID",
@@ -316,10 +320,10 @@ def complete_transfers(t: Tables, transfer_ids: DataFrame, at: Moment) -> Moves:
             F.col("NewAssignmentID").alias("AssignmentID"), "StudentID", F.col("ToRoomID").alias("RoomID"), "BedSlotID",
             F.col("MoveDate").alias("CheckInDate"), "ContractDuration",
         )
-        stays = cut_lineage(_seat_waiting(left_behind.unionByName(arrived), beds))
+        stays = cut_lineage(_seat_waiting(left_behind.unionByName(arrived), beds, known_stays, known_beds))
         pending = cut_lineage(pending.join(moved, "TransferID", "left_anti"))
 
-    refused = _judged(pending, stays, beds, rooms).select("TransferID", "StudentID", "FromRoomID", "ToRoomID", "Reason")
+    refused = _judged(pending, stays, beds, rooms, known_rows).select("TransferID", "StudentID", "FromRoomID", "ToRoomID", "Reason")
     done = union_all(rounds) if rounds else moved
     return Moves(done, refused)
 
@@ -453,7 +457,7 @@ def new_accounts(t: Tables) -> Accounts:
     ]
     # Only a new student record takes its national id.
     claiming = clean.withColumn("__new_id", F.when(F.col("FileStatus").isNull(), F.col("NationalIDOrPassport")))
-    served = grant_in_order(cut_lineage(claiming), order, cells, claims).filter(F.col("Granted"))
+    served = grant_in_order(cut_lineage(claiming), "CandidateID", order, cells, claims).filter(F.col("Granted"))
     students = served.filter(F.col("FileStatus").isNull()).select(
         "StudentID", "FirstName", "LastName", "Email", "NationalIDOrPassport", "DateOfBirth", "Gender",
         "FacultyID", "ProgramID", F.lit("Clear").alias("DisciplinaryStatus"), F.lit("Active").alias("Status"),

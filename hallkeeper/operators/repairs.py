@@ -140,13 +140,12 @@ def _recount_beds(t: Tables, at: Moment) -> Repaired:
     return rewrite(frame, "bed_slot", "BedSlotID", {"IsOccupied": "updated_beds"})
 
 
-def ranked_free_beds(beds: DataFrame) -> DataFrame:
+def ranked_free_beds(beds: DataFrame, known_rows: int | None = None) -> DataFrame:
     """(RoomID, BedSlotID, rn): free beds of each room in the order they are handed out."""
     free = beds.filter(free_bed()).select("RoomID", "BedSlotID", "BedNumber")
     cells = [Cell(F.substring("BedNumber", 1, 2)), Cell(F.col("BedNumber")), Cell(id_block("BedSlotID"))]
-    return row_rank(free, ["RoomID"], [F.asc("BedNumber"), F.asc("BedSlotID")], cells).select(
-        "RoomID", "BedSlotID", "rn"
-    )
+    order = [F.asc("BedNumber"), F.asc("BedSlotID")]
+    return row_rank(free, ["RoomID"], order, cells, known_rows=known_rows).select("RoomID", "BedSlotID", "rn")
 
 
 def bed_fills(t: Tables) -> DataFrame:

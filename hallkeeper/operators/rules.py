@@ -17,6 +17,7 @@ from hallkeeper.functions.ranking import union_all
 from hallkeeper.functions.skew import spread_join
 from hallkeeper.operators import facts, queues
 from hallkeeper.operators.facts import ASSIGNABLE_ROOM, active, has_assignable_bed
+from hallkeeper.operators.repairs import Moment
 from hallkeeper.schemas import VOCABULARIES
 from hallkeeper.tables import Tables
 
@@ -426,46 +427,42 @@ CANCELLABLE: dict[str, tuple[str, str, tuple[str, ...], str | None]] = {
 }
 
 
+def _cancel_outcomes(t: Tables, entity: str) -> DataFrame:
+    key, owner, allowed, decided = CANCELLABLE[entity]
+    asked = t.cancel_request.filter(F.col("Entity") == entity)
+    rows = t[entity].select(F.col(key).alias("RowKey"), F.col(owner).alias("StudentID"), F.col("Status").alias("OldStatus"))
+    outcome = (
+        F.when(F.col("OldStatus").isNull(), "not_found")
+        .when(F.col("OldStatus").isin(*allowed), "cancelled")
+        .otherwise("status_not_cancellable")
+    )
+    return asked.join(rows, ["RowKey", "StudentID"], "left").select(
+        "Entity", "RowKey", "StudentID", "OldStatus", outcome.alias("Outcome"),
+        F.when(outcome == "cancelled", F.lit(decided).cast("string")).alias("DateColumn"),
+    )
+
+
 def cancel_requests(t: Tables) -> DataFrame:
     """Outcome of each cancel request: cancelled, not_found or status_not_cancellable."""
-    parts = []
-    for entity, (key, owner, allowed, decided) in CANCELLABLE.items():
-        asked = t.cancel_request.filter(F.col("Entity") == entity)
-        rows = t[entity].select(
-            F.col(key).alias("RowKey"), F.col(owner).alias("StudentID"), F.col("Status").alias("OldStatus")
-        )
-        outcome = (
-            F.when(F.col("OldStatus").isNull(), "not_found")
-            .when(F.col("OldStatus").isin(*allowed), "cancelled")
-            .otherwise("status_not_cancellable")
-        )
-        parts.append(
-            asked.join(rows, ["RowKey", "StudentID"], "left").select(
-                "Entity", "RowKey", "StudentID", "OldStatus", outcome.alias("Outcome"),
-                F.when(outcome == "cancelled", F.lit(decided).cast("string")).alias("DateColumn"),
-            )
-        )
-    return union_all(parts)
+    return union_all([_cancel_outcomes(t, entity) for entity in CANCELLABLE])
 
 
-def apply_cancellations(t: Tables, at) -> Tables:
-    """The tables with every accepted cancel request carried out at a moment."""
-    accepted = cancel_requests(t).filter(F.col("Outcome") == "cancelled")
-    changed = {}
-    for entity, (key, owner, allowed, decided) in CANCELLABLE.items():
-        keys = (
-            accepted.filter(F.col("Entity") == entity)
-            .select(F.col("RowKey").alias(key), F.lit(True).alias("__cancel"))
-            .distinct()
-        )
-        rows = t[entity].join(keys, key, "left")
-        hit = F.coalesce("__cancel", F.lit(False))
-        values = {"Status": F.when(hit, "Cancelled").otherwise(F.col("Status"))}
-        if decided:
-            value = at.time if decided.endswith("At") else at.date
-            values[decided] = F.when(hit, value).otherwise(F.col(decided))
-        changed[entity] = rows.select(*[values[c].alias(c) if c in values else F.col(c) for c in t[entity].columns])
-    return t.replacing(**changed)
+def apply_cancellations(t: Tables, entity: str, at: Moment) -> DataFrame:
+    """One table with its accepted cancel requests carried out at a moment."""
+    key, _, _, decided = CANCELLABLE[entity]
+    keys = (
+        _cancel_outcomes(t, entity)
+        .filter(F.col("Outcome") == "cancelled")
+        .select(F.col("RowKey").alias(key), F.lit(True).alias("__cancel"))
+        .distinct()
+    )
+    hit = F.coalesce("__cancel", F.lit(False))
+    values = {"Status": F.when(hit, "Cancelled").otherwise(F.col("Status"))}
+    if decided:
+        value = at.time if decided.endswith("At") else at.date
+        values[decided] = F.when(hit, value).otherwise(F.col(decided))
+    rows = t[entity].join(keys, key, "left")
+    return rows.select(*[values[c].alias(c) if c in values else F.col(c) for c in t[entity].columns])
 
 
 def status_edits(t: Tables, as_of: dt.date) -> DataFrame:
