@@ -73,19 +73,19 @@ def status_rank(column: str, order: Sequence[str]) -> Column:
     return rank.otherwise(len(order) + 1)
 
 
-def display_text(value: Column, data_type: str) -> Column:
-    """Shown text of a cell: null is empty, datetimes use a space."""
+def display_sql(column: str, data_type: str) -> str:
+    """SQL for the shown text of a column: datetimes use a space, booleans are 1 and 0."""
     if data_type.startswith("timestamp"):
-        whole = F.date_format(value, "yyyy-MM-dd HH:mm:ss")
-        micros = F.date_format(value, "yyyy-MM-dd HH:mm:ss.SSSSSS")
-        text = F.when(micros.endswith(".000000"), whole).otherwise(micros)
-    elif data_type == "date":
-        text = F.date_format(value, "yyyy-MM-dd")
-    elif data_type == "boolean":
-        text = F.when(value, "1").when(~value, "0")
-    else:
-        text = value.cast("string")
-    return F.coalesce(text, F.lit(""))
+        micros = f"date_format(`{column}`, 'yyyy-MM-dd HH:mm:ss.SSSSSS')"
+        return f"regexp_replace({micros}, '\\\\.000000$', '')"
+    if data_type == "boolean":
+        return f"CAST(CAST(`{column}` AS INT) AS STRING)"
+    return f"CAST(`{column}` AS STRING)"
+
+
+def display_text(column: str, data_type: str) -> Column:
+    """Shown text of a cell; null is empty."""
+    return F.expr(f"coalesce({display_sql(column, data_type)}, '')").alias(column)
 
 
 def humanized(name: Column) -> Column:

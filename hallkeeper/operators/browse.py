@@ -86,7 +86,7 @@ def row_labels(t: Tables, table: str) -> DataFrame:
     types = dict(rows.dtypes)
 
     def shown(column: str) -> Column:
-        return display_text(F.col(column), types[column])
+        return display_text(column, types[column])
 
     tried = [shown(c) for c in LABEL_COLUMNS if c in rows.columns and c != key]
     telling = F.filter(F.array(*tried) if tried else F.array().cast("array<string>"), lambda v: v != "")
@@ -98,7 +98,7 @@ def row_labels(t: Tables, table: str) -> DataFrame:
 
 def display_rows(df: DataFrame) -> DataFrame:
     """Every column as shown text: the rows a CSV export writes."""
-    return df.select(*[display_text(F.col(c), data_type).alias(c) for c, data_type in df.dtypes])
+    return df.select(*[display_text(c, data_type) for c, data_type in df.dtypes])
 
 
 def _children(table: str) -> list[tuple[str, str]]:
