@@ -20,21 +20,29 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-ID_BLOCK = 1 << 20
-"""Ids per block: unique ids put at most this many rows in one cell."""
+ID_BITS = 20
+"""Unique ids put at most 2**ID_BITS rows in one cell."""
+
+LOWEST = {
+    "date": "DATE '0001-01-01'",
+    "string": "''",
+    "bigint": "-9223372036854775808L",
+    "int": "CAST(-2147483648 AS INT)",
+}
+"""What a null cell counts as: like null, it sorts before every other value."""
 
 
 @dataclass(frozen=True)
 class Cell:
-    """An order-preserving, never-null prefix of the sort key."""
+    """An order-preserving prefix of the sort key: a date, text or integer."""
 
     value: Column
     descending: bool = False
 
 
 def id_block(column: str) -> Column:
-    """The block of ``ID_BLOCK`` consecutive ids a row falls in."""
-    return F.floor(F.col(column) / F.lit(ID_BLOCK))
+    """The block of consecutive ids a row falls in."""
+    return F.shiftright(F.col(column).cast("bigint"), ID_BITS)
 
 
 def running_totals(
@@ -53,7 +61,7 @@ def running_totals(
     window is as safe and has fewer steps.
     """
     keys = list(keys)
-    if known_rows is not None and known_rows <= ID_BLOCK:
+    if known_rows is not None and known_rows <= 1 << ID_BITS:
         window = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
         zero = F.lit(0).cast("bigint")
         return df.select(
@@ -67,6 +75,9 @@ def running_totals(
         *[expression.cast("bigint").alias(value_names[name]) for name, expression in values.items()],
     )
 
+    kinds = dict(tagged.dtypes)
+    tagged = tagged.withColumns({n: F.coalesce(F.col(n), F.expr(LOWEST[kinds[n]])) for n in cell_names})
+
     def before(partition: list[str], ordering: list[Column], column: str) -> Column:
         window = Window.partitionBy(*partition).orderBy(*ordering).rowsBetween(Window.unboundedPreceding, -1)
         return F.coalesce(F.sum(column).over(window), F.lit(0).cast("bigint"))
