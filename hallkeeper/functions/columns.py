@@ -73,19 +73,19 @@ def status_rank(column: str, order: Sequence[str]) -> Column:
     return rank.otherwise(len(order) + 1)
 
 
-def display_sql(column: str, data_type: str) -> str:
-    """SQL for the shown text of a column: datetimes use a space, booleans are 1 and 0."""
+def display_sql(reference: str, data_type: str) -> str:
+    """SQL for the shown text of a quoted column: datetimes use a space, booleans are 1 and 0."""
     if data_type.startswith("timestamp"):
-        micros = f"date_format(`{column}`, 'yyyy-MM-dd HH:mm:ss.SSSSSS')"
+        micros = f"date_format({reference}, 'yyyy-MM-dd HH:mm:ss.SSSSSS')"
         return f"regexp_replace({micros}, '\\\\.000000$', '')"
     if data_type == "boolean":
-        return f"CAST(CAST(`{column}` AS INT) AS STRING)"
-    return f"CAST(`{column}` AS STRING)"
+        return f"CAST(CAST({reference} AS INT) AS STRING)"
+    return f"CAST({reference} AS STRING)"
 
 
 def display_text(column: str, data_type: str) -> Column:
     """Shown text of a cell; null is empty."""
-    return F.expr(f"coalesce({display_sql(column, data_type)}, '')").alias(column)
+    return F.expr(f"coalesce({display_sql(f'`{column}`', data_type)}, '')").alias(column)
 
 
 def humanized(name: Column) -> Column:

@@ -13,7 +13,7 @@ from hallkeeper.operators import allocation, browse, changes, checks, facts, fin
 from hallkeeper.operators.repairs import Moment
 from hallkeeper.plans import reconcile
 from hallkeeper.plans.sample_changes import REPAIRED_TABLES, later_tables, sample_changes
-from hallkeeper.session import cut_lineage, new_folder
+from hallkeeper.session import new_folder
 from hallkeeper.sources.testdata import AS_OF, NOW, testdata_tables
 from hallkeeper.streaming import notices
 from hallkeeper.tables import Tables
@@ -294,13 +294,13 @@ def _change_queries() -> dict[str, Query]:
         return union_all(parts).select("table_name", "operation", "row_key", F.array_join(differing, ",").alias("columns"))
 
     def batch(t: Tables) -> DataFrame:
-        return changes.notifications_for(cut_lineage(sample_changes(t, AT)), t)
+        return changes.notifications_for(sample_changes(t, AT), t)
 
     def streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
         """The same notices from a file stream, read back from the file sink."""
         t = testdata_tables(spark, sf_dir)
         root = new_folder(spark, "notices")
-        sample_changes(t, AT).write.parquet(f"{root}/changes")
+        notices.write_changes(sample_changes(t, AT), f"{root}/changes")
         stream = notices.read_changes(spark, f"{root}/changes")
         query = notices.start_notices(stream, t, f"{root}/notices", f"{root}/progress")
         query.awaitTermination()
