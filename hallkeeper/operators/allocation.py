@@ -411,9 +411,12 @@ def visitor_intake(t: Tables, at: Moment) -> Intake:
         ["NationalID"],
         [F.asc("KnownID")],
     )
-    unknown = requests.filter(F.col("NationalID").isNotNull()).join(known, "NationalID", "left_anti")
-    founders = unknown.groupBy("NationalID").agg(F.min("RequestID").alias("FounderID"))
-    by_id = known.join(founders, "NationalID", "full")
+    first = (
+        requests.filter(F.col("NationalID").isNotNull())
+        .groupBy("NationalID")
+        .agg(F.min("RequestID").alias("FounderID"))
+    )
+    by_id = known.join(first.join(known, "NationalID", "left_anti"), "NationalID", "full")
     wide = spread_join(requests, by_id, ["NationalID"])
     founder = F.coalesce("FounderID", "RequestID")
     created = new_id(t.visitor, "VisitorID", founder)

@@ -252,9 +252,8 @@ def import_rows(rows: DataFrame, columns=INVOICE_IMPORT) -> DataFrame:
     return rows.select(*[typed.get(c, F.col(c)) for c in rows.columns])
 
 
-def portal_candidates(t: Tables) -> DataFrame:
-    """Registration candidates with their normalised key and any student on file."""
-    wanted = t.portal_candidate.select(
+def _normalized_candidates(t: Tables) -> DataFrame:
+    return t.portal_candidate.select(
         "CandidateID",
         F.trim("StudentID").alias("StudentID"),
         normalized_email(F.col("Email")).alias("Email"),
@@ -266,6 +265,10 @@ def portal_candidates(t: Tables) -> DataFrame:
         "FacultyID",
         "ProgramID",
     )
+
+
+def portal_candidates(t: Tables) -> DataFrame:
+    """Registration candidates with their normalised key and any student on file."""
     on_file = t.student.select(
         "StudentID",
         F.col("Status").alias("FileStatus"),
@@ -275,7 +278,7 @@ def portal_candidates(t: Tables) -> DataFrame:
         F.col("DateOfBirth").alias("FileDateOfBirth"),
         F.col("Gender").alias("FileGender"),
     )
-    return wanted.join(on_file, "StudentID", "left")
+    return _normalized_candidates(t).join(on_file, "StudentID", "left")
 
 
 def portal_rules(t: Tables) -> DataFrame:
@@ -283,20 +286,18 @@ def portal_rules(t: Tables) -> DataFrame:
     user_emails = t.system_user.select(F.lower("Email").alias("Email"), F.lit(True).alias("__used")).distinct()
     owners = t.system_user.filter(F.col("StudentID").isNotNull()).select("StudentID", F.lit(True).alias("__owns"))
     file_emails = t.student.select(F.lower("Email").alias("Email"), F.lit(True).alias("__on_file")).distinct()
+    emails = user_emails.join(file_emails, "Email", "full")
     ids = (
         t.student.filter(F.col("NationalIDOrPassport").isNotNull())
         .select("NationalIDOrPassport", F.lit(True).alias("__id_used"))
         .distinct()
     )
     programs = t.academic_program.select("ProgramID", F.col("FacultyID").alias("ProgramFacultyID"))
-    wide = (
-        portal_candidates(t)
-        .join(user_emails, "Email", "left")
-        .join(owners.distinct(), "StudentID", "left")
-        .join(file_emails, "Email", "left")
-        .join(ids, "NationalIDOrPassport", "left")
-        .join(programs, "ProgramID", "left")
-    )
+    rows = _normalized_candidates(t)
+    wide = spread_join(portal_candidates(t), emails, ["Email"], hot_in=rows)
+    wide = spread_join(wide, owners.distinct(), ["StudentID"], hot_in=rows)
+    wide = spread_join(wide, ids, ["NationalIDOrPassport"], hot_in=rows)
+    wide = wide.join(programs, "ProgramID", "left")
     known = F.col("FileStatus").isNotNull()
 
     def differs(column: str) -> Column:
@@ -471,18 +472,15 @@ def status_edits(t: Tables, as_of: dt.date) -> DataFrame:
     edits = t.status_edit.filter(F.col("Entity") == "registration")
     housed = t.room_assignment.select(F.col("ApplicationID").alias("RowKey"), F.lit(True).alias("__housed"))
     rows = t.registration.select(F.col("ApplicationID").alias("RowKey"), "Status")
-    applications = (
-        edits.join(rows, "RowKey")
-        .join(housed.filter(F.col("RowKey").isNotNull()).distinct(), "RowKey", "left")
-        .select(
-            "Entity",
-            "RowKey",
-            "NewStatus",
-            F.when(F.col("NewStatus") == F.col("Status"), "unchanged")
-            .when((F.col("NewStatus") == "Approved") & F.col("__housed").isNull(), "blocked_without_room")
-            .otherwise("update")
-            .alias("Route"),
-        )
+    housed = housed.filter(F.col("RowKey").isNotNull()).distinct()
+    applications = spread_join(edits.join(rows, "RowKey"), housed, ["RowKey"], hot_in=edits).select(
+        "Entity",
+        "RowKey",
+        "NewStatus",
+        F.when(F.col("NewStatus") == F.col("Status"), "unchanged")
+        .when((F.col("NewStatus") == "Approved") & F.col("__housed").isNull(), "blocked_without_room")
+        .otherwise("update")
+        .alias("Route"),
     )
     moves = t.status_edit.filter(F.col("Entity") == "room_transfer").join(
         t.room_transfer.select(F.col("TransferID").alias("RowKey"), "Status"), "RowKey"

@@ -177,7 +177,12 @@ def _repair_queries() -> dict[str, Query]:
         repaired = reconcile.reconcile_after(t, {"room_assignment", "invoice"}, AT)
         return checks.integrity_snapshot(repaired, AS_OF, REPAIRED_CHECKS)
 
+    def saved(t: Tables, table: str) -> DataFrame:
+        return repairs.save_time_fills(t, table, t[table], AT)
+
     found = {f"repair_{r.step}": _over_tables(housing_step, r.step) for r in repairs.HOUSING}
+    for table in ("room_assignment", "room_transfer", "maintenance_request"):
+        found[f"save_time_fills_{table}"] = _over_tables(saved, table)
     for repair in repairs.OPERATIONAL:
         found[f"repair_{repair.step}"] = _over_tables(repairs.step_changes, repairs.OPERATIONAL, repair.step, AT)
     for table in ("occupancy_log", "bed_slot", "room_assignment", "room"):

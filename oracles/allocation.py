@@ -163,6 +163,14 @@ def notices() -> str:
     return "\nUNION ALL ".join(parts)
 
 
+def accounts(body: str) -> str:
+    """Over the candidates no rule rejects; their ids and emails are all different in the test data."""
+    broken = rule_oracles()["rules_portal_registration"]
+    candidates, rules = broken.removeprefix("WITH ").split(") SELECT CandidateID, 'StudentID'", 1)
+    return f"""WITH {candidates}), broken AS (SELECT CandidateID, 'StudentID'{rules}),
+        clean AS (SELECT * FROM c WHERE CandidateID NOT IN (SELECT CandidateID FROM broken)) {body}"""
+
+
 def inventory() -> str:
     parts, position = [], 0
     for module, names in MODULES.items():
@@ -186,6 +194,16 @@ def oracles() -> dict[str, str]:
         "visitor_intake_visitors": f"""WITH {VISITORS}
             SELECT NewID AS VisitorID, FirstName, LastName, NationalID, true AS IsActive FROM served
             WHERE KnownID IS NULL AND MakerID = RequestID""",
+        "new_account_students": accounts(
+            """SELECT sid AS StudentID, FirstName, LastName, mail AS Email, NationalIDOrPassport, DateOfBirth, Gender,
+              FacultyID, ProgramID, 'Clear' AS DisciplinaryStatus, 'Active' AS Status FROM clean WHERE fs IS NULL"""
+        ),
+        "new_account_users": accounts(
+            """SELECT (SELECT max(UserID) FROM system_user) + 1 + CandidateID AS UserID,
+              (SELECT RoleID FROM role WHERE lower(RoleName) LIKE '%student%' ORDER BY
+                CASE lower(RoleName) WHEN 'student resident' THEN 1 WHEN 'student' THEN 2 ELSE 3 END, RoleID LIMIT 1)
+                AS RoleID, sid AS StudentID, mail AS Email, FirstName, LastName, 'Active' AS Status FROM clean"""
+        ),
         "table_scan_rooms": "SELECT RoomID, RoomNumber, Capacity FROM room",
         "row_count_active_students": "SELECT 'student' AS table_name, count(*) AS rows FROM student WHERE Status = 'Active'",
         "table_inventory": inventory(),

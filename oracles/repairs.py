@@ -196,6 +196,13 @@ def oracles() -> dict[str, str]:
     found["reconciled_room"] = f"""WITH {CHAIN} SELECT * EXCLUDE (c, derived, CurrentOccupancy, Status),
         CASE WHEN CurrentOccupancy IS NULL AND c = 0 THEN NULL ELSE CAST(c AS INTEGER) END AS CurrentOccupancy,
         CASE WHEN Status IN ('Available', 'Occupied') THEN derived ELSE Status END AS Status FROM counted"""
+    for table, column, statuses, value in (
+        ("room_assignment", "ActualCheckOutDate", "'Completed', 'Cancelled'", AS_OF),
+        ("room_transfer", "ApprovalDate", "'Approved', 'Rejected', 'Completed', 'Cancelled'", AS_OF),
+        ("maintenance_request", "ResolvedAt", DONE, NOW),
+    ):
+        found[f"save_time_fills_{table}"] = f"""SELECT * EXCLUDE ({column}), CASE WHEN Status IN ({statuses})
+            THEN coalesce({column}, {value}) ELSE {column} END AS {column} FROM {table}"""
     found["bed_fills"] = f"WITH {CHAIN} SELECT * FROM fills"
     found["integrity_after_repairs"] = " UNION ALL ".join(
         f"SELECT '{name}' AS check_name, CAST(0 AS BIGINT) AS violations" for name in REPAIRED_CHECKS
