@@ -137,7 +137,8 @@ def row_rank(
 def top_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int, out: str = "rn") -> DataFrame:
     """The first ``k`` rows of each key; at most k rows per key and map task are shuffled."""
     window = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn(out, F.row_number().over(window)).filter(F.col(out) <= k)
+    ranked = df.withColumn(out, F.row_number().over(window)).filter(F.col(out) <= k)
+    return ranked.withColumn(out, F.col(out).cast("bigint"))
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:

@@ -20,6 +20,8 @@ def with_projections(body: str) -> str:
     body = body.strip()
     if not used:
         return body
+    if body.startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {ctes},\n{body[15:]}"
     if body.upper().startswith("WITH "):
         return f"WITH {ctes},\n{body[5:]}"
     return f"WITH {ctes}\n{body}"

@@ -4,11 +4,70 @@ from __future__ import annotations
 
 from hallkeeper.operators.browse import delete_order
 from hallkeeper.schemas import MODULES, model_name
-from oracles.repairs import OPERATIONAL
+from oracles.repairs import CHAIN, OPERATIONAL
 from oracles.rules import oracles as rule_oracles
 
 AS_OF = "DATE '1998-06-30'"
 
+# Decisions judged on the repaired tables; the contested ones are walked one by one in order.
+APPROVALS = f"""WITH RECURSIVE {CHAIN},
+    beds AS (SELECT b.BedSlotID, b.RoomID, b.BedNumber, NOT b.IsOccupied AND NOT b.IsReserved
+        AND b.BedSlotID NOT IN (SELECT BedSlotID FROM fills) AS open FROM h3 b),
+    per_room AS (SELECT RoomID, count(*) AS total, count(*) FILTER (WHERE open) AS free FROM beds GROUP BY RoomID),
+    places AS (SELECT r.RoomID, r.Capacity, greatest(r.Capacity - CASE WHEN r.CurrentOccupancy IS NULL AND r.c = 0
+          THEN 0 ELSE r.c END, 0) AS seats, CASE WHEN r.Status IN ('Available', 'Occupied') THEN r.derived
+          ELSE r.Status END AS RoomStatus, b.Status AS BuildingStatus, b.GenderAllowed, y.BasePrice, y.SecurityDeposit,
+        coalesce(p.total, 0) AS total, coalesce(p.free, 0) AS free
+      FROM counted r JOIN building b USING (BuildingID) LEFT JOIN room_type y USING (RoomTypeID)
+      LEFT JOIN per_room p ON p.RoomID = r.RoomID),
+    judged AS (SELECT d.ApplicationID, g.StudentID, d.RoomID, d.BedSlotID,
+        coalesce(d.CheckInDate, g.StartDate, m.StartDate, {AS_OF}) AS CheckInDate, w.BasePrice AS MonthlyRent,
+        CAST(coalesce(w.SecurityDeposit, 0) AS DECIMAL(10,2)) AS DepositAmount, g.Priority, g.ApplicationDate,
+        CASE g.Status WHEN 'Pending' THEN 1 WHEN 'Waitlisted' THEN 2 ELSE 3 END AS place, w.seats, w.total, w.free,
+        CASE WHEN s.StudentID IS NULL THEN 'application_not_found' WHEN s.Status <> 'Active' THEN 'student_not_active'
+          WHEN g.Status NOT IN ('Pending', 'Waitlisted', 'Approved') THEN 'application_decided'
+          WHEN g.StudentID IN (SELECT StudentID FROM room_assignment WHERE Status = 'Active') THEN 'already_assigned'
+          WHEN w.RoomID IS NULL THEN 'room_not_found' WHEN w.BuildingStatus <> 'Active' THEN 'building_not_active'
+          WHEN w.RoomStatus NOT IN ('Available', 'Occupied') THEN 'room_not_assignable'
+          WHEN w.seats < 1 THEN 'room_full'
+          WHEN w.GenderAllowed NOT IN ('Mixed', s.Gender) THEN 'gender_not_admitted'
+          WHEN d.BedSlotID IS NOT NULL AND coalesce(k.RoomID <> d.RoomID, true) THEN 'bed_in_other_room'
+          WHEN d.BedSlotID IS NOT NULL AND NOT k.open THEN 'bed_not_available'
+          WHEN d.BedSlotID IS NULL AND w.total > 0 AND w.free < 1 THEN 'no_free_bed' END AS refusal
+      FROM housing_decision d LEFT JOIN registration g ON g.ApplicationID = d.ApplicationID
+      LEFT JOIN academic_semester m ON m.SemesterID = g.SemesterID LEFT JOIN student s ON s.StudentID = g.StudentID
+      LEFT JOIN places w ON w.RoomID = d.RoomID LEFT JOIN beds k ON k.BedSlotID = d.BedSlotID),
+    queue AS (SELECT *, row_number() OVER (ORDER BY (BedSlotID IS NULL), place, Priority, ApplicationDate, ApplicationID) AS i
+      FROM judged WHERE refusal IS NULL),
+    walk AS (
+      SELECT CAST(0 AS BIGINT) AS i, CAST([] AS VARCHAR[]) AS people, CAST([] AS BIGINT[]) AS rooms,
+        CAST([] AS BIGINT[]) AS taken, CAST('' AS VARCHAR) AS verdict
+      UNION ALL
+      SELECT i, CASE WHEN verdict = 'ok' THEN list_append(people, StudentID) ELSE people END,
+        CASE WHEN verdict = 'ok' THEN list_append(rooms, RoomID) ELSE rooms END,
+        CASE WHEN verdict = 'ok' AND BedSlotID IS NOT NULL THEN list_append(taken, BedSlotID) ELSE taken END, verdict
+      FROM (SELECT q.i, v.people, v.rooms, v.taken, q.StudentID, q.RoomID, q.BedSlotID,
+          CASE WHEN list_contains(v.people, q.StudentID) THEN 'already_assigned_in_batch'
+            WHEN len(list_filter(v.rooms, lambda x: x = q.RoomID)) >= q.seats THEN 'room_full'
+            WHEN q.BedSlotID IS NOT NULL AND list_contains(v.taken, q.BedSlotID) THEN 'bed_not_available'
+            WHEN q.BedSlotID IS NULL AND q.total > 0 AND len(list_filter(v.rooms, lambda x: x = q.RoomID)) >= q.free
+              THEN 'no_free_bed' ELSE 'ok' END AS verdict
+        FROM walk v JOIN queue q ON q.i = v.i + 1) z),
+    served AS (SELECT q.*, v.verdict FROM queue q JOIN walk v USING (i)),
+    left_over AS (SELECT RoomID, BedSlotID, row_number() OVER (PARTITION BY RoomID ORDER BY BedNumber, BedSlotID) AS n
+      FROM beds WHERE open AND BedSlotID NOT IN (
+        SELECT BedSlotID FROM served WHERE verdict = 'ok' AND BedSlotID IS NOT NULL)),
+    unbedded AS (SELECT ApplicationID, RoomID, row_number() OVER (PARTITION BY RoomID ORDER BY i) AS n
+      FROM served WHERE verdict = 'ok' AND BedSlotID IS NULL)
+    SELECT s.ApplicationID, s.StudentID, s.RoomID, nullif(s.verdict, 'ok') AS Reason,
+      CASE WHEN s.verdict = 'ok' THEN coalesce(s.BedSlotID, o.BedSlotID) END AS BedSlotID,
+      CASE WHEN s.verdict = 'ok' THEN s.CheckInDate END AS CheckInDate,
+      CASE WHEN s.verdict = 'ok' THEN s.MonthlyRent END AS MonthlyRent,
+      CASE WHEN s.verdict = 'ok' THEN s.DepositAmount END AS DepositAmount
+    FROM served s LEFT JOIN unbedded w ON w.ApplicationID = s.ApplicationID
+    LEFT JOIN left_over o ON o.RoomID = w.RoomID AND o.n = w.n
+    UNION ALL SELECT ApplicationID, StudentID, RoomID, refusal, NULL, NULL, NULL, NULL FROM judged WHERE refusal IS NOT NULL"""
+
 VISITORS = f"""
     asked AS (SELECT * EXCLUDE (NationalID), nullif(NationalID, '') AS NationalID FROM visitor_intake
               WHERE EndDate >= StartDate),
@@ -194,6 +253,7 @@ def oracles() -> dict[str, str]:
         "visitor_intake_visitors": f"""WITH {VISITORS}
             SELECT NewID AS VisitorID, FirstName, LastName, NationalID, true AS IsActive FROM served
             WHERE KnownID IS NULL AND MakerID = RequestID""",
+        "approve_applications": APPROVALS,
         "new_account_students": accounts(
             """SELECT sid AS StudentID, FirstName, LastName, mail AS Email, NationalIDOrPassport, DateOfBirth, Gender,
               FacultyID, ProgramID, 'Clear' AS DisciplinaryStatus, 'Active' AS Status FROM clean WHERE fs IS NULL"""
