@@ -222,23 +222,15 @@ def _seat_waiting(stays: DataFrame, beds: DataFrame, known_stays: int, known_bed
 
 
 def _judged(pending: DataFrame, stays: DataFrame, beds: DataFrame, rooms: DataFrame, known_rows: int) -> DataFrame:
-    """Pending transfers with source stay, destination state and first broken rule."""
-    sources = first_per_key(
-        stays, ["StudentID", "RoomID"], [F.desc("CheckInDate"), F.desc("AssignmentID")]
-    ).select(
-        "StudentID",
-        F.col("RoomID").alias("FromRoomID"),
-        F.col("AssignmentID").alias("OldAssignmentID"),
-        F.col("CheckInDate").alias("SourceCheckIn"),
-        "ContractDuration",
-    )
+    """Pending transfers with destination state and first broken rule."""
+    sources = stays.groupBy("StudentID", F.col("RoomID").alias("FromRoomID")).agg(F.count(F.lit(1)).alias("Sources"))
     state = rooms.join(_occupancy(stays, beds), "RoomID", "left").fillna(0, ["Residents", "TotalBeds", "FreeBeds"])
     places = state.withColumnRenamed("RoomID", "ToRoomID")
     wide = spread_join(pending, sources, ["StudentID", "FromRoomID"], known_rows=known_rows)
     wide = spread_join(wide, places, ["ToRoomID"], hot_in=pending, known_rows=known_rows)
     admitted = F.col("GenderAllowed").isin("Mixed") | F.coalesce(F.col("GenderAllowed") == F.col("Gender"), F.lit(False))
     reason = rules.first_broken(
-        ("no_active_source", F.col("OldAssignmentID").isNull()),
+        ("no_active_source", F.col("Sources").isNull()),
         ("room_not_found", F.col("RoomStatus").isNull()),
         ("building_not_active", F.col("BuildingStatus") != "Active"),
         ("room_not_assignable", ~F.col("RoomStatus").isin(*ASSIGNABLE_ROOM)),
@@ -249,11 +241,37 @@ def _judged(pending: DataFrame, stays: DataFrame, beds: DataFrame, rooms: DataFr
     return wide.withColumn("Reason", reason)
 
 
+def _with_sources(
+    eligible: DataFrame, stays: DataFrame, order: list[Column], cells: list[Cell], known_rows: int, known_stays: int
+) -> DataFrame:
+    """Eligible transfers with the stay each one ends.
+
+    Of a student's transfers out of one room the n-th ends the n-th latest stay
+    there; transfers beyond the stays wait.
+    """
+    place = ["StudentID", "FromRoomID"]
+    latest = row_rank(
+        stays.select(
+            "StudentID",
+            F.col("RoomID").alias("FromRoomID"),
+            F.col("AssignmentID").alias("OldAssignmentID"),
+            F.col("CheckInDate").alias("SourceCheckIn"),
+            "ContractDuration",
+        ).filter(F.col("StudentID").isNotNull()),
+        place,
+        [F.desc("SourceCheckIn"), F.desc("OldAssignmentID")],
+        [Cell(F.col("SourceCheckIn"), True), Cell(id_block("OldAssignmentID"), True)],
+        known_rows=known_stays,
+    )
+    asked = row_rank(eligible, place, order, cells, known_rows=known_rows)
+    return asked.join(latest, [*place, "rn"]).drop("rn")
+
+
 def complete_transfers(t: Tables, transfer_ids: DataFrame, at: Moment) -> Moves:
     """Move students for the given TransferID rows, in rounds.
 
-    A round judges every waiting transfer against the current state, takes the
-    first eligible one per student, and admits them per destination in order of
+    A round judges every waiting transfer against the current state, gives each
+    eligible one the stay it ends, and admits them per destination in order of
     approval date (missing first) and id while seats and beds last. Seats and
     beds left behind are free in the next round; a round that admits nobody is
     the last. Every round admits at least one transfer, so it ends.
@@ -295,7 +313,7 @@ def complete_transfers(t: Tables, transfer_ids: DataFrame, at: Moment) -> Moves:
     rounds: list[DataFrame] = []
     while True:
         eligible = cut_lineage(_judged(pending, stays, beds, rooms, known_rows).filter(F.col("Reason").isNull()))
-        first = first_per_key(eligible, ["StudentID"], order)
+        first = _with_sources(eligible, stays, order, cells, known_rows, known_stays)
         seats = F.col("Capacity") - F.col("Residents")
         room_for = F.when(F.col("TotalBeds") > 0, F.least(seats, F.col("FreeBeds"))).otherwise(seats)
         ranked = row_rank(first, ["ToRoomID"], order, cells, known_rows=known_rows).filter(F.col("rn") <= room_for)

@@ -50,11 +50,12 @@ class Repaired:
 
 @dataclass(frozen=True)
 class Repair:
-    """One named step: the table its count is taken on, and how to run it."""
+    """One named step: the table its count is taken on, how to run it, and other tables it touches."""
 
     step: str
     table: str
     run: Callable[[Tables, Moment], Repaired] = field(repr=False)
+    also: tuple[str, ...] = ()
 
 
 def _new(column: str) -> str:
@@ -304,7 +305,7 @@ HOUSING: tuple[Repair, ...] = (
     Repair("inserted_logs", "occupancy_log", _insert_logs),
     Repair("closed_logs", "occupancy_log", _close_logs),
     Repair("updated_beds", "bed_slot", _recount_beds),
-    Repair("assigned_missing_beds", "room_assignment", _fill_beds),
+    Repair("assigned_missing_beds", "room_assignment", _fill_beds, ("bed_slot",)),
     Repair("updated_rooms", "room", _recount_rooms),
 )
 """Housing steps in order. The last one logs occupancy and status separately."""
@@ -349,7 +350,7 @@ OPERATIONAL: tuple[Repair, ...] = (
     _expire("expired_meal_subscriptions", "meal_subscription", "SubscriptionID", "EndDate", "Active", "Expired"),
     _expire("overdue_penalties", "penalty", "PenaltyID", "DueDate", "Pending", "Overdue"),
     Repair("repaired_assignment_dates", "room_assignment", _fix_checkouts),
-    Repair("repaired_transfer_dates", "room_transfer", _fix_moves),
+    Repair("repaired_transfer_dates", "room_transfer", _fix_moves, ("room_assignment",)),
     Repair("invoice_statuses", "invoice", _settle_invoices),
     Repair("synced_student_accounts", "system_user", _sync_accounts),
     Repair("room_inspection_rollups", "room", _sync_inspections),

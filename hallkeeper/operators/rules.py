@@ -319,17 +319,29 @@ def portal_rules(t: Tables) -> DataFrame:
     return wide.select(F.col("CandidateID"), F.inline(F.filter(F.array(*entries), lambda e: e.isNotNull())))
 
 
+NEW_ROLE = "Student Resident"
+"""The role made when no stored role fits."""
+
+
 def student_role(t: Tables) -> DataFrame:
-    """The role new portal accounts get: the best match for a student role, one row or none."""
+    """The role new portal accounts get: the best match for a student role, else a new one."""
     name = F.lower("RoleName")
-    rank = F.when(name == "student resident", 1).when(name == "student", 2).when(name.contains("student"), 3)
-    return (
+    rank = F.when(name == NEW_ROLE.lower(), 1).when(name == "student", 2).when(name.contains("student"), 3)
+    best = (
         t.role.select("RoleID", "RoleName", rank.alias("__rank"))
         .filter(F.col("__rank").isNotNull())
         .orderBy("__rank", "RoleID")
         .limit(1)
         .drop("__rank")
     )
+    made = (
+        t.role.agg(
+            (F.coalesce(F.max("RoleID"), F.lit(0)) + 1).cast("int").alias("RoleID"), F.count(rank).alias("__fitting")
+        )
+        .filter(F.col("__fitting") == 0)
+        .select("RoleID", F.lit(NEW_ROLE).alias("RoleName"))
+    )
+    return best.unionByName(made)
 
 
 def application_checks(t: Tables, as_of: dt.date) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
-from hallkeeper.operators import repairs
+from hallkeeper.operators import allocation, repairs
 from hallkeeper.operators.repairs import Moment
 from hallkeeper.session import cut_lineage
 from hallkeeper.tables import Tables
@@ -21,6 +22,11 @@ OPERATIONAL_TRIGGERS = frozenset(
 )
 """Tables whose changes call for each pipeline."""
 
+JOINED_TABLES = frozenset(
+    {"occupancy_log", "bed_slot", "room_assignment", "room", "room_transfer", "invoice", "system_user", "building"}
+)
+"""Tables some step joins to others; the rest are rewritten row by row and cost nothing to work out again."""
+
 OPERATIONAL_COUNTS = {repair.step: repair.table for repair in repairs.OPERATIONAL}
 
 
@@ -41,7 +47,7 @@ def reconcile_housing(t: Tables, at: Moment) -> Reconciled:
 def reconcile_operational(t: Tables, at: Moment) -> Reconciled:
     """Decision dates, expiries, date fixes, invoices, accounts and rollups.
 
-    Room moves that are due are a separate step: ``allocation.complete_due``.
+    Room moves that are due come after them: ``make_due_moves``.
     """
     tables, changes = repairs.run_steps(t, repairs.OPERATIONAL, at)
     return Reconciled(tables, changes)
@@ -57,13 +63,27 @@ def pipelines_for(changed: set[str]) -> tuple[str, ...]:
     return tuple(wanted)
 
 
-def reconcile_after(t: Tables, changed: set[str], at: Moment) -> Tables:
-    """Run the pipelines the changed tables call for, cutting lineage in between."""
+def _cut(t: Tables, names: Iterable[str]) -> Tables:
+    return t.replacing(**{name: cut_lineage(t[name]) for name in sorted(names)})
+
+
+def make_due_moves(t: Tables, at: Moment) -> Tables:
+    """The last operational step: carry out due room transfers and repair housing after them."""
+    after = allocation.apply_moves(t, allocation.complete_due(t, at), at)
+    return _cut(after, {"room_transfer", "notification", "room_assignment", "occupancy_log", "bed_slot", "room"})
+
+
+def reconcile_after(t: Tables, changed: set[str], at: Moment, moves: bool = True) -> Tables:
+    """Run the pipelines the changed tables call for, cutting lineage in between.
+
+    ``moves=False`` leaves due room transfers for another run.
+    """
     for name in pipelines_for(changed):
-        run = reconcile_housing if name == "housing" else reconcile_operational
-        after = run(t, at).tables
-        touched = {r.table for r in (repairs.HOUSING if name == "housing" else repairs.OPERATIONAL)}
-        t = after.replacing(**{table: cut_lineage(after[table]) for table in sorted(touched)})
+        steps = repairs.HOUSING if name == "housing" else repairs.OPERATIONAL
+        after, _ = repairs.run_steps(t, steps, at)
+        t = _cut(after, JOINED_TABLES & {table for step in steps for table in (step.table, *step.also)})
+        if name == "operational" and moves:
+            t = make_due_moves(t, at)
     return t
 
 

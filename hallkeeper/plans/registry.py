@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hallkeeper.functions.columns import enum_literals, shortened, status_slug, text_or
+from hallkeeper.functions.columns import enum_literals, initials, shortened, status_slug, text_or
 from hallkeeper.functions.ranking import union_all
 from hallkeeper.operators import allocation, browse, changes, checks, facts, finance, histories, queues, repairs, rules, snapshots, views
 from hallkeeper.operators.repairs import Moment
@@ -174,7 +174,7 @@ def _repair_queries() -> dict[str, Query]:
         return repairs.bed_fills(recounted)
 
     def checked_after(t: Tables) -> DataFrame:
-        repaired = reconcile.reconcile_after(t, {"room_assignment", "invoice"}, AT)
+        repaired = reconcile.reconcile_after(t, {"room_assignment", "invoice"}, AT, moves=False)
         return checks.integrity_snapshot(repaired, AS_OF, REPAIRED_CHECKS)
 
     def saved(t: Tables, table: str) -> DataFrame:
@@ -257,6 +257,16 @@ def _browse_queries() -> dict[str, Query]:
         )
         return t.building.select("BuildingID", F.array_join(enum_literals(column_type), "|").alias("enum_values"))
 
+    def beds_from_sql(t: Tables) -> DataFrame:
+        """A reporting view read by name."""
+        views.available_bed_slots(t).createOrReplaceTempView("vw_AvailableBeds")
+        return t.building.sparkSession.sql(
+            "SELECT BuildingID, count(*) AS Beds FROM vw_AvailableBeds GROUP BY BuildingID"
+        )
+
+    def student_initials(t: Tables) -> DataFrame:
+        return t.student.select("StudentID", initials(F.col("FirstName"), F.col("LastName")).alias("Initials"))
+
     def texts(t: Tables) -> DataFrame:
         return t.maintenance_request.select(
             "RequestID",
@@ -286,6 +296,8 @@ def _browse_queries() -> dict[str, Query]:
         "export_invoices": _over_tables(lambda t: browse.display_rows(t.invoice)),
         "enum_literals": _over_tables(enums),
         "status_texts": _over_tables(texts),
+        "student_initials": _over_tables(student_initials),
+        "view_scan_available_beds": _over_tables(beds_from_sql),
         "cascade_delete_graduates": _over_tables(cascade),
         "logs_closed_by_delete": _over_tables(closed_logs),
     }

@@ -40,12 +40,18 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the reliable checkpoint folder and read it back."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def new_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder name on the shared storage."""
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write ``df`` to a table in the shared folder and read it back.
+
+    Unlike ``checkpoint``, which carries over the plan's size estimates (they
+    multiply with every join and explode over many rounds), the written table
+    has the sizes of its files.
+    """
+    folder = new_folder(df.sparkSession, "cut")
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)

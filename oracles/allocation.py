@@ -291,6 +291,10 @@ def oracles() -> dict[str, str]:
         "status_texts": """SELECT RequestID, CASE WHEN length(Title) > 11 THEN substring(Title, 1, 10) || '…' ELSE Title END
               AS ShortTitle, replace(lower(Status), ' ', '-') AS StatusSlug, coalesce(Category, 'General') AS CategoryText
             FROM maintenance_request""",
+        "student_initials": "SELECT StudentID, upper(left(FirstName, 1) || left(LastName, 1)) AS Initials FROM student",
+        "view_scan_available_beds": """SELECT r.BuildingID, count(*) AS Beds FROM bed_slot d JOIN room r USING (RoomID)
+            JOIN building b USING (BuildingID) WHERE NOT d.IsOccupied AND NOT d.IsReserved
+              AND r.Status IN ('Available', 'Occupied') AND b.Status = 'Active' GROUP BY r.BuildingID""",
         "cascade_delete_graduates": f"WITH {GONE} "
         + " UNION ALL ".join(
             f"SELECT {i} AS position, '{name}' AS table_name, CAST({GONE_KEYS[name][1]} AS VARCHAR) AS row_key "

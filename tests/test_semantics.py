@@ -244,6 +244,14 @@ def test_pair_counts_without_pairs(table):
     assert {r.row_key: r.violations for r in rows} == {"-1": 4, "1": 2}
 
 
+def test_a_student_role_is_made_when_none_fits(table):
+    role = "RoleID int, RoleName string"
+    staff = Tables(dict(role=table(role, dict(RoleID=4, RoleName="Staff"))))
+    assert [tuple(r) for r in rules.student_role(staff).collect()] == [(5, "Student Resident")]
+    some = Tables(dict(role=table(role, dict(RoleID=1, RoleName="Ex-student"), dict(RoleID=9, RoleName="STUDENT"))))
+    assert [tuple(r) for r in rules.student_role(some).collect()] == [(9, "STUDENT")]
+
+
 def test_labels_and_names(table):
     t = Tables(
         dict(
