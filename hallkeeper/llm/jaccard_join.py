@@ -69,7 +69,12 @@ def _shape(band: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _segments(doc: np.ndarray, value: np.ndarray, bounds: np.ndarray, band: np.ndarray):
-    """Each shingle's segment in the index of its document's ``band``, and per segment the document, count and sum."""
+    """Shingles' segments in the index of their document's ``band``, and per segment the document, count and sum.
+
+    Documents of band 0 are left out.
+    """
+    use = band[doc] > 0
+    doc, value = doc[use], value[use]
     need, m, d = _shape(band)
     m = np.where(band > 0, m, 0)
     base = np.zeros(len(m) + 1, np.int64)
@@ -85,7 +90,7 @@ def _segments(doc: np.ndarray, value: np.ndarray, bounds: np.ndarray, band: np.n
     twice = number < d[owner]
     weight = np.where(twice, np.minimum(count, 2), np.minimum(count, 1))
     slack = np.bincount(owner, weights=weight, minlength=len(m)).astype(np.int64) - need
-    return seg, at, mixed, count, total, owner, number, twice, slack
+    return doc, seg, at, mixed, count, total, owner, number, twice, slack
 
 
 def _sets(batch: pa.RecordBatch):
@@ -145,18 +150,17 @@ def _pack(buckets: int):
             own = np.where(once, _band(size), 0)
             table_ids, table_slack, sig, flags, at_doc = [], [], [], [], []
             for role, band in enumerate((own, np.maximum(own - 1, 0))):
-                seg, at, mixed, count, total, owner, number, twice, slack = _segments(doc, value, bounds, band)
+                of, seg, at, mixed, count, total, owner, number, twice, slack = _segments(doc, value, bounds, band)
                 place = (band[owner].astype(np.uint64) << _U(40)) + number.astype(np.uint64)
                 some = np.flatnonzero(count > 0)
                 sig.append(W.mix(total[some] + W.mix(place[some])))
                 flags.append((2 * (twice[some] & (count[some] > 1)) + 4 * role).astype(np.uint8))
                 at_doc.append(owner[some] + role * len(ids))
-                ok = band[doc] > 0
-                gone = np.flatnonzero(ok & (seg < _shape(band)[2][doc]))
+                gone = np.flatnonzero(seg < _shape(band)[2][of])
                 gone = gone[count[at[gone]] > 1]
                 sig.append(W.mix(total[at[gone]] - mixed[gone] + W.mix(place[at[gone]])))
                 flags.append(np.full(len(gone), 1 + 2 + 4 * role, np.uint8))
-                at_doc.append(doc[gone] + role * len(ids))
+                at_doc.append(of[gone] + role * len(ids))
                 table_ids.append(ids)
                 table_slack.append(np.maximum(slack, 0).astype(np.int32))
             sig, flags, at_doc = np.concatenate(sig), np.concatenate(flags), np.concatenate(at_doc)
