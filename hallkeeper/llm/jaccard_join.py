@@ -32,10 +32,10 @@ from hallkeeper.llm.graph import components
 from hallkeeper.llm.shipping import ship
 from hallkeeper.session import cut_lineage
 
-BUCKET_SIGNATURES = 1_000_000
+BUCKET_SIGNATURES = 500_000
 """Signatures a bucket holds on average; the number of buckets grows with the input."""
 
-HELD_SIGNATURES = 4_000_000
+HELD_SIGNATURES = 2_000_000
 """Signatures a task holds before it passes those of large groups on."""
 
 HOT_GROUP = 20_000

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 """Text handled at once; a longer document is a chunk of its own."""
 
 CHUNK_ROWS = 30_000
