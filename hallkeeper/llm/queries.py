@@ -26,6 +26,14 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hallkeeper.llm.quality import quality
+
+    return quality(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance"
+    )
+
+
 def op7_bpe_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from hallkeeper.llm.bpe import encode_texts
 

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from hallkeeper.llm import words as W
 from hallkeeper.llm.shipping import ship
 
-PACK_BYTES = 32 << 20
+PACK_BYTES = 16 << 20
 """Text whose frequencies are packed together."""
 
 PACK_DOCS = 60_000
@@ -88,6 +88,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, doc, times = (np.concatenate(x) for x in zip(*held, strict=True)) if held else (np.zeros(0, np.uint64),) * 3
         order = np.argsort(key, kind="stable")
         key, doc, times = key[order], doc[order], times[order]
+        times = times.astype(np.int64)
         parts = (times + 254) // 255
         times, last = times - 255 * (parts - 1), np.cumsum(parts) - 1
         key, doc = np.repeat(key, parts), np.repeat(doc, parts)
@@ -137,7 +138,7 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for k, a, b in zip(key[cuts].tolist(), start[cuts].tolist(), end[cuts].tolist(), strict=True):
                 if k not in strings:
                     strings[k] = raw[a:b]
-            held.append((key, doc + n_docs, times))
+            held.append((key, (doc + n_docs).astype(np.uint16), times.astype(np.uint32)))
         length = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
         names.append((batch.column("doc_id").cast(pa.int64()), length.astype(np.int64)))
         n_docs += batch.num_rows
