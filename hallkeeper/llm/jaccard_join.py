@@ -220,7 +220,7 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     A group of more than HOT_GROUP members isn't held: its rows pass through as they come.
     """
     held: list[tuple] = []
-    n = 0
+    n, limit = 0, HELD_SIGNATURES
     hot_keys, hot_leads = np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
     def grouped(parts):
@@ -260,7 +260,7 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield out
             held.append(part)
             n += len(part[0])
-            if n > HELD_SIGNATURES:
+            if n > limit:
                 key, ids, slack, flags = (np.concatenate(x) for x in zip(*held, strict=True))
                 order = np.lexsort((ids, key))
                 key, ids, slack, flags = key[order], ids[order], slack[order], flags[order]
@@ -274,6 +274,7 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if out is not None:
                     yield out
                 held, n = [part], len(part[0])
+                limit = max(HELD_SIGNATURES, 2 * n)
     if not n:
         return
     key, ids, slack, flags = grouped(held)
@@ -291,7 +292,9 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _members(texts: DataFrame, total_shingles: int) -> DataFrame:
     buckets = max(1, -(-total_shingles // BUCKET_SIGNATURES))
     packed = texts.select("text").mapInArrow(_pack(buckets), _PACKED)
-    return cut_lineage(packed.repartition(buckets, "bucket").mapInArrow(_groups, _MEMBERS))
+    return cut_lineage(
+        packed.repartitionById(buckets, F.col("bucket").cast("int")).mapInArrow(_groups, _MEMBERS)
+    )
 
 
 def _close_parity(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
