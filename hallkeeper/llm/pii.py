@@ -12,6 +12,7 @@ span of its kind.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -55,14 +56,12 @@ RATE = 0.3
 PRECISION = 0.99
 """Share of the selected held-out candidates that must be right."""
 
-LEAST_ADDED = 50
+LEAST_ADDED = 20
 """Held-out candidates above a threshold for it to count as calibrated."""
 
 
 def _matches(text: Column, pattern: str) -> Column:
     """Leftmost non-overlapping matches as (start, end, value, before, after); code points, end exclusive."""
-    gaps, values = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    parts = F.arrays_zip(gaps.alias("gap"), values.alias("value"))
     element = "struct<start:int,end:int,value:string,before:string,after:string>"
     zero = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{element}>").alias("out"))
 
@@ -71,19 +70,23 @@ def _matches(text: Column, pattern: str) -> Column:
         end = start + F.char_length(F.coalesce(p["value"], F.lit("")))
         one = F.struct(
             start.alias("start"), end.alias("end"), p["value"].alias("value"),
-            F.lower(F.substring(p["gap"], -24, 24)).alias("before"), F.lit("").alias("after"),
+            F.lower(F.substring(p["gap"], -24, 24)).alias("before"),
+            F.substring(F.coalesce(p["next"], F.lit("")), 1, 1).alias("after"),
         )
         out = F.when(p["value"].isNull(), a["out"]).otherwise(F.array_append(a["out"], one))
         return F.struct(end.alias("at"), out.alias("out"))
 
-    found = F.aggregate(parts, zero, step, lambda a: a["out"])
-    return F.transform(
-        found,
-        lambda m, i: F.struct(
-            m["start"].alias("start"), m["end"].alias("end"), m["value"].alias("value"), m["before"].alias("before"),
-            F.substring(F.element_at(gaps, i + 2), 1, 1).alias("after"),
-        ),
-    )
+    def placed(s: Column) -> Column:
+        parts = F.arrays_zip(
+            s["gaps"].alias("gap"), s["values"].alias("value"), F.slice(s["gaps"], 2, F.size(s["gaps"])).alias("next")
+        )
+        return F.aggregate(parts, zero, step, lambda a: a["out"])
+
+    # The array of one element binds the two lists, so that the patterns run once each.
+    once = F.array(
+        F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("values"))
+    )
+    return F.transform(once, placed)[0]
 
 
 def _none() -> Column:
@@ -99,7 +102,7 @@ def _valid(kind: str, value: Column) -> Column:
     if kind == "ip":
         return value.rlike(rf"^{_PART}(?:\.{_PART}){{3}}$")
     if kind == "card":
-        return n.between(13, 19) & F.luhn_check(_digits(value))
+        return n.between(13, 19) & F.call_function("luhn_check", _digits(value))
     return n.between(9, 15) if kind == "phone" else F.lit(True)
 
 
@@ -123,7 +126,7 @@ def _features(kind: str, m: Column) -> dict[str, Column]:
     check = {
         "email": value.rlike(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}$"),
         "ip": value.rlike(rf"^{_PART}(?:\.{_PART}){{3}}$"),
-        "card": F.luhn_check(digits),
+        "card": F.call_function("luhn_check", digits),
         "phone": value.rlike(r"^\+?[0-9]{1,3}?[\x20.-]?\(?[0-9]{2,4}\)?[\x20.-]"),
     }[kind]
     char = lambda c: F.when(c.rlike(r"^\s*$"), 0).when(c.rlike(r"[\p{L}\p{N}]"), 1).otherwise(2)
@@ -245,29 +248,38 @@ def _overlaps(a: Column, b: Column) -> Column:
     return (a["start"] < b["end"]) & (b["start"] < a["end"])
 
 
+def _named(first: Column, *fields: str) -> Callable[[Column], Column]:
+    """Makes a struct of ``first`` and the fields of an array's element."""
+    return lambda c: F.struct(first, *[c[f].alias(f) for f in fields])
+
+
+def _selected(model: Model) -> Callable[[Column], Column]:
+    """Tells whether a candidate is to be added to the column ``base``."""
+
+    def test(c: Column) -> Column:
+        return (_score(model, c) >= model.threshold) & ~F.exists(F.col("base"), lambda b: _overlaps(b, c))
+
+    return test
+
+
 def fit(docs: DataFrame) -> dict[str, Model]:
     """A model per kind, fitted to all candidates of the corpus; documents in five are held out by their text's hash."""
     text = F.coalesce(F.col("text"), F.lit(""))
     source = docs.select(text.alias("text"), (F.pmod(F.xxhash64(text), F.lit(5)) == 0).alias("held"))
     source = source.filter(source.text.rlike("[0-9@]") | _worth(source.text, "email"))
-    labelled = source.select(
-        "held",
-        F.explode(
-            F.concat(
-                *[
-                    F.transform(
-                        candidate_spans(F.col("text"), kind),
-                        lambda c, kind=kind: F.struct(
-                            F.lit(kind).alias("kind"),
-                            *[c[f].alias(f) for f in FEATURES],
-                            F.exists(base_spans(F.col("text"), kind), lambda b, c=c: _overlaps(b, c)).alias("right"),
-                        ),
-                    )
-                    for kind in KINDS
-                ]
-            )
-        ).alias("c"),
-    ).select("held", "c.*")
+    candidates = F.concat(
+        *[
+            F.transform(candidate_spans(F.col("text"), kind), _named(F.lit(kind).alias("kind"), "start", "end", *FEATURES))
+            for kind in KINDS
+        ]
+    )
+    spans = [base_spans(F.col("text"), kind).alias(f"base_{kind}") for kind in KINDS]
+    labelled = source.select("held", *spans, F.explode(candidates).alias("c"))
+    right = F.lit(False)
+    for kind in KINDS:
+        met = F.exists(f"base_{kind}", lambda b: _overlaps(b, F.col("c")))
+        right = F.when(F.col("c.kind") == kind, met).otherwise(right)
+    labelled = labelled.select("held", "c.*", right.alias("right"))
     held, right = F.col("held").cast("long"), F.col("right").cast("long")
     counts = labelled.groupBy("kind", *FEATURES).agg(
         F.sum(1 - held).alias("fit_n"), F.sum((1 - held) * right).alias("fit_pos"),
@@ -284,7 +296,7 @@ def with_spans(docs: DataFrame, models: dict[str, Model]) -> DataFrame:
         out = out.withColumn(f"__{kind}", base_spans(F.col("__text"), kind))
     base = F.concat(
         *[
-            F.transform(F.col(f"__{kind}"), lambda m, k=k: F.struct(F.lit(k).alias("rank"), m["start"].alias("start"), m["end"].alias("end")))
+            F.transform(F.col(f"__{kind}"), _named(F.lit(k).alias("rank"), "start", "end"))
             for k, kind in enumerate(KINDS)
         ]
     )
@@ -293,12 +305,8 @@ def with_spans(docs: DataFrame, models: dict[str, Model]) -> DataFrame:
     for k, kind in enumerate(KINDS):
         if math.isinf(models[kind].threshold):
             continue
-        chosen = F.filter(
-            candidate_spans(F.col("__text"), kind),
-            lambda c, kind=kind: (_score(models[kind], c) >= models[kind].threshold)
-            & ~F.exists(F.col("base"), lambda b, c=c: _overlaps(b, c)),
-        )
-        added.append(F.transform(chosen, lambda c, k=k: F.struct(F.lit(k).alias("rank"), c["start"].alias("start"), c["end"].alias("end"))))
+        chosen = F.filter(candidate_spans(F.col("__text"), kind), _selected(models[kind]))
+        added.append(F.transform(chosen, _named(F.lit(k).alias("rank"), "start", "end")))
     spans = F.array_sort(F.concat(F.col("base"), *added)) if added else F.col("base")
     return out.withColumn("spans", spans).drop("__text", *[f"__{kind}" for kind in KINDS])
 
