@@ -12,8 +12,8 @@ lets a set skip its most frequent signatures (the cost of a signature is the siz
 reach H + 1 is joined through an exact prefix of its shingles instead.
 
 Signatures travel packed: a task sorts those of a few thousand documents by bucket and sends one row per bucket.
-Groups of equal signatures are not expanded into pairs. Every member is compared with the group's smallest member
-first; then pairs are only made between members that are not yet connected. A parity bitmap, whose bits differ in at
+Groups of equal signatures are not expanded into pairs. In a few turns every member is compared with one leader of
+its group, another one each turn; then pairs are only made between members that are not yet connected. A parity bitmap, whose bits differ in at
 most as many places as the sets do, rejects pairs without reading the sets; the rest is verified exactly.
 """
 
@@ -24,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hallkeeper.llm import words as W
@@ -41,8 +41,10 @@ HELD_SIGNATURES = 2_000_000
 HOT_GROUP = 20_000
 """Members from which a group is passed on as it comes."""
 
+TURNS = 4
+"""Turns in which the members of a signature are compared with one leader each, before pairs are made."""
+
 _U = np.uint64
-_LOW48 = _U((1 << 48) - 1)
 
 
 @functools.lru_cache(maxsize=1)
@@ -64,7 +66,7 @@ def _shape(band: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     top = _bands()[np.maximum(band, 0)]
     need = (top + top * 4 // 3) // 7 + 1
     segments = need + need // 4 + (need > 1)
-    deletions = np.minimum(segments, np.ceil(np.sqrt(segments)).astype(np.int64) + 1)
+    deletions = np.minimum(segments, np.ceil(np.sqrt(segments)).astype(np.int64) + 8)
     return need, segments, deletions
 
 
@@ -292,9 +294,7 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _members(texts: DataFrame, total_shingles: int) -> DataFrame:
     buckets = max(1, -(-total_shingles // BUCKET_SIGNATURES))
     packed = texts.select("text").mapInArrow(_pack(buckets), _PACKED)
-    return cut_lineage(
-        packed.repartitionById(buckets, F.col("bucket").cast("int")).mapInArrow(_groups, _MEMBERS)
-    )
+    return packed.repartitionById(buckets, F.col("bucket").cast("int")).mapInArrow(_groups, _MEMBERS)
 
 
 def _close_parity(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -359,15 +359,16 @@ def verified(pairs: DataFrame, texts: DataFrame, classes: DataFrame) -> DataFram
     )
 
 
-def _small_rows(lowest: int, highest: int, prefix: bool):
-    """(class_id, shingle) of sets of a size from lowest to highest; prefix: enough of them to share one."""
+def _small_rows(sizes: list[int], prefix: bool):
+    """(class_id, shingle) of sets of the given sizes; prefix: enough of them to share one with any similar set."""
+    wanted = np.array(sorted(sizes), np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in W.chunks(batches):
             doc, value, bounds = _sets(batch)
             size = np.diff(bounds)
             ids = _class_ids(value, bounds)
-            use = ((size >= lowest) & (size <= highest))[doc]
+            use = np.isin(size, wanted)[doc]
             if prefix:
                 use &= (np.arange(len(doc)) - bounds[doc]) <= (size // 4)[doc]
             yield pa.record_batch({"class_id": ids[doc[use]], "shingle": value[use].view(np.int64)})
@@ -376,18 +377,42 @@ def _small_rows(lowest: int, highest: int, prefix: bool):
 
 
 def _prefix_pairs(texts: DataFrame, rows: DataFrame) -> DataFrame | None:
-    """Candidate pairs of the sets that cannot reach the weight they need."""
-    lowest, highest = rows.filter("short").agg(F.min("n_shingles"), F.max("n_shingles")).first()
-    if lowest is None:
+    """Candidate pairs of the sets that cannot reach the weight they need: small ones, and few of them."""
+    sizes = [r[0] for r in rows.filter("short").select("n_shingles").distinct().collect()]  # a few small numbers
+    if not sizes:
         return None
+    near = {m for n in sizes for m in range(-(-3 * n // 4), 4 * n // 3 + 1)}
     schema = "class_id long, shingle long"
     short = rows.filter("short").select("class_id").distinct()
     probes = (
-        texts.select("text").mapInArrow(_small_rows(lowest, highest, True), schema)
+        texts.select("text").mapInArrow(_small_rows(sizes, True), schema)
         .distinct().join(short, "class_id", "left_semi").withColumnRenamed("class_id", "a")
     )
-    others = texts.select("text").mapInArrow(_small_rows(lowest * 3 // 4, highest * 4 // 3 + 1, False), schema).distinct()
-    return probes.join(others.withColumnRenamed("class_id", "b"), "shingle").filter("a != b").select("a", "b").distinct()
+    others = texts.select("text").mapInArrow(_small_rows(list(near), False), schema).withColumnRenamed("class_id", "b")
+    return probes.join(others, "shingle").filter("a != b").select("a", "b")
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _apart(members: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """Members of the signatures whose members aren't all connected yet, with their present roots."""
+    if roots is not None:
+        members = members.drop("root").join(roots, members.class_id == roots.node, "left")
+        members = members.withColumn("root", F.coalesce("root", "class_id")).drop("node")
+    open_sigs = members.groupBy("sig").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y")
+    return cut_lineage(members.join(open_sigs.select("sig"), "sig", "left_semi"))
+
+
+def _star_pairs(members: DataFrame, turn: int) -> DataFrame:
+    """Each member with its signature's leader of this turn, a member with a whole segment, unless connected."""
+    leads = (
+        members.filter("not deleted").groupBy("sig")
+        .agg(F.min(F.struct(F.xxhash64("class_id", F.lit(turn)).alias("h"), "class_id", "root")).alias("lead"))
+    )
+    met = members.join(leads, "sig").filter("root != lead.root")
+    return _ordered(met.select(F.col("lead.class_id").alias("a"), F.col("class_id").alias("b")))
 
 
 def jaccard_classes(docs: DataFrame) -> DataFrame:
@@ -413,52 +438,55 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
         .agg(F.first("n_shingles").alias("n_shingles"), F.first("parity").alias("parity"), F.min("row_key").alias("row_key"))
     )
     total = classes.agg(F.sum("n_shingles")).first()[0] or 0
-    members = _members(texts, total)
-
-    lead_pairs = members.filter("class_id != lead").select(F.col("lead").alias("a"), F.col("class_id").alias("b"))
-    prefix_pairs = _prefix_pairs(texts, rows)
-    if prefix_pairs is not None:
-        lead_pairs = lead_pairs.union(prefix_pairs)
-    tried = cut_lineage(lead_pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    links = verified(tried, texts, classes)
-    roots = components(links)
-
-    # Pairs between members that are still apart; a set leaves out its most frequent signatures within its slack.
-    apart = members.join(roots, members.class_id == roots.node, "left").select(
-        members["*"], F.coalesce("root", "class_id").alias("root")
-    )
-    open_sigs = apart.groupBy("sig").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y").select("sig")
-    apart = apart.join(open_sigs, "sig", "left_semi")
-    costly = Window.partitionBy("class_id", "upper").orderBy(F.desc("k"), "sig").rowsBetween(Window.unboundedPreceding, 0)
-    whole = cut_lineage(
-        apart.withColumn("spent", F.sum(F.when(~F.col("deleted"), F.col("weight")).otherwise(0)).over(costly))
-        .withColumn("probes", F.col("spent") > F.col("slack"))
-        .select("sig", "class_id", "root", "deleted", "probes")
+    # A set leaves out its most frequent signatures within its slack. With all of them inside the slack, it is
+    # similar to nothing. A deletion left out counts as its segment's second weight.
+    own = Window.partitionBy("class_id", "upper")
+    costly = own.orderBy(F.desc("k"), "sig", "deleted").rowsBetween(Window.unboundedPreceding, 0)
+    spent = F.sum(F.when(F.col("deleted"), 1).otherwise(F.col("weight")))
+    members = cut_lineage(
+        _members(texts, total)
+        .withColumn("spent", spent.over(costly))
+        .withColumn("all", spent.over(own))
+        .filter("all > slack")
+        .select("sig", "class_id", F.col("class_id").alias("root"), "deleted", (F.col("spent") > F.col("slack")).alias("probes"))
     )
+
+    tried = links = roots = None
+    for turn in range(TURNS):
+        members = _apart(members, roots)
+        pairs = _star_pairs(members, turn)
+        if turn == 0:
+            prefix_pairs = _prefix_pairs(texts, rows)
+            pairs = pairs if prefix_pairs is None else _ordered(pairs.union(prefix_pairs))
+        else:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        pairs = cut_lineage(pairs)
+        if pairs.isEmpty():
+            break
+        found = verified(pairs, texts, classes)
+        tried = pairs if tried is None else tried.union(pairs)
+        links = found if links is None else links.union(found)
+        roots = components(links)
+    if links is None:
+        return rows.select("doc_id", "row_key", "n_shingles", "class_id", _component(F.lit(None).cast("long")))
+
+    # What is still apart is compared pair by pair.
+    whole = _apart(members, roots)
     one = whole.filter("probes").select("sig", F.col("class_id").alias("a"), F.col("root").alias("ra"), F.col("deleted").alias("da"))
     two = whole.select("sig", F.col("class_id").alias("b"), F.col("root").alias("rb"), F.col("deleted").alias("db"))
-    rest = (
-        one.join(two, "sig")
-        .filter("ra != rb and not (da and db)")
-        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        .distinct()
-        .join(tried, ["a", "b"], "left_anti")
-    )
-    more = verified(rest, texts, classes)
+    rest = _ordered(one.join(two, "sig").filter("ra != rb and not (da and db)").select("a", "b"))
+    more = verified(rest.join(tried, ["a", "b"], "left_anti"), texts, classes)
     if not more.isEmpty():
         roots = components(links.union(more))
-    return (
-        rows.join(roots, rows.class_id == roots.node, "left")
-        .select(
-            "doc_id",
-            "row_key",
-            "n_shingles",
-            "class_id",
-            F.when(F.col("n_shingles") > 0, F.coalesce("root", "class_id")).alias("component"),
-        )
+    return rows.join(roots, rows.class_id == roots.node, "left").select(
+        "doc_id", "row_key", "n_shingles", "class_id", _component(F.col("root"))
     )
 
 
+def _component(root: Column) -> Column:
+    return F.when(F.col("n_shingles") > 0, F.coalesce(root, F.col("class_id"))).alias("component")
+
+
 def near_duplicate_groups(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles, class_id, component_id (smallest doc_id reachable by links)."""
     rows = cut_lineage(jaccard_classes(docs))
