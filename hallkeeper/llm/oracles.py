@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from hallkeeper.llm import licenses
+
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_license_scan": licenses.oracle()}
