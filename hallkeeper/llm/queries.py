@@ -52,6 +52,12 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_compact_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from hallkeeper.llm.compact_windows import repeated_passages
+
+    return repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def op7_bpe_coding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from hallkeeper.llm.bpe import encode_texts
 
