@@ -8,6 +8,8 @@ key, because the aggregate sits between the shuffle and the join. For that case
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
@@ -55,10 +57,12 @@ def spread_join(
     keys, hot_on = list(keys), list(hot_on or keys)
     hot = F.broadcast(hot_keys(left if hot_in is None else hot_in, hot_on).withColumn("__hot", F.lit(True)))
     is_hot = F.coalesce(F.col("__hot"), F.lit(False))
+    # Rows with a null key meet nothing wherever they go, so they needn't go to one place.
+    no_key = functools.reduce(operator.or_, [F.col(c).isNull() for c in keys])
     row_hash = F.xxhash64(*[F.col(c) for c in left.columns])
     sliced = (
         left.join(hot, hot_on, "left")
-        .withColumn("__slice", F.when(is_hot, F.pmod(row_hash, F.lit(SPREAD))).otherwise(0).cast("int"))
+        .withColumn("__slice", F.when(is_hot | no_key, F.pmod(row_hash, F.lit(SPREAD))).otherwise(0).cast("int"))
         .drop("__hot")
     )
     repeated = (

@@ -258,21 +258,19 @@ def top_announcements(t: Tables, now: dt.datetime, k: int = 3) -> DataFrame:
 
 
 def service_activity(t: Tables) -> DataFrame:
-    """How much the service page of each student lists."""
+    """How much there is for each student's service page; the page lists the first of it (``recent_*``)."""
 
-    def counted(df: DataFrame, key: str, out: str, cap: int | None = None) -> DataFrame:
-        n = F.count(F.lit(1))
-        value = n if cap is None else F.least(n, F.lit(cap))
+    def counted(df: DataFrame, key: str, out: str) -> DataFrame:
         return df.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("StudentID")).agg(
-            value.cast("bigint").alias(out)
+            F.count(F.lit(1)).alias(out)
         )
 
     parts = [
         queues.visible_service_counts(t).select("StudentID", F.col("VisibleServices").alias("Services")),
         counted(t.meal_subscription, "StudentID", "MealSubscriptions"),
-        counted(t.meal_attendance, "StudentID", "RecentMeals", 10),
-        counted(t.laundry_usage, "StudentID", "RecentLaundry", 10),
-        counted(t.access_log, "StudentID", "RecentAccess", 10),
+        counted(t.meal_attendance, "StudentID", "RecentMeals"),
+        counted(t.laundry_usage, "StudentID", "RecentLaundry"),
+        counted(t.access_log, "StudentID", "RecentAccess"),
         counted(t.lost_and_found_item, "ReportedBy", "LostAndFound"),
     ]
     wide = t.student.select("StudentID")

@@ -147,12 +147,13 @@ SELECT doc_id AS AnnouncementID, concat(lang, ' ', source) AS Title, {ts} '2024-
   , CASE WHEN doc_id % 4 = 0 THEN NULL ELSE {ts} '2024-01-20 00:00:00' END AS ExpiryDate, CASE WHEN doc_id % 5 = 0 THEN 'Draft' ELSE 'Published' END AS Status
   , source AS Type, CASE doc_id % 4 WHEN 0 THEN 'Low' WHEN 1 THEN 'Normal' WHEN 2 THEN 'High' ELSE 'Urgent' END AS PriorityLevel
 FROM {documents}
-WHERE doc_id < 100
 """,
     "student_announcement": """
-SELECT CAST(user_id AS STRING) AS StudentID, event_id % 100 AS AnnouncementID, max(CASE WHEN value > 5 THEN 1 ELSE 0 END) = 1 AS IsRead
+SELECT CAST(user_id AS STRING) AS StudentID, AnnouncementID, max(CASE WHEN value > 5 THEN 1 ELSE 0 END) = 1 AS IsRead
+FROM (SELECT user_id, value, event_id % (SELECT count(*)
+FROM {documents}) AS AnnouncementID
 FROM {events}
-WHERE event_type = 'click' GROUP BY user_id, event_id % 100
+WHERE event_type = 'click') AS clicks GROUP BY user_id, AnnouncementID
 """,
     "penalty": """
 SELECT o_orderkey AS PenaltyID, CAST(o_custkey AS STRING) AS StudentID, CAST(10 + o_orderkey % 300 AS DECIMAL(10,2)) AS Amount
@@ -186,14 +187,15 @@ FROM {region}
     "leave_permission": """
 SELECT o_orderkey AS PermissionID, CAST(o_custkey AS STRING) AS StudentID, CAST(o_orderdate AS DATE) AS RequestDate, CAST(o_orderdate AS DATE) + 3 AS StartDate
   , CAST(o_orderdate AS DATE) + CAST(o_orderkey % 20 AS INT) AS EndDate, CASE o_orderkey % 4 WHEN 0 THEN 'Pending' WHEN 1 THEN 'Approved' WHEN 2 THEN 'Rejected' ELSE 'Cancelled' END AS Status
-  , CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE CAST(o_orderdate AS DATE) + 1 END AS ApprovalDate
+  , CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE CAST(o_orderdate AS DATE) + 1 END AS ApprovalDate
 FROM {orders}
 WHERE o_orderkey % 9 = 1
 """,
     "visitor_permission": """
-SELECT o_orderkey AS PermissionID, o_orderkey % 500 AS VisitorID, CAST(o_custkey AS STRING) AS StudentID, CAST(o_orderdate AS DATE) AS RequestDate
+SELECT o_orderkey AS PermissionID, o_orderkey % (SELECT count(*) + 10
+FROM {customer}) AS VisitorID, CAST(o_custkey AS STRING) AS StudentID, CAST(o_orderdate AS DATE) AS RequestDate
   , CAST(o_orderdate AS DATE) + 2 AS StartDate, CAST(o_orderdate AS DATE) + 2 + CAST(o_orderkey % 5 AS INT) AS EndDate, CASE o_orderkey % 4 WHEN 0 THEN 'Pending' WHEN 1 THEN 'Approved' WHEN 2 THEN 'Rejected' ELSE 'Expired' END AS Status
-  , CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE CAST(o_orderdate AS DATE) + 1 END AS ApprovalDate
+  , CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE CAST(o_orderdate AS DATE) + 1 END AS ApprovalDate
 FROM {orders}
 WHERE o_orderkey % 9 = 2
 """,
@@ -204,7 +206,9 @@ FROM {orders}
 WHERE o_orderkey % 9 = 3
 """,
     "meal_attendance": """
-SELECT event_id AS AttendanceID, event_id % 50 AS SubscriptionID, CAST(user_id AS STRING) AS StudentID, ts AS CheckInDateTime
+SELECT event_id AS AttendanceID, 9 * (event_id % (SELECT count(*)
+FROM {orders}
+WHERE o_orderkey % 9 = 3)) + 3 AS SubscriptionID, CAST(user_id AS STRING) AS StudentID, ts AS CheckInDateTime
   , CAST(ts AS DATE) AS MealDate, CASE event_id % 4 WHEN 0 THEN 'Breakfast' WHEN 1 THEN 'Lunch' WHEN 2 THEN 'Dinner' ELSE 'Snack' END AS MealType
   , CASE event_id % 3 WHEN 0 THEN 'Present' WHEN 1 THEN 'Absent' ELSE 'Late' END AS AttendanceStatus
 FROM {events}
@@ -323,7 +327,8 @@ UNION ALL SELECT 'room_transfer', o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'A
 FROM {orders}
 """,
     "read_mark": """
-SELECT CAST(user_id AS STRING) AS StudentID, event_id % 120 AS AnnouncementID, event_id AS NotificationID
+SELECT CAST(user_id AS STRING) AS StudentID, event_id % (SELECT count(*) + 20
+FROM {documents}) AS AnnouncementID, event_id AS NotificationID
 FROM {events}
 """,
     "visitor_intake": """

@@ -129,8 +129,8 @@ def oracles() -> dict[str, str]:
             m4 AS (SELECT StudentID, count(*) AS n FROM access_log GROUP BY 1),
             m5 AS (SELECT ReportedBy AS StudentID, count(*) AS n FROM lost_and_found_item GROUP BY 1)
             SELECT s.StudentID, w.n AS Services, coalesce(m1.n, 0) AS MealSubscriptions,
-              least(coalesce(m2.n, 0), 10) AS RecentMeals, least(coalesce(m3.n, 0), 10) AS RecentLaundry,
-              least(coalesce(m4.n, 0), 10) AS RecentAccess, coalesce(m5.n, 0) AS LostAndFound
+              coalesce(m2.n, 0) AS RecentMeals, coalesce(m3.n, 0) AS RecentLaundry,
+              coalesce(m4.n, 0) AS RecentAccess, coalesce(m5.n, 0) AS LostAndFound
             FROM student s LEFT JOIN shown w ON w.StudentID = s.StudentID LEFT JOIN m1 ON m1.StudentID = s.StudentID
             LEFT JOIN m2 ON m2.StudentID = s.StudentID LEFT JOIN m3 ON m3.StudentID = s.StudentID
             LEFT JOIN m4 ON m4.StudentID = s.StudentID LEFT JOIN m5 ON m5.StudentID = s.StudentID""",
@@ -143,8 +143,8 @@ def oracles() -> dict[str, str]:
         "history_incidents": history("incident_report", "StudentID", "IncidentDate", "ReportID"),
         "history_leave": history("leave_permission", "StudentID", "RequestDate", "PermissionID"),
         "history_visitors": history(
-            "(SELECT p.*, concat_ws(' ', v.FirstName, v.LastName) AS VisitorName FROM visitor_permission p "
-            "LEFT JOIN visitor v USING (VisitorID)) z",
+            "(SELECT p.*, v.VisitorName FROM visitor_permission p LEFT JOIN "
+            "(SELECT VisitorID, concat_ws(' ', FirstName, LastName) AS VisitorName FROM visitor) v USING (VisitorID)) z",
             "StudentID", "RequestDate", "PermissionID",
         ),
         "history_transfers": history("room_transfer", "StudentID", "RequestDate", "TransferID"),
