@@ -25,21 +25,21 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return linked.filter("a != b").distinct()
 
 
-def _state(edges: DataFrame):
-    return edges.agg(
-        F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))
-    ).first()
+def _is_done(edges: DataFrame) -> bool:
+    """Whether each node that points elsewhere points to one node, which itself points nowhere."""
+    ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("into")).union(
+        edges.select(F.col("b"), F.lit(0), F.lit(1))
+    )
+    counts = ends.groupBy("node").agg(F.sum("out").alias("out"), F.max("into").alias("into"))
+    return counts.filter("out > 1 or (out = 1 and into = 1)").isEmpty()
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for each node of the undirected edges (a, b); the root is the component's smallest node."""
-    edges = cut_lineage(edges.filter("a != b").select("a", "b").distinct())
-    state = _state(edges)
-    while True:
+    edges = edges.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    edges = cut_lineage(edges.distinct())
+    while not _is_done(edges):
         edges = cut_lineage(_star(_star(edges, True), False))
-        now = _state(edges)
-        if now == state:
-            break
-        state = now
-    roots = edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    return roots.union(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(
+        edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
+    )
