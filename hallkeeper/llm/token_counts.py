@@ -4,8 +4,8 @@ No piece of the vocabulary holds a space after another character, so merges neve
 spaces: a text's pieces are those of its pre-tokens, a run of spaces with the characters up to the next one. Pieces
 are counted once per distinct pre-token of the corpus and joined to the documents' pre-token frequencies.
 
-The frequencies travel packed: a task sends one row per pre-token and pack of documents, with the documents' numbers
-and frequencies as arrays.
+The frequencies travel packed: a task sends one row per pre-token and pack of documents, with the pre-token's 64-bit
+hash and the documents' numbers and frequencies as one array.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from hallkeeper.llm import words as W
 from hallkeeper.llm.shipping import ship
 
-PACK_BYTES = 16 << 20
+PACK_BYTES = 32 << 20
 """Text whose frequencies are packed together."""
 
 PACK_DOCS = 60_000
@@ -72,13 +72,12 @@ def _pretokens(batch: pa.RecordBatch):
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (pre-token, pack, documents, frequencies), and one row per pack with its documents' ids and bytes.
+    """Rows (pre-token's hash, pack, entries), and one row per pack with its documents' ids and bytes.
 
-    A frequency above 255 is given in several parts. The row of ids has a pre-token no text can have: it does not
-    start with a space.
+    An entry has three bytes: two of the document's number and one of the frequency; a frequency above 255 is given in
+    several entries. The row of ids has the pack's number below zero.
     """
     held: list[tuple] = []
-    strings: dict[int, bytes] = {}
     names: list[tuple] = []
     n_docs = n_bytes = packs = 0
     base = TaskContext.get().partitionId() << 33
@@ -96,48 +95,40 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest[last] = times
         cuts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
         bounds = np.r_[cuts, len(key)]
-        offsets = pa.array(bounds * 2, pa.int32()).buffers()[1]
-        lengths = pa.array(bounds, pa.int32()).buffers()[1]
+        offsets = pa.array(bounds * 3, pa.int32()).buffers()[1]
         n = len(cuts)
-        raw = pa.array([strings[k] for k in key[cuts].tolist()], pa.binary()).cast(pa.string())
-        docs = pa.py_buffer(doc.astype(np.uint16).tobytes())
+        entries = np.stack([doc & 0xFF, doc >> 8, rest], 1).astype(np.uint8)
+        entries = pa.BinaryArray.from_buffers(pa.binary(), n, [None, offsets, pa.py_buffer(entries.tobytes())])
+        keys = key[cuts].view(np.int64)
         for a in range(0, n, 20_000):
             size = min(20_000, n - a)
             yield pa.record_batch(
-                {
-                    "pretoken": raw.slice(a, size),
-                    "pack": np.full(size, pack, np.int64),
-                    "docs": pa.BinaryArray.from_buffers(pa.binary(), n, [None, offsets, docs]).slice(a, size),
-                    "times": pa.BinaryArray.from_buffers(pa.binary(), n, [None, lengths, pa.py_buffer(rest.tobytes())]).slice(a, size),
-                }
+                {"key": keys[a : a + size], "pack": np.full(size, pack, np.int64), "entries": entries.slice(a, size)}
             )
         ids = pa.concat_arrays([x[0] for x in names])
-        valid = pc.fill_null(ids, 0).to_numpy(), pc.is_valid(ids).to_numpy(zero_copy_only=False)
+        table = np.stack(
+            [
+                pc.fill_null(ids, 0).to_numpy(),
+                pc.is_valid(ids).to_numpy(zero_copy_only=False).astype(np.int64),
+                np.concatenate([x[1] for x in names]),
+            ]
+        )
+        spread = W.mix(np.array([pack], np.uint64)).view(np.int64)
         yield pa.record_batch(
-            {
-                "pretoken": [f"pack {pack}"],
-                "pack": np.array([pack], np.int64),
-                "docs": pa.array([np.r_[valid[0], valid[1]].astype(np.int64).tobytes()], pa.binary()),
-                "times": pa.array([np.concatenate([x[1] for x in names]).tobytes()], pa.binary()),
-            }
+            {"key": spread, "pack": np.array([-pack - 1]), "entries": pa.array([table.tobytes()], pa.binary())}
         )
 
     for batch in W.chunks(batches):
         data, doc, start, end, key = _pretokens(batch)
         if n_docs and (n_bytes + len(data) > PACK_BYTES or n_docs + batch.num_rows > PACK_DOCS):
             yield from out()
-            held, strings, names, n_docs, n_bytes, packs = [], {}, [], 0, 0, packs + 1
+            held, names, n_docs, n_bytes, packs = [], [], 0, 0, packs + 1
         order = np.lexsort((doc, key))
-        key, doc, start, end = key[order], doc[order], start[order], end[order]
+        key, doc = key[order], doc[order]
         if len(key):
             at = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])])
             times = np.diff(np.r_[at, len(key)])
-            key, doc, start, end = key[at], doc[at], start[at], end[at]
-            raw = data.tobytes()
-            cuts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-            for k, a, b in zip(key[cuts].tolist(), start[cuts].tolist(), end[cuts].tolist(), strict=True):
-                if k not in strings:
-                    strings[k] = raw[a:b]
+            key, doc = key[at], doc[at]
             held.append((key, (doc + n_docs).astype(np.uint16), times.astype(np.uint32)))
         length = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False)
         names.append((batch.column("doc_id").cast(pa.int64()), length.astype(np.int64)))
@@ -166,7 +157,9 @@ def _count(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts = count_pieces(path, batch.column("pretoken").to_pylist())
-            yield pa.record_batch({"pretoken": batch.column("pretoken"), "pieces": pa.array(counts, pa.int32())})
+            data, offsets = W.text_bytes(batch.column("pretoken"))
+            key = W.range_hash(data, offsets[:-1], offsets[1:])
+            yield pa.record_batch({"key": key.view(np.int64), "pieces": pa.array(counts, pa.int32())})
 
     return run
 
@@ -192,17 +185,17 @@ def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
     for batch in batches:
-        named = pc.is_null(batch.column("pieces"))
+        named = pc.less(batch.column("pack"), 0)
         for r in batch.filter(named).to_pylist():
-            ids = np.frombuffer(r["docs"], np.int64).reshape(2, -1)
+            ids = np.frombuffer(r["entries"], np.int64).reshape(3, -1)
             n = ids.shape[1]
             yield pa.record_batch(
                 {
-                    "pack": np.full(n, r["pack"], np.int64),
+                    "pack": np.full(n, -r["pack"] - 1, np.int64),
                     "doc": np.arange(n),
                     "pieces": np.zeros(n, np.int64),
                     "doc_id": pa.array(ids[0], mask=ids[1] == 0),
-                    "n_bytes": np.frombuffer(r["times"], np.int64),
+                    "n_bytes": ids[2],
                 }
             )
         batch = batch.filter(pc.invert(named))
@@ -214,13 +207,12 @@ def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(place) << 16 > len(sums):
             sums = np.concatenate([sums, np.zeros(len(place) << 16, np.int64)])
         at = np.array([place[p] for p in packs.tolist()], np.int64)[inverse] << 16
-        times = b"".join(batch.column("times").to_pylist())
-        docs = b"".join(batch.column("docs").to_pylist())
-        n = pc.binary_length(batch.column("times")).to_numpy()
+        entries = np.frombuffer(b"".join(batch.column("entries").to_pylist()), np.uint8).reshape(-1, 3).astype(np.int64)
+        n = pc.binary_length(batch.column("entries")).to_numpy() // 3
         np.add.at(
             sums,
-            np.repeat(at, n) + np.frombuffer(docs, np.uint16),
-            np.repeat(batch.column("pieces").to_numpy(), n) * np.frombuffer(times, np.uint8).astype(np.int64),
+            np.repeat(at, n) + entries[:, 0] + (entries[:, 1] << 8),
+            np.repeat(batch.column("pieces").to_numpy(), n) * entries[:, 2],
         )
         if len(place) > OPEN_PACKS:
             yield from out()
@@ -236,14 +228,14 @@ def token_counts(docs: DataFrame, path: str) -> DataFrame:
     """
     ship(docs.sparkSession)
     texts = docs.select("doc_id", "text")
-    packed = texts.mapInArrow(_pack, "pretoken string, pack long, docs binary, times binary")
+    packed = texts.mapInArrow(_pack, "key long, pack long, entries binary")
     counts = (
         docs.select("text").mapInArrow(_distinct, "pretoken string").distinct()
-        .mapInArrow(_count(path), "pretoken string, pieces int")
+        .mapInArrow(_count(path), "key long, pieces int")
     )
     sums = (
-        packed.join(counts, "pretoken", "left")
-        .select("pack", "docs", "times", F.col("pieces").cast("long").alias("pieces"))
+        packed.join(counts, "key", "left")
+        .select("pack", "entries", F.col("pieces").cast("long").alias("pieces"))
         .mapInArrow(_sum, "pack long, doc long, pieces long, doc_id long, n_bytes long")
     )
     return (
