@@ -113,7 +113,8 @@ def running_totals(
             )
 
     place = keys + cell_names
-    within = tagged.select(
+    # The input may lie by ``keys`` already, which would do for the window and leave a hot key in one task.
+    within = tagged.repartition(*place).select(
         "*", *[before(place, list(order), v).alias(out) for out, v in value_names.items()]
     )
     return within.join(offsets, place).select(

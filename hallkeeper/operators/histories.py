@@ -124,16 +124,16 @@ def nested_pages(
     """Parents with their children as JSON arrays of at most ``page_size`` items.
 
     ``seq`` numbers the children of a parent from 1. Childless parents keep one
-    row with an empty array. A group never holds more than a page, and the pages
-    of one parent are never brought together.
+    row with an empty array. Items are grouped by parent and page before parents
+    are looked up, so that a task gets pages and never all items of a parent.
     """
     page = F.floor((F.col(seq) - 1) / F.lit(page_size)).cast("bigint")
     entries = F.array_sort(F.collect_list(F.struct(F.col(seq).alias("__seq"), F.struct(*item).alias("item"))))
-    known = children.join(parents.select(key), key, "left_semi")
     pages = (
-        known.withColumn("Page", page)
+        children.withColumn("Page", page)
         .groupBy(key, "Page")
         .agg(F.to_json(F.transform(entries, lambda e: e["item"]), {"ignoreNullFields": "false"}).alias("Items"))
+        .join(parents.select(key), key, "left_semi")
     )
     childless = parents.select(key).join(children.select(key).distinct(), key, "left_anti")
     empty = childless.select(key, F.lit(0).cast("bigint").alias("Page"), F.lit("[]").alias("Items"))

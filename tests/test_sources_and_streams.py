@@ -6,6 +6,7 @@ import csv
 import datetime as dt
 import json
 import pathlib
+import re
 import tempfile
 
 import pytest
@@ -177,3 +178,21 @@ def test_no_products_and_no_python_in_plans(spark, name):
     plan = queries()[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     for word in ("CartesianProduct", "BroadcastNestedLoopJoin", "ArrowEval", "BatchEvalPython", "InPandas"):
         assert word not in plan
+
+
+@pytest.mark.parametrize(
+    ("name", "columns"),
+    [
+        ("invoice_payments_nested", ("InvoiceID", "Page")),
+        ("request_documents", ("StudentID", "Page")),
+        ("bed_fills", ("RoomID", "__cell0", "__cell1")),
+    ],
+)
+def test_rows_of_one_parent_are_dealt_by_more_than_its_key(spark, name, columns):
+    """With both sides of the lookup shuffled, pages and cells still get an exchange of their own."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = queries()[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert re.search("hashpartitioning\\(" + ", ".join(c + r"#\d+L?" for c in columns) + r", \d+\)", plan)
