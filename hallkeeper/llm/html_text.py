@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from hallkeeper.llm.shipping import ship
 
 SAMPLE_PAGES = 2000
-"""Pages, those with the smallest hashes of their html, whose blocks the classifier is fitted to."""
+"""Different pages, those with the smallest hashes of their html, whose blocks the classifier is fitted to."""
 
 # The elements of HTML by their part in a page.
 SKIPPED = frozenset("script style noscript template svg math head iframe object canvas select option textarea button".split())
@@ -365,14 +365,16 @@ def extract_text(pages: DataFrame) -> DataFrame:
     of ``pages`` are left aside.
     """
     ship(pages.sparkSession)
+    # Hashes are sorted without their pages; the list that is broadcast has SAMPLE_PAGES numbers.
+    hashed = pages.filter("html is not null").select("html", F.xxhash64("html").alias("at"))
+    least = hashed.select("at").distinct().orderBy("at").limit(SAMPLE_PAGES)
     sample = (
-        pages.filter("html is not null")
-        .select("html", F.xxhash64("html").alias("at"))
-        .orderBy("at")
-        .limit(SAMPLE_PAGES)
+        hashed.join(F.broadcast(least), "at", "left_semi")
+        .dropDuplicates(["at"])
+        .select("html")
         .mapInArrow(_shorten, "html string")
     )
-    weights = fit_weights([r[0] for r in sample.collect()])
+    weights = fit_weights(sorted(r[0] for r in sample.collect()))
     kept = pages.select("page_id", "url", "html")
     fields = {f.name: f.dataType.simpleString() for f in kept.schema.fields}
     return kept.mapInArrow(
