@@ -125,7 +125,8 @@ def nested_pages(
 
     ``seq`` numbers the children of a parent from 1. Childless parents keep one
     row with an empty array. Items are grouped by parent and page before parents
-    are looked up, so that a task gets pages and never all items of a parent.
+    are looked up; the pages of a large parent then meet in a join straight from
+    a shuffle, which adaptive execution can split.
     """
     page = F.floor((F.col(seq) - 1) / F.lit(page_size)).cast("bigint")
     entries = F.array_sort(F.collect_list(F.struct(F.col(seq).alias("__seq"), F.struct(*item).alias("item"))))
