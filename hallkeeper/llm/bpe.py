@@ -7,16 +7,19 @@ encoding the library made, and a sequence whose neighbours all do so is the enco
 grown over both leaves is their encoding anyway. The joins form a tree: pairs, then pairs of pairs.
 
 Units between spaces and line ends never share a token and no normalisation reaches over them, so a unit that was
-seen before is looked up, and only new units go to the library.
+seen before is looked up. A new unit of Latin letters and signs is lower-cased and cut by the pattern in the tokenizer
+file, and only parts that are new as well go to the library; any other new unit goes there whole.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,8 +31,11 @@ LEAF = 1 << 16
 WINDOW = 32
 """Characters on either side of a border that are encoded again first; doubled until both sides agree."""
 
-KNOWN_UNITS = 400_000
-"""Units a worker remembers."""
+KNOWN_UNITS = 250_000
+"""Units, and parts, a worker takes in before it forgets those that were not met again since it last did."""
+
+AT_ONCE = 10_000
+"""New units given to the library in one call."""
 
 UNIT = 512
 """Longer units are encoded without being remembered."""
@@ -43,8 +49,51 @@ class Encoded(NamedTuple):
     end: np.ndarray
 
 
+LATIN = regex.compile("[!-~\u00a1-\u024f]+")
+"""Units that hold no white space and no mark to compose, and whose lower case doesn't depend on the library."""
+
+LOWERED = ["NFC", "Replace", "Lowercase"]
+CUT = ["Split", "ByteLevel"]
+"""Steps of a tokenizer file whose units can be cut into parts here."""
+
+
+class Memory:
+    """What a worker knows of units or parts; those not met for long are forgotten."""
+
+    def __init__(self):
+        self.recent: dict[str, tuple[bytes, str]] = {}
+        self.older: dict[str, tuple[bytes, str]] = {}
+
+    def unknown(self, names: set[str]) -> list[str]:
+        """The names that have to be learnt; all others are in ``recent`` afterwards."""
+        recent, older = self.recent, self.older
+        unmet = [n for n in names if n not in recent]
+        recent |= {n: older[n] for n in unmet if n in older}
+        return [n for n in unmet if n not in older]
+
+    def forget(self) -> None:
+        if len(self.recent) > KNOWN_UNITS:
+            self.recent, self.older = {}, self.recent
+
+
+def _parts_of(library) -> tuple[regex.Pattern, object] | None:
+    """The pattern that cuts a lower-cased unit into parts and a tokenizer for parts, if the file is of that kind."""
+    file = json.loads(library.to_str())
+    before, cut = (file.get(k) or {} for k in ("normalizer", "pre_tokenizer"))
+    before, cut = before.get("normalizers", []), cut.get("pretokenizers", [])
+    if [x["type"] for x in before] != LOWERED or [x["type"] for x in cut] != CUT:
+        return None
+    white = before[1]["pattern"] == {"Regex": "\\s+"} and before[1]["content"] == " "
+    matches = cut[0]["invert"] and cut[0]["behavior"] == "Removed" and "Regex" in cut[0]["pattern"]
+    whole = not cut[1]["use_regex"] and not cut[1]["add_prefix_space"]
+    if not (white and matches and whole) or any(t["normalized"] for t in file["added_tokens"]):
+        return None
+    plain = file | {"normalizer": None, "pre_tokenizer": cut[1], "added_tokens": []}
+    return regex.compile(cut[0]["pattern"]["Regex"]), type(library).from_str(json.dumps(plain))
+
+
 class Coder:
-    """A tokenizer file with the worker's memory of units."""
+    """A tokenizer file with the worker's memory of units and their parts."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -52,7 +101,9 @@ class Coder:
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.units: dict[str, tuple[bytes, str]] = {}
+        self.units, self.parts = Memory(), Memory()
+        self.cut = _parts_of(self.library)
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
 
     def encode(self, text: str) -> Encoded:
         found = self.library.encode(text, add_special_tokens=False)
@@ -62,29 +113,50 @@ class Coder:
     def decode(self, ids: np.ndarray) -> str:
         return self.library.decode(ids.tolist(), skip_special_tokens=False)
 
+    def _ask(self, library, names: list[str]) -> dict[str, tuple[bytes, str]]:
+        """(ids, decoded) of names that the library takes as words of one sequence, each by itself."""
+        out = {}
+        for a in range(0, len(names), AT_ONCE):
+            some = names[a : a + AT_ONCE]
+            found = library.encode(some, is_pretokenized=True, add_special_tokens=False)
+            ids = found.ids
+            cuts = np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(some) + 1)).tolist()
+            raw = np.array(ids, "<u4").tobytes()
+            spans = list(zip(cuts, cuts[1:]))
+            texts = self.library.decode_batch([ids[i:j] for i, j in spans], skip_special_tokens=False)
+            out |= {n: (raw[4 * i : 4 * j], t) for n, (i, j), t in zip(some, spans, texts, strict=True)}
+        return out
+
     def _learn(self, units: list[str]) -> dict[str, tuple[bytes, str]]:
-        found = self.library.encode_batch(units, add_special_tokens=False)
-        made = [np.array(e.ids, "<u4") for e in found]
-        texts = self.library.decode_batch([e.ids for e in found], skip_special_tokens=False)
-        return {u: (i.tobytes(), t) for u, i, t in zip(units, made, texts, strict=True)}
+        """(ids, decoded) of new units."""
+        if self.cut is None:
+            return self._ask(self.library, units)
+        latin = [u for u in units if LATIN.fullmatch(u) and not any(t in u for t in self.added)]
+        out = self._ask(self.library, list(set(units).difference(latin)))
+        pattern, library = self.cut
+        split = [pattern.findall(u.lower()) for u in latin]
+        self.parts.recent |= self._ask(library, self.parts.unknown(set().union(*split)))
+        known = self.parts.recent
+        for unit, names in zip(latin, split, strict=True):
+            ids, texts = zip(*map(known.__getitem__, names))
+            out[unit] = (b"".join(ids), " ".join(texts)) if len(ids) > 1 else (ids[0], texts[0])
+        self.parts.forget()
+        return out
 
     def encode_known(self, texts: list[str]) -> list[tuple[bytes, str]]:
         """(ids, decoded) of each text, unit by unit."""
         split = [text.replace("\n", " ").split(" ") for text in texts]
-        need = set().union(*split)
-        new = [u for u in need if u not in self.units]
-        if len(self.units) + len(new) > KNOWN_UNITS:
-            self.units = {u: self.units[u] for u in need if u in self.units}
-        for a in range(0, len(new), 10_000):
-            self.units |= self._learn(new[a : a + 10_000])
-        known = self.units
+        new = self.units.unknown(set().union(*split))
+        known = self.units.recent
+        known |= self._learn(new)
         out = []
         for units in split:
-            pairs = [p for p in map(known.__getitem__, units) if p[0]]
-            out.append((b"".join([p[0] for p in pairs]), " ".join([p[1] for p in pairs])))
+            ids, decoded = zip(*map(known.__getitem__, units))
+            out.append((b"".join(ids), " ".join(filter(None, decoded))))
         for u in new:
             if len(u) > UNIT:
                 del known[u]
+        self.units.forget()
         return out
 
 
