@@ -5,7 +5,8 @@ spaces: a text's pieces are those of its pre-tokens, a run of spaces with the ch
 are counted once per distinct pre-token of the corpus and joined to the documents' pre-token frequencies.
 
 The frequencies travel packed: a task sends one row per pre-token and pack of documents, with the pre-token's 64-bit
-hash and the documents' numbers and frequencies as one array.
+hash and the documents' numbers and frequencies as one array of short numbers. The sums go back the same way, one row
+per task and pack, and meet in one group per pack, which is bounded as a pack is.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from hallkeeper.llm import words as W
 from hallkeeper.llm.shipping import ship
 
-PACK_BYTES = 32 << 20
+PACK_BYTES = 64 << 20
 """Text whose frequencies are packed together."""
 
 PACK_DOCS = 60_000
@@ -71,11 +72,59 @@ def _pretokens(batch: pa.RecordBatch):
     return data, doc, start, end, W.range_hash(data, start, end)
 
 
+def to_bytes(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whole numbers in as few bytes as they need, seven bits each, and the length of each."""
+    length = np.ones(len(numbers), np.int64)
+    for bits in range(7, 64, 7):
+        more = numbers >> bits
+        if not more.any():
+            break
+        length += more > 0
+    end = np.cumsum(length)
+    place = np.arange(end[-1] if len(end) else 0) - np.repeat(end - length, length)
+    value = np.repeat(numbers, length) >> (7 * place) & 0x7F
+    return (value | np.where(place + 1 < np.repeat(length, length), 0x80, 0)).astype(np.uint8), length
+
+
+def from_bytes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers, and the place after the last byte of each."""
+    end = np.flatnonzero(raw < 0x80) + 1
+    if not len(end):
+        return np.zeros(0, np.int64), end
+    start = np.r_[0, end[:-1]]
+    place = np.arange(len(raw)) - np.repeat(start, end - start)
+    return np.add.reduceat((raw.astype(np.int64) & 0x7F) << (7 * place), start), end
+
+
+def _entries(key: np.ndarray, doc: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, pa.Array]:
+    """Distinct keys, and for each its documents and frequencies as bytes; the arguments are sorted by key and document.
+
+    A number is four times the distance from the document before, plus the frequency less one; a frequency above four
+    is given in several entries.
+    """
+    parts = (times + 3) // 4
+    last = np.cumsum(parts) - 1
+    rest = np.full(int(parts.sum()), 3, np.int64)
+    rest[last] = times - 4 * (parts - 1) - 1
+    key, doc = np.repeat(key, parts), np.repeat(doc.astype(np.int64), parts)
+    first = np.r_[True, key[1:] != key[:-1]]
+    step = doc.copy()
+    step[1:] -= np.where(first[1:], 0, doc[:-1])
+    raw, length = to_bytes(4 * step + rest)
+    cuts = np.flatnonzero(first)
+    offsets = np.r_[0, np.cumsum(length)][np.r_[cuts, len(key)]]
+    entries = pa.BinaryArray.from_buffers(
+        pa.binary(), len(cuts), [None, pa.array(offsets, pa.int32()).buffers()[1], pa.py_buffer(raw.tobytes())]
+    )
+    # Rows of one length lie together, which the shuffle's compression likes.
+    order = np.argsort(np.diff(offsets), kind="stable")
+    return key[cuts[order]], entries.take(pa.array(order))
+
+
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (pre-token's hash, pack, entries), and one row per pack with its documents' ids and bytes.
 
-    An entry has three bytes: two of the document's number and one of the frequency; a frequency above 255 is given in
-    several entries. The row of ids has the pack's number below zero.
+    The row of ids has the pack's number below zero.
     """
     held: list[tuple] = []
     names: list[tuple] = []
@@ -84,27 +133,16 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     def out():
         pack = base + packs
-        key, doc, times = (np.concatenate(x) for x in zip(*held, strict=True)) if held else (np.zeros(0, np.uint64),) * 3
-        order = np.argsort(key, kind="stable")
-        key, doc, times = key[order], doc[order], times[order]
-        times = times.astype(np.int64)
-        parts = (times + 254) // 255
-        times, last = times - 255 * (parts - 1), np.cumsum(parts) - 1
-        key, doc = np.repeat(key, parts), np.repeat(doc, parts)
-        rest = np.full(len(key), 255, np.uint8)
-        rest[last] = times
-        cuts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
-        bounds = np.r_[cuts, len(key)]
-        offsets = pa.array(bounds * 3, pa.int32()).buffers()[1]
-        n = len(cuts)
-        entries = np.stack([doc & 0xFF, doc >> 8, rest], 1).astype(np.uint8)
-        entries = pa.BinaryArray.from_buffers(pa.binary(), n, [None, offsets, pa.py_buffer(entries.tobytes())])
-        keys = key[cuts].view(np.int64)
-        for a in range(0, n, 20_000):
-            size = min(20_000, n - a)
-            yield pa.record_batch(
-                {"key": keys[a : a + size], "pack": np.full(size, pack, np.int64), "entries": entries.slice(a, size)}
-            )
+        if held:
+            key, doc, times = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.argsort(key, kind="stable")
+            keys, entries = _entries(key[order], doc[order], times[order].astype(np.int64))
+            keys = keys.view(np.int64)
+            for a in range(0, len(keys), 20_000):
+                size = min(20_000, len(keys) - a)
+                yield pa.record_batch(
+                    {"key": keys[a : a + size], "pack": np.full(size, pack, np.int64), "entries": entries.slice(a, size)}
+                )
         ids = pa.concat_arrays([x[0] for x in names])
         table = np.stack(
             [
@@ -165,38 +203,22 @@ def _count(path: str):
 
 
 def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pieces per document of a pack so far, sent on when many packs are open; a pack's row of ids is spelt out."""
+    """Rows (pack, ids or null, sums or null): the pieces of a pack's documents so far, sent when many packs are open."""
     place: dict[int, int] = {}
     sums = np.zeros(0, np.int64)
 
     def out():
-        at = np.flatnonzero(sums)
-        packs = np.array(list(place), np.int64)
-        for a in range(0, len(at), 50_000):
-            part = at[a : a + 50_000]
-            yield pa.record_batch(
-                {
-                    "pack": packs[part >> 16],
-                    "doc": part & 0xFFFF,
-                    "pieces": sums[part],
-                    "doc_id": pa.nulls(len(part), pa.int64()),
-                    "n_bytes": pa.nulls(len(part), pa.int64()),
-                }
-            )
+        for pack, n in place.items():
+            part = sums[n << 16 : (n + 1) << 16]
+            doc = np.flatnonzero(part)
+            raw, _ = to_bytes(np.stack([np.diff(doc, prepend=0), part[doc]], 1).ravel())
+            yield pa.record_batch({"pack": [pack], "ids": pa.nulls(1, pa.binary()), "sums": pa.array([raw.tobytes()], pa.binary())})
 
     for batch in batches:
         named = pc.less(batch.column("pack"), 0)
         for r in batch.filter(named).to_pylist():
-            ids = np.frombuffer(r["entries"], np.int64).reshape(3, -1)
-            n = ids.shape[1]
             yield pa.record_batch(
-                {
-                    "pack": np.full(n, -r["pack"] - 1, np.int64),
-                    "doc": np.arange(n),
-                    "pieces": np.zeros(n, np.int64),
-                    "doc_id": pa.array(ids[0], mask=ids[1] == 0),
-                    "n_bytes": ids[2],
-                }
+                {"pack": [-r["pack"] - 1], "ids": pa.array([r["entries"]], pa.binary()), "sums": pa.nulls(1, pa.binary())}
             )
         batch = batch.filter(pc.invert(named))
         if not batch.num_rows:
@@ -205,21 +227,31 @@ def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for p in packs.tolist():
             place.setdefault(p, len(place))
         if len(place) << 16 > len(sums):
-            sums = np.concatenate([sums, np.zeros(len(place) << 16, np.int64)])
+            sums = np.concatenate([sums, np.zeros((len(place) << 16) - len(sums), np.int64)])
         at = np.array([place[p] for p in packs.tolist()], np.int64)[inverse] << 16
-        entries = np.frombuffer(b"".join(batch.column("entries").to_pylist()), np.uint8).reshape(-1, 3).astype(np.int64)
-        n = pc.binary_length(batch.column("entries")).to_numpy() // 3
-        np.add.at(
-            sums,
-            np.repeat(at, n) + entries[:, 0] + (entries[:, 1] << 8),
-            np.repeat(batch.column("pieces").to_numpy(), n) * entries[:, 2],
-        )
+        length = pc.binary_length(batch.column("entries")).to_numpy()
+        number, end = from_bytes(np.frombuffer(b"".join(batch.column("entries").to_pylist()), np.uint8))
+        n = np.diff(np.searchsorted(end, np.cumsum(length), "right"), prepend=0)
+        doc = np.cumsum(number >> 2)
+        before = np.r_[0, doc][np.cumsum(n) - n]
+        pieces = np.repeat(batch.column("pieces").to_numpy(), n) * ((number & 3) + 1)
+        np.add.at(sums, doc + np.repeat(at - before, n), pieces)
         if len(place) > OPEN_PACKS:
             yield from out()
             place, sums = {}, np.zeros(0, np.int64)
     yield from out()
 
 
+def _spell_out(pack: pa.Table) -> pa.Table:
+    """The documents of a pack with the sums of their pieces."""
+    ids = np.frombuffer(pack.column("ids").drop_null()[0].as_py(), np.int64).reshape(3, -1)
+    pieces = np.zeros(ids.shape[1], np.int64)
+    for part in pack.column("sums").drop_null().to_pylist():
+        doc, some = from_bytes(np.frombuffer(part, np.uint8))[0].reshape(-1, 2).T
+        pieces[np.cumsum(doc)] += some
+    return pa.table({"doc_id": pa.array(ids[0], mask=ids[1] == 0), "n_bytes": ids[2], "n_tokens": pieces})
+
+
 def token_counts(docs: DataFrame, path: str) -> DataFrame:
     """One row per document: doc_id, n_bytes (of the UTF-8 text) and n_tokens.
 
@@ -236,10 +268,6 @@ def token_counts(docs: DataFrame, path: str) -> DataFrame:
     sums = (
         packed.join(counts, "key", "left")
         .select("pack", "entries", F.col("pieces").cast("long").alias("pieces"))
-        .mapInArrow(_sum, "pack long, doc long, pieces long, doc_id long, n_bytes long")
-    )
-    return (
-        sums.groupBy("pack", "doc")
-        .agg(F.max("doc_id").alias("doc_id"), F.max("n_bytes").alias("n_bytes"), F.sum("pieces").alias("n_tokens"))
-        .select("doc_id", "n_bytes", "n_tokens")
+        .mapInArrow(_sum, "pack long, ids binary, sums binary")
     )
+    return sums.groupBy("pack").applyInArrow(_spell_out, "doc_id long, n_bytes long, n_tokens long")
