@@ -24,12 +24,18 @@ from pyspark.sql import functions as F
 from hallkeeper.llm import words as W
 from hallkeeper.llm.shipping import ship
 
-PACK_BYTES = 64 << 20
+PACK_BYTES = 40 << 20
 """Text whose frequencies are packed together."""
 
 PACK_DOCS = 60_000
 """Documents of a pack; their numbers have two bytes."""
 
+SLICE = 300_000
+"""Frequencies turned into bytes at once."""
+
+SHORT = 7
+"""Bytes of entries that travel as one number; longer ones travel as an array."""
+
 OPEN_PACKS = 100
 """Packs a task of the join sums at once; half a MB each."""
 
@@ -48,10 +54,10 @@ def _library(path: str):
 
 
 def count_pieces(path: str, pretokens: list[str]) -> list[int]:
-    """The number of pieces of each pre-token, a run of at least one space and what follows it."""
+    """The number of pieces of each pre-token, a run of at least one space and what follows it, given without the first."""
     # The library puts a space before a text; an empty text has none.
-    found = _library(path).encode([p[1:] for p in pretokens], num_threads=1)
-    return [1 if p == " " else len(ids) for p, ids in zip(pretokens, found, strict=True)]
+    found = _library(path).encode(pretokens, num_threads=1)
+    return [len(ids) if p else 1 for p, ids in zip(pretokens, found, strict=True)]
 
 
 def _pretokens(batch: pa.RecordBatch):
@@ -96,11 +102,12 @@ def from_bytes(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.add.reduceat((raw.astype(np.int64) & 0x7F) << (7 * place), start), end
 
 
-def _entries(key: np.ndarray, doc: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, pa.Array]:
-    """Distinct keys, and for each its documents and frequencies as bytes; the arguments are sorted by key and document.
+def _entries(key: np.ndarray, doc: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Distinct keys, and for each its documents and frequencies; the arguments are sorted by key and document.
 
     A number is four times the distance from the document before, plus the frequency less one; a frequency above four
-    is given in several entries.
+    is given in several entries. Up to SHORT bytes are put into one whole number with their count in its last byte,
+    more into an array.
     """
     parts = (times + 3) // 4
     last = np.cumsum(parts) - 1
@@ -113,16 +120,24 @@ def _entries(key: np.ndarray, doc: np.ndarray, times: np.ndarray) -> tuple[np.nd
     raw, length = to_bytes(4 * step + rest)
     cuts = np.flatnonzero(first)
     offsets = np.r_[0, np.cumsum(length)][np.r_[cuts, len(key)]]
-    entries = pa.BinaryArray.from_buffers(
+    size = np.diff(offsets)
+    # Rows of one length lie together, which the shuffle's compression likes.
+    order = np.argsort(size, kind="stable")
+    n = int(np.searchsorted(size[order], SHORT, "right"))
+    short = np.zeros((len(cuts), 8), np.uint8)
+    column = np.arange(SHORT)
+    inside = column < size[order[:n], None]
+    short[:n, :SHORT][inside] = raw[(offsets[order[:n], None] + column)[inside]]
+    short[:n, SHORT] = size[order[:n]]
+    long = pa.BinaryArray.from_buffers(
         pa.binary(), len(cuts), [None, pa.array(offsets, pa.int32()).buffers()[1], pa.py_buffer(raw.tobytes())]
     )
-    # Rows of one length lie together, which the shuffle's compression likes.
-    order = np.argsort(np.diff(offsets), kind="stable")
-    return key[cuts[order]], entries.take(pa.array(order))
+    long = pa.concat_arrays([pa.nulls(n, pa.binary()), long.take(pa.array(order[n:]))])
+    return key[cuts[order]], short.view(np.int64).ravel(), long
 
 
 def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (pre-token's hash, pack, entries), and one row per pack with its documents' ids and bytes.
+    """Rows (pack, pre-token's hash, entries), and one row per pack with its documents' ids and bytes.
 
     The row of ids has the pack's number below zero.
     """
@@ -135,14 +150,16 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = base + packs
         if held:
             key, doc, times = (np.concatenate(x) for x in zip(*held, strict=True))
+            held.clear()
             order = np.argsort(key, kind="stable")
-            keys, entries = _entries(key[order], doc[order], times[order].astype(np.int64))
-            keys = keys.view(np.int64)
-            for a in range(0, len(keys), 20_000):
-                size = min(20_000, len(keys) - a)
-                yield pa.record_batch(
-                    {"key": keys[a : a + size], "pack": np.full(size, pack, np.int64), "entries": entries.slice(a, size)}
-                )
+            key, doc, times = key[order], doc[order], times[order]
+            del order
+            cuts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            cuts = np.unique(cuts[np.searchsorted(cuts, np.arange(0, len(key), SLICE), "right") - 1])
+            for a, b in zip(cuts, np.r_[cuts[1:], len(key)]):
+                keys, short, long = _entries(key[a:b], doc[a:b], times[a:b].astype(np.int64))
+                columns = {"pack": np.full(len(keys), pack, np.int64), "key": keys.view(np.int64), "short": short}
+                yield pa.record_batch({**columns, "entries": long})
         ids = pa.concat_arrays([x[0] for x in names])
         table = np.stack(
             [
@@ -153,7 +170,12 @@ def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
         spread = W.mix(np.array([pack], np.uint64)).view(np.int64)
         yield pa.record_batch(
-            {"key": spread, "pack": np.array([-pack - 1]), "entries": pa.array([table.tobytes()], pa.binary())}
+            {
+                "pack": np.array([-pack - 1]),
+                "key": spread,
+                "short": np.zeros(1, np.int64),
+                "entries": pa.array([table.tobytes()], pa.binary()),
+            }
         )
 
     for batch in W.chunks(batches):
@@ -186,7 +208,8 @@ def _distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             new = seen[np.minimum(np.searchsorted(seen, key), len(seen) - 1)] != key
             key, at = key[new], at[new]
         raw = data.tobytes()
-        found = [raw[a:b] for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)]
+        # Every pre-token begins with a space, which stays here.
+        found = [raw[a + 1 : b] for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)]
         yield pa.record_batch({"pretoken": pa.array(found, pa.binary()).cast(pa.string())})
         seen = np.union1d(seen, key) if len(seen) < SEEN else np.sort(key)
 
@@ -195,7 +218,7 @@ def _count(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts = count_pieces(path, batch.column("pretoken").to_pylist())
-            data, offsets = W.text_bytes(batch.column("pretoken"))
+            data, offsets = W.text_bytes(pc.binary_join_element_wise(pa.scalar(" "), batch.column("pretoken"), ""))
             key = W.range_hash(data, offsets[:-1], offsets[1:])
             yield pa.record_batch({"key": key.view(np.int64), "pieces": pa.array(counts, pa.int32())})
 
@@ -214,6 +237,13 @@ def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             raw, _ = to_bytes(np.stack([np.diff(doc, prepend=0), part[doc]], 1).ravel())
             yield pa.record_batch({"pack": [pack], "ids": pa.nulls(1, pa.binary()), "sums": pa.array([raw.tobytes()], pa.binary())})
 
+    def add(raw: np.ndarray, length: np.ndarray, at: np.ndarray, pieces: np.ndarray) -> None:
+        number, end = from_bytes(raw)
+        n = np.diff(np.searchsorted(end, np.cumsum(length), "right"), prepend=0)
+        doc = np.cumsum(number >> 2)
+        before = np.r_[0, doc][np.cumsum(n) - n]
+        np.add.at(sums, doc + np.repeat(at - before, n), np.repeat(pieces, n) * ((number & 3) + 1))
+
     for batch in batches:
         named = pc.less(batch.column("pack"), 0)
         for r in batch.filter(named).to_pylist():
@@ -229,13 +259,14 @@ def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(place) << 16 > len(sums):
             sums = np.concatenate([sums, np.zeros((len(place) << 16) - len(sums), np.int64)])
         at = np.array([place[p] for p in packs.tolist()], np.int64)[inverse] << 16
-        length = pc.binary_length(batch.column("entries")).to_numpy()
-        number, end = from_bytes(np.frombuffer(b"".join(batch.column("entries").to_pylist()), np.uint8))
-        n = np.diff(np.searchsorted(end, np.cumsum(length), "right"), prepend=0)
-        doc = np.cumsum(number >> 2)
-        before = np.r_[0, doc][np.cumsum(n) - n]
-        pieces = np.repeat(batch.column("pieces").to_numpy(), n) * ((number & 3) + 1)
-        np.add.at(sums, doc + np.repeat(at - before, n), pieces)
+        pieces = batch.column("pieces").to_numpy()
+        is_long = pc.is_valid(batch.column("entries")).to_numpy(zero_copy_only=False)
+        entries = batch.column("entries").filter(pa.array(is_long))
+        raw = np.frombuffer(b"".join(entries.to_pylist()), np.uint8)
+        add(raw, pc.binary_length(entries).to_numpy(), at[is_long], pieces[is_long])
+        short = batch.column("short").to_numpy()[~is_long].view(np.uint8).reshape(-1, 8)
+        raw = short[:, :SHORT][np.arange(SHORT) < short[:, SHORT:]]
+        add(raw, short[:, SHORT].astype(np.int64), at[~is_long], pieces[~is_long])
         if len(place) > OPEN_PACKS:
             yield from out()
             place, sums = {}, np.zeros(0, np.int64)
@@ -260,14 +291,14 @@ def token_counts(docs: DataFrame, path: str) -> DataFrame:
     """
     ship(docs.sparkSession)
     texts = docs.select("doc_id", "text")
-    packed = texts.mapInArrow(_pack, "key long, pack long, entries binary")
+    packed = texts.mapInArrow(_pack, "pack long, key long, short long, entries binary")
     counts = (
         docs.select("text").mapInArrow(_distinct, "pretoken string").distinct()
         .mapInArrow(_count(path), "key long, pieces int")
     )
     sums = (
         packed.join(counts, "key", "left")
-        .select("pack", "entries", F.col("pieces").cast("long").alias("pieces"))
+        .select("pack", "short", "entries", F.col("pieces").cast("long").alias("pieces"))
         .mapInArrow(_sum, "pack long, ids binary, sums binary")
     )
     return sums.groupBy("pack").applyInArrow(_spell_out, "doc_id long, n_bytes long, n_tokens long")
