@@ -138,6 +138,21 @@ def test_repeated_passages_are_found(documents):
     assert all(rows[i].n_passages == 0 for i in (0, 1, 2, *range(len(texts), len(texts) + 10)))
 
 
+def test_passages_of_frequent_lines_are_found(spark):
+    rnd = random.Random(1)
+    word = lambda: "w" + str(rnd.randrange(10**7))
+    lines = [[word() for _ in range(12)] for _ in range(40)]
+    texts = [[rnd.choice(lines) for _ in range(20)] for _ in range(100)]
+    planted = {frozenset((i, i + 1)) for i in range(0, 60, 2)}
+    for i, j in map(sorted, planted):
+        passage = sum((rnd.choice(lines) for _ in range(5)), [])
+        for text in (texts[i], texts[j]):
+            text.insert(rnd.randrange(21), [word(), *passage, word()])
+    rows = [(i, " ".join(sum(t, []))) for i, t in enumerate(texts)]
+    pairs = compact_windows.passage_pairs(spark.createDataFrame(rows, "text_key long, text string"))
+    assert planted <= {frozenset((r.a, r.b)) for r in pairs.collect()}
+
+
 def test_benchmark_passages_are_found(spark, documents):
     rnd = random.Random(6)
     word = lambda: "w" + str(rnd.randint(0, 10**5))
