@@ -1,8 +1,9 @@
 """Quality rules: word statistics, fixed limits, and robust multivariate outliers.
 
 Each document's statistics become a vector of six transformed shares. Per language and source, the minimum covariance
-determinant is sought by concentration steps: the three quarters of the vectors nearest to the present centre give
-the next centre and covariance. A document is rejected when its Mahalanobis distance from its group's estimate is
+determinant is sought by concentration steps: the half of the vectors nearest to the present centre gives the next
+centre and covariance. Steps begin at several starts and end when no determinant falls any more; per key the fit of
+the least determinant is kept. A document is rejected when its Mahalanobis distance from its group's estimate is
 large. Vectors are whole numbers, so that sums, and with them the estimates, don't depend on the order of rows; the
 quantiles come from counts per step of distance, so that a group of any size is only ever aggregated.
 
@@ -28,10 +29,11 @@ MAX_REPEATED = 50
 """Per cent of the words that may lie in repeated three-word windows."""
 
 MIN_GROUP = 200
-CORE = 0.75
+CORE = 0.5
 """Share of a group's vectors that the estimate rests on."""
 
-STEPS = 6
+STEPS = 30
+"""Steps at most; they end before when no determinant falls by more than a thousandth."""
 
 SCALE = 1000
 """Vectors are given in thousandths."""
@@ -181,48 +183,60 @@ def _invert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, j in _pairs():
             cov[:, i, j] = cov[:, j, i] = batch.column(f"q{i}{j}").to_numpy() / n - mean[:, i] * mean[:, j]
         inverse = np.linalg.inv(cov + floor)
+        spread = np.linalg.slogdet(cov + floor)[1]
         yield pa.record_batch(
-            {"key": batch.column("key")}
+            {"key": batch.column("key"), "start": batch.column("start"), "spread": spread}
             | {f"m{i}": mean[:, i] for i in range(p)}
             | {f"i{i}{j}": inverse[:, i, j] for i, j in _pairs()}
         )
 
 
 _FIT = ", ".join(
-    ["key string", *[f"m{i} double" for i in range(len(FEATURES))], *[f"i{i}{j} double" for i, j in _pairs()]]
+    ["key string", "start int", "spread double", *[f"m{i} double" for i in range(len(FEATURES))], *[f"i{i}{j} double" for i, j in _pairs()]]
 )
 
 
-def _medians(rows: DataFrame) -> DataFrame:
-    """Exact medians of each feature per key, and the spread floors as the first covariance."""
+def _starts(rows: DataFrame) -> DataFrame:
+    """Per key several starts: the exact medians, lower and upper quartiles of each feature; spread floors as covariance."""
     long = rows.select(
-        "key", F.posexplode(F.array(*[F.col(f) for f in FEATURES])).alias("feature", "value")
+        "key", "home", F.posexplode(F.array(*[F.col(f) for f in FEATURES])).alias("feature", "value")
     )
-    counts = long.groupBy("key", "feature", "value").count()
+    counts = long.groupBy("key", "home", "feature", "value").count()
     up = Window.partitionBy("key", "feature").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy("key", "feature")
-    middle = (
-        counts.withColumn("below", F.sum("count").over(up)).withColumn("all", F.sum("count").over(whole))
-        .filter("2 * below >= all").groupBy("key", "feature").agg(F.min("value").alias("value"))
+    below = counts.withColumn("below", F.sum("count").over(up)).withColumn("all", F.sum("count").over(whole))
+    middle = below.groupBy("key", "home", "feature").agg(
+        F.array(
+            *[F.min(F.when(F.col("below") >= q * F.col("all"), F.col("value"))) for q in (0.5, 0.25, 0.75)]
+        ).alias("values")
     )
-    wide = middle.groupBy("key").agg(
-        *[F.max(F.when(F.col("feature") == i, F.col("value"))).cast("double").alias(f"m{i}") for i in range(len(FEATURES))]
+    wide = middle.groupBy("key", "home").agg(
+        *[F.max(F.when(F.col("feature") == i, F.col("values"))).alias(f"v{i}") for i in range(len(FEATURES))]
     )
+    own = wide.select("key", F.explode(F.array(*[F.lit(k) for k in range(3)])).alias("start"), *[f"v{i}" for i in range(len(FEATURES))])
+    # The language's medians are a start of its groups too.
+    lead = wide.select(F.col("key").alias("home"), *[f"v{i}" for i in range(len(FEATURES))])
+    home = wide.filter("home is not null").select("key", "home").join(lead, "home").select(
+        "key", F.lit(3).alias("start"), *[f"v{i}" for i in range(len(FEATURES))]
+    )
+    pick = F.when(F.col("start") == 3, 0).otherwise(F.col("start"))
     # The first distances count each feature in units of the spread it needs to be odd.
-    return wide.select(
-        "*", *[F.lit(1.0 / LEAST_SPREAD[i] ** 2 if i == j else 0.0).alias(f"i{i}{j}") for i, j in _pairs()]
+    return own.union(home).select(
+        "key", "start", F.lit(float("inf")).alias("spread"),
+        *[F.get(F.col(f"v{i}"), pick).cast("double").alias(f"m{i}") for i in range(len(FEATURES))],
+        *[F.lit(1.0 / LEAST_SPREAD[i] ** 2 if i == j else 0.0).alias(f"i{i}{j}") for i, j in _pairs()],
     )
 
 
 def _quantile(rows: DataFrame, share: float) -> DataFrame:
-    """Per key the first step of distance that ``share`` of the rows don't exceed."""
-    counts = rows.groupBy("key", "step").count()
-    up = Window.partitionBy("key").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
+    """Per key and start the first step of distance that ``share`` of the rows don't exceed."""
+    counts = rows.groupBy("key", "start", "step").count()
+    up = Window.partitionBy("key", "start").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
     return (
         counts.withColumn("below", F.sum("count").over(up))
-        .withColumn("all", F.sum("count").over(Window.partitionBy("key")))
+        .withColumn("all", F.sum("count").over(Window.partitionBy("key", "start")))
         .filter(F.col("below") >= share * F.col("all"))
-        .groupBy("key").agg(F.min("step").alias("limit"), F.max("all").alias("size"))
+        .groupBy("key", "start").agg(F.min("step").alias("limit"), F.max("all").alias("size"))
     )
 
 
@@ -232,27 +246,36 @@ def fit_groups(stats: DataFrame) -> DataFrame:
     ``stats`` are the rows of ``statistics`` that haven't failed the fixed limits. ``unit`` brings the median of the
     squared distances to that of a normal group.
     """
-    rows = cut_lineage(
-        stats.select(F.explode(F.array("group", "language", F.lit("all"))).alias("key"), *FEATURES)
+    keyed = [("group", F.col("language")), ("language", F.lit(None).cast("string")), (None, F.lit(None).cast("string"))]
+    levels = F.array(
+        *[F.struct((F.col(c) if c else F.lit("all")).alias("key"), home.alias("home")) for c, home in keyed]
     )
-    fit = cut_lineage(_medians(rows))
+    rows = cut_lineage(stats.select(F.explode(levels).alias("k"), *FEATURES).select("k.key", "k.home", *FEATURES))
+    fit = cut_lineage(_starts(rows))
     for _ in range(STEPS):
-        away = rows.join(fit, "key").select("key", *FEATURES, _step_of(_distance()).alias("step"))
-        core = away.join(cut_lineage(_quantile(away, CORE)), "key").filter("step <= limit")
-        sums = core.groupBy("key").agg(
+        away = rows.join(fit, "key").select("key", "start", *FEATURES, _step_of(_distance()).alias("step"))
+        core = away.join(cut_lineage(_quantile(away, CORE)), ["key", "start"]).filter("step <= limit")
+        sums = core.groupBy("key", "start").agg(
             F.count(F.lit(1)).alias("n"),
             *[F.sum(f).alias(f"s{i}") for i, f in enumerate(FEATURES)],
             *[F.sum(F.col(FEATURES[i]) * F.col(FEATURES[j])).alias(f"q{i}{j}") for i, j in _pairs()],
         )
-        fit = cut_lineage(sums.mapInArrow(_invert, _FIT))
-    away = rows.join(fit, "key").select("key", _step_of(_distance()).alias("step"))
+        new = cut_lineage(sums.mapInArrow(_invert, _FIT))
+        old = fit.select("key", "start", F.col("spread").alias("before"))
+        falls = not new.join(old, ["key", "start"]).filter("spread < before - 0.001").isEmpty()
+        fit = new
+        if not falls:
+            break
+    least = fit.groupBy("key").agg(F.min(F.struct("spread", "start")).alias("l")).select("key", F.col("l.start").alias("start"))
+    fit = cut_lineage(fit.join(least, ["key", "start"]).drop("spread"))
+    away = rows.join(fit, "key").select("key", "start", _step_of(_distance()).alias("step"))
     middle = _quantile(away, 0.5).select(
         "key",
         "size",
         # A group far narrower than the least spread isn't stretched to a normal one.
         F.greatest((F.pow(2.0, F.col("limit") / 64) - 1) / 1000 / _MEDIAN, F.lit(0.25)).alias("unit"),
     )
-    return cut_lineage(fit.join(middle, "key"))
+    return cut_lineage(fit.drop("start").join(middle, "key"))
 
 
 def _chosen(stats: DataFrame, fit: DataFrame) -> DataFrame:

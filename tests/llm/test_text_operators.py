@@ -123,6 +123,18 @@ def test_outliers_go_and_clean_documents_stay(documents):
     assert not any(rows[300 + i] for i in range(12))
 
 
+def test_junk_of_two_fifths_goes(spark):
+    rnd = random.Random(12)
+    word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(3, 8)))
+    rows = []
+    for i in range(400):
+        junk = i % 5 < 2
+        words = [("#$%&" + word() if junk and k % 2 else word()) + ("," if k % 9 == 0 else "") for k in range(120)]
+        rows.append((i, " ".join(words).capitalize() + ".", "en", "src0"))
+    found = quality.quality(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))
+    assert {r.doc_id for r in found.collect() if not r.kept} == {i for i in range(400) if i % 5 < 2}
+
+
 def test_licences(documents):
     mit = licenses.KNOWN[0][1]
     sample = [mit.upper() + "\n", "Copyright (c) 2020 Somebody\n\n" + mit, "some text\nReleased under the MIT licence.\n", None, ""]
