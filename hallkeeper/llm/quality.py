@@ -138,15 +138,16 @@ def _measure(kept: tuple[str, ...]):
     return run
 
 
-def _group_key(*columns: str) -> Column:
-    """A group's name; null is a value of its own."""
-    return F.to_json(F.struct(*[F.col(c).cast("string").alias(f"k{i}") for i, c in enumerate(columns)]))
+def _group_key(level: str, *columns: str) -> Column:
+    """A group's name, with its level; null is a value of its own."""
+    names = F.struct(*[F.col(c).cast("string").alias(f"k{i}") for i, c in enumerate(columns)])
+    return F.concat(F.lit(f"{level} "), F.to_json(names, {"ignoreNullFields": "false"}))
 
 
 def statistics(docs: DataFrame, *kept: str) -> DataFrame:
     """The ``kept`` columns, the group, the word statistics, the vector, and base_failed of each document."""
     ship(docs.sparkSession)
-    texts = docs.select(*kept, "text", _group_key("lang", "source").alias("group"), _group_key("lang").alias("language"))
+    texts = docs.select(*kept, "text", _group_key("group", "lang", "source").alias("group"), _group_key("language", "lang").alias("language"))
     names = (*kept, "group", "language")
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema.fields if f.name in names]
     longs = [f"{c} long" for c in (*_STATISTICS, *FEATURES)]

@@ -135,6 +135,12 @@ def test_junk_of_two_fifths_goes(spark):
     assert {r.doc_id for r in found.collect() if not r.kept} == {i for i in range(400) if i % 5 < 2}
 
 
+def test_groups_without_source_have_keys_of_their_own(spark):
+    rows = [("a b c", lang, source) for lang in ("en", None) for source in ("src0", None)]
+    found = quality.statistics(spark.createDataFrame(rows, "text string, lang string, source string")).collect()
+    assert len({r.group for r in found}) == 4 and not {r.group for r in found} & {r.language for r in found}
+
+
 def test_licences(documents):
     mit = licenses.KNOWN[0][1]
     sample = [mit.upper() + "\n", "Copyright (c) 2020 Somebody\n\n" + mit, "some text\nReleased under the MIT licence.\n", None, ""]
