@@ -68,6 +68,7 @@ KNOWN = (
     ("ISC", "SPDX-License-Identifier: ISC"),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
+    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC0-1.0", "This work is dedicated to the public domain under CC0 1.0."),
@@ -93,8 +94,24 @@ SPELLINGS = (
     ("v2.0", "2.0"),
 )
 
-COPYRIGHT_LINE = r"(?m)^[^a-z0-9\n]*(copyright|\(c\)|©)([^\n]*)$"
-"""A line that begins so, in lower case, is left out."""
+_NO_HOLDER = ("notice", "notices", "holder", "holders", "owner", "owners", "license", "licence", "law", "laws", "and", "or", "statement", "interest")
+
+
+def _other_word(words: tuple[str, ...]) -> str:
+    """A pattern, without look-ahead, for the beginning of a word that is none of ``words``."""
+    firsts = sorted({w[0] for w in words if w})
+    ways = [c + _other_word(tuple(w[1:] for w in words if w[:1] == c)) for c in firsts]
+    ways.append(f"[^{''.join(firsts)}\\P{{L}}]" if firsts else r"\p{L}")
+    if "" not in words:
+        ways.append(r"(?:[^\p{L}\n]|$)")
+    return "(?:" + "|".join(ways) + ")"
+
+
+COPYRIGHT_LINE = (
+    r"(?m)^[^a-z0-9\n]*(?:(?:copyright|\(c\)|©)[^\n]*(?:19|20)[0-9]{2}|copyright *(?:\(c\)|©|\[|<)|©"
+    r"|copyright +" + _other_word(_NO_HOLDER) + r")[^\n]*$"
+)
+"""A line that begins so, in lower case, is left out: it holds a year or a holder."""
 
 
 def canonical(text: Column) -> Column:

@@ -157,6 +157,13 @@ read as text.</p></article><aside class=sidebar><p>Related: another story you ma
 <footer>&copy; someone</footer><script>var x = "<p>no</p>";</script></body></html>"""
 
 
+def test_wrapped_licences_and_notices(documents):
+    body = licenses._ISC_BODY.replace("that the above copyright", "that the above\ncopyright")
+    sample = ["Copyright (c) 2020 A\n\n" + body, "Copyright Jo Doe\n" + body, "Licensed under CC BY-NC 4.0."]
+    found = {r.doc_id: r.license_id for r in licenses.scan_licenses(documents(sample)).collect()}
+    assert found == {0: "ISC", 1: "ISC", 2: "CC-BY-NC-4.0"}
+
+
 def test_main_text(spark):
     pages = spark.createDataFrame([(0, "u", PAGE), (1, None, None), (2, "u", ""), (0, "u", PAGE), (3, "u", "<p>open <b")], "page_id long, url string, html string")
     rows = html_text.extract_text(pages).collect()
