@@ -9,7 +9,7 @@ ROOT = pathlib.Path(__file__).resolve().parents[1]
 sys.path.insert(0, str(ROOT))
 sys.path.insert(0, str(ROOT / "tests"))
 
-SMALL = "/root/testdata/sf0.001"
+from paths import SMALL  # noqa: E402
 
 
 @pytest.fixture(scope="session")

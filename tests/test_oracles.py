@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import pytest
 from check_oracles import compare, connect
-from conftest import SMALL
+from paths import SMALL
 
 import __spark_entry__ as entry
 

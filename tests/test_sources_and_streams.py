@@ -22,7 +22,7 @@ from hallkeeper.session import cut_lineage, shared_folder
 from hallkeeper.sources import store
 from hallkeeper.sources.testdata import AS_OF, NOW, PROJECTIONS
 from hallkeeper.streaming import notices
-from conftest import SMALL
+from paths import SMALL
 
 AT = Moment(AS_OF, NOW)
 
