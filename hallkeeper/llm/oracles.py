@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from hallkeeper.llm import licenses
+from hallkeeper.llm import lexical_search, licenses
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": licenses.oracle()}
+    return {"op1_license_scan": licenses.oracle(), "op11_lexical_search": lexical_search.ORACLE}
