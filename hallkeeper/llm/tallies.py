@@ -54,3 +54,10 @@ class Tally:
             for a in range(0, len(key), 50_000):
                 some = words[a : a + 50_000].cast(pa.large_string())
                 yield pa.record_batch({name: some.cast(pa.string()), "n": n[a : a + 50_000]})
+
+
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[ord("A") : ord("Z") + 1] += 32
+
+SECOND = np.random.default_rng(13).permutation(256).astype(np.uint8)
+"""Bytes dealt anew: the hash of a string's bytes and that of these together have 128 bits."""
