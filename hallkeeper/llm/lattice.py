@@ -34,7 +34,7 @@ from hallkeeper.session import cut_lineage
 SMOOTHING = 0.1
 
 HEAD = 100_000
-"""Most frequent words that are broadcast, 32 bytes each; all others are joined."""
+"""Most frequent words, at most, that are broadcast, 32 bytes each; all others are joined."""
 
 WIDE = 64
 """Characters up to which words are scored side by side; longer ones are scored one by one."""
@@ -272,6 +272,20 @@ def _look_up(sent):
     return run
 
 
+def _most_frequent(scored: DataFrame) -> DataFrame:
+    """The words from the least class of counts on that leaves HEAD words at most; classes are 32 to a doubling."""
+    level = F.floor(F.log2(F.col("c").cast("double")) * 32)
+    sizes = scored.filter("c > 0").groupBy(level.alias("level")).count().collect()  # 2048 classes at most
+    least, held = None, 0
+    for r in sorted(sizes, key=lambda r: -r.level):
+        held += r["count"]
+        if held > HEAD:
+            break
+        least = r.level
+    head = scored.filter(F.col("c") > 0).filter(level >= least) if least is not None else scored.filter("false")
+    return head.select("key", "check", "c", "score")
+
+
 def lm_scores(docs: DataFrame, path: str) -> DataFrame:
     """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score.
 
@@ -294,7 +308,7 @@ def lm_scores(docs: DataFrame, path: str) -> DataFrame:
     found = counts.filter("c > 0").mapInArrow(_count_pieces(path), "piece long, n long").groupBy("piece").agg(F.sum("n").alias("n"))
     pieces = weigh_pieces(path, {r.piece: r.n for r in found.collect()}, ends)  # as many rows as the vocabulary has
     scored = cut_lineage(counts.mapInArrow(_score(context.broadcast(pieces)), "key long, check long, c long, score double"))
-    head = scored.orderBy(F.desc("c"), "key", "check").limit(HEAD).toArrow()
+    head = _most_frequent(scored).toArrow()
     head = [head.column(c).to_numpy() for c in ("key", "check", "c", "score")]
     head = [head[0].view(np.uint64), head[1].view(np.uint64), *head[2:]]
     order = np.argsort(head[0])
