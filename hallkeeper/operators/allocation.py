@@ -1,4 +1,4 @@
-"""Batch allocation: approvals with rooms, room moves, visitor and account intake.
+"""Batch allocation: approvals with rooms, visitor and account intake.
 
 Where the source handles one request and raises on the first broken rule, these
 take all requests, carry out those that can be, and return the others with the
@@ -15,11 +15,11 @@ from pyspark.sql import functions as F
 
 from hallkeeper.functions.claims import Claim, grant_in_order
 from hallkeeper.functions.columns import status_rank
-from hallkeeper.functions.ranking import Cell, first_per_key, id_block, row_rank, union_all
+from hallkeeper.functions.ranking import Cell, first_per_key, id_block, row_rank
 from hallkeeper.functions.skew import spread_join
 from hallkeeper.operators import rules
 from hallkeeper.operators.facts import ASSIGNABLE_ROOM, active, free_bed
-from hallkeeper.operators.queues import QUEUED_APPLICATION, due_transfers
+from hallkeeper.operators.queues import QUEUED_APPLICATION
 from hallkeeper.operators.repairs import HOUSING, Moment, ranked_free_beds, run_steps
 from hallkeeper.session import cut_lineage
 from hallkeeper.tables import Tables
@@ -172,238 +172,6 @@ def apply_approvals(t: Tables, outcomes: DataFrame, at: Moment) -> Tables:
     return run_steps(after, HOUSING, at)[0]
 
 
-# Room moves
-
-
-@dataclass(frozen=True)
-class Moves:
-    """Carried-out moves and refused transfers with their reason."""
-
-    done: DataFrame
-    refused: DataFrame
-
-
-def _occupancy(stays: DataFrame, beds: DataFrame) -> DataFrame:
-    """(RoomID, Residents, TotalBeds, FreeBeds) from narrow stays and beds."""
-    residents = stays.groupBy("RoomID").agg(F.count(F.lit(1)).alias("Residents"))
-    used = stays.filter(F.col("BedSlotID").isNotNull()).select("BedSlotID", F.lit(True).alias("__used")).distinct()
-    counted = (
-        beds.join(used, "BedSlotID", "left")
-        .groupBy("RoomID")
-        .agg(
-            F.count(F.lit(1)).alias("TotalBeds"),
-            F.count_if(F.col("__used").isNull() & ~F.col("IsReserved")).alias("FreeBeds"),
-        )
-    )
-    return residents.join(counted, "RoomID", "full").fillna(0, ["Residents", "TotalBeds", "FreeBeds"])
-
-
-def _ranked_open_beds(stays: DataFrame, beds: DataFrame, known_beds: int) -> DataFrame:
-    """(RoomID, rn, __bed): beds nobody holds, unreserved, in hand-out order."""
-    used = stays.filter(F.col("BedSlotID").isNotNull()).select("BedSlotID")
-    open_beds = beds.join(used, "BedSlotID", "left_anti").withColumn("IsOccupied", F.lit(False))
-    return ranked_free_beds(open_beds, known_beds).withColumnRenamed("BedSlotID", "__bed")
-
-
-def _seat_waiting(stays: DataFrame, beds: DataFrame, known_stays: int, known_beds: int) -> DataFrame:
-    """Stays with free beds handed to those without one, oldest check-in first."""
-    waiting = stays.filter(F.col("BedSlotID").isNull()).join(beds, "RoomID", "left_semi")
-    cells = [Cell(F.col("CheckInDate")), Cell(id_block("AssignmentID"))]
-    queue = row_rank(
-        waiting.select("RoomID", "AssignmentID", "CheckInDate"),
-        ["RoomID"], [F.asc("CheckInDate"), F.asc("AssignmentID")], cells, known_rows=known_stays,
-    )
-    given = queue.join(_ranked_open_beds(stays, beds, known_beds), ["RoomID", "rn"]).select("AssignmentID", "__bed")
-    return (
-        stays.join(given, "AssignmentID", "left")
-        .withColumn("BedSlotID", F.coalesce("BedSlotID", "__bed"))
-        .drop("__bed")
-    )
-
-
-def _judged(pending: DataFrame, stays: DataFrame, beds: DataFrame, rooms: DataFrame, known_rows: int) -> DataFrame:
-    """Pending transfers with destination state and first broken rule."""
-    sources = stays.groupBy("StudentID", F.col("RoomID").alias("FromRoomID")).agg(F.count(F.lit(1)).alias("Sources"))
-    state = rooms.join(_occupancy(stays, beds), "RoomID", "left").fillna(0, ["Residents", "TotalBeds", "FreeBeds"])
-    places = state.withColumnRenamed("RoomID", "ToRoomID")
-    wide = spread_join(pending, sources, ["StudentID", "FromRoomID"], known_rows=known_rows)
-    wide = spread_join(wide, places, ["ToRoomID"], hot_in=pending, known_rows=known_rows)
-    admitted = F.col("GenderAllowed").isin("Mixed") | F.coalesce(F.col("GenderAllowed") == F.col("Gender"), F.lit(False))
-    reason = rules.first_broken(
-        ("no_active_source", F.col("Sources").isNull()),
-        ("room_not_found", F.col("RoomStatus").isNull()),
-        ("building_not_active", F.col("BuildingStatus") != "Active"),
-        ("room_not_assignable", ~F.col("RoomStatus").isin(*ASSIGNABLE_ROOM)),
-        ("room_full", F.col("Residents") >= F.col("Capacity")),
-        ("gender_not_admitted", ~admitted),
-        ("no_free_bed", (F.col("TotalBeds") > 0) & (F.col("FreeBeds") < 1)),
-    )
-    return wide.withColumn("Reason", reason)
-
-
-def _with_sources(
-    eligible: DataFrame, stays: DataFrame, order: list[Column], cells: list[Cell], known_rows: int, known_stays: int
-) -> DataFrame:
-    """Eligible transfers with the stay each one ends.
-
-    Of a student's transfers out of one room the n-th ends the n-th latest stay
-    there; transfers beyond the stays wait.
-    """
-    place = ["StudentID", "FromRoomID"]
-    latest = row_rank(
-        stays.select(
-            "StudentID",
-            F.col("RoomID").alias("FromRoomID"),
-            F.col("AssignmentID").alias("OldAssignmentID"),
-            F.col("CheckInDate").alias("SourceCheckIn"),
-            "ContractDuration",
-        ).filter(F.col("StudentID").isNotNull()),
-        place,
-        [F.desc("SourceCheckIn"), F.desc("OldAssignmentID")],
-        [Cell(F.col("SourceCheckIn"), True), Cell(id_block("OldAssignmentID"), True)],
-        known_rows=known_stays,
-    )
-    asked = row_rank(eligible, place, order, cells, known_rows=known_rows)
-    return asked.join(latest, [*place, "rn"]).drop("rn")
-
-
-def complete_transfers(t: Tables, transfer_ids: DataFrame, at: Moment) -> Moves:
-    """Move students for the given TransferID rows, in rounds.
-
-    A round judges every waiting transfer against the current state, gives each
-    eligible one the stay it ends, and admits them per destination in order of
-    approval date (missing first) and id while seats and beds last. Seats and
-    beds left behind are free in the next round; a round that admits nobody is
-    the last. Every round admits at least one transfer, so it ends.
-    """
-    order = [F.asc("__approved"), F.asc("TransferID")]
-    cells = [Cell(F.col("__approved")), Cell(id_block("TransferID"))]
-    genders = t.student.select("StudentID", "Gender")
-    asked = t.room_transfer.filter(F.col("Status").isin("Pending", "Approved")).join(
-        transfer_ids, "TransferID", "left_semi"
-    )
-    pending = cut_lineage(
-        asked.join(genders, "StudentID").select(
-            "TransferID", "StudentID", "FromRoomID", "ToRoomID", "Gender",
-            F.coalesce("EffectiveMoveDate", at.date).alias("WantedDate"),
-            F.coalesce("ApprovalDate", F.lit("0001-01-01").cast("date")).alias("__approved"),
-        )
-    )
-    touched = (
-        pending.select(F.col("FromRoomID").alias("RoomID")).unionByName(pending.select(F.col("ToRoomID").alias("RoomID")))
-    ).distinct()
-    rooms = cut_lineage(rules.room_frame(t).select(
-        "RoomID", "RoomStatus", "BuildingStatus", "GenderAllowed", "Capacity", "MonthlyRent", "DepositAmount"
-    ).join(touched, "RoomID", "left_semi"))
-    beds = cut_lineage(
-        t.bed_slot.join(touched, "RoomID", "left_semi").select("BedSlotID", "RoomID", "BedNumber", "IsReserved")
-    )
-    held = active(t.room_assignment).select(
-        "AssignmentID", "StudentID", "RoomID", "BedSlotID", "CheckInDate", "ContractDuration"
-    )
-    # Stays in touched rooms, and stays elsewhere that hold one of their beds.
-    inside = held.join(touched, "RoomID", "left_semi")
-    outside = held.join(touched, "RoomID", "left_anti").join(beds, "BedSlotID", "left_semi")
-    stays = cut_lineage(inside.select(*held.columns).unionByName(outside.select(*held.columns)))
-    # A move ends one stay and starts one, so this count holds for every round.
-    known_rows, known_stays, known_beds = pending.count(), stays.count(), beds.count()
-    stays = cut_lineage(_seat_waiting(stays, beds, known_stays, known_beds))
-    base = t.room_assignment.select(F.coalesce(F.max("AssignmentID"), F.lit(0))).scalar()
-
-    rounds: list[DataFrame] = []
-    while True:
-        eligible = cut_lineage(_judged(pending, stays, beds, rooms, known_rows).filter(F.col("Reason").isNull()))
-        first = _with_sources(eligible, stays, order, cells, known_rows, known_stays)
-        seats = F.col("Capacity") - F.col("Residents")
-        room_for = F.when(F.col("TotalBeds") > 0, F.least(seats, F.col("FreeBeds"))).otherwise(seats)
-        ranked = row_rank(first, ["ToRoomID"], order, cells, known_rows=known_rows).filter(F.col("rn") <= room_for)
-        open_beds = _ranked_open_beds(stays, beds, known_beds).withColumnRenamed("RoomID", "ToRoomID")
-        moved = cut_lineage(
-            ranked.join(open_beds, ["ToRoomID", "rn"], "left").select(
-                "TransferID", "StudentID", "FromRoomID", "ToRoomID", "OldAssignmentID",
-                (base + 1 + F.col("TransferID")).alias("NewAssignmentID"),
-                F.col("__bed").alias("BedSlotID"),
-                F.greatest("WantedDate", "SourceCheckIn").alias("MoveDate"),
-                "MonthlyRent",
-                F.coalesce("DepositAmount", F.lit(0)).cast("decimal(10,2)").alias("DepositAmount"),
-                "ContractDuration",
-                F.lit(len(rounds) + 1).alias("Round"),
-            )
-        )
-        if moved.isEmpty():
-            break
-        rounds.append(moved)
-        left_behind = stays.join(moved.select(F.col("OldAssignmentID").alias("AssignmentID")), "AssignmentID", "left_anti")
-        arrived = moved.select(
-            F.col("NewAssignmentID").alias("AssignmentID"), "StudentID", F.col("ToRoomID").alias("RoomID"), "BedSlotID",
-            F.col("MoveDate").alias("CheckInDate"), "ContractDuration",
-        )
-        stays = cut_lineage(_seat_waiting(left_behind.unionByName(arrived), beds, known_stays, known_beds))
-        pending = cut_lineage(pending.join(moved, "TransferID", "left_anti"))
-
-    refused = _judged(pending, stays, beds, rooms, known_rows).select("TransferID", "StudentID", "FromRoomID", "ToRoomID", "Reason")
-    done = union_all(rounds) if rounds else moved
-    return Moves(done, refused)
-
-
-def complete_due(t: Tables, at: Moment) -> Moves:
-    """Carry out every approved transfer whose move is due and not yet made."""
-    return complete_transfers(t, due_transfers(t, at.as_of).select("TransferID"), at)
-
-
-def move_outcomes(t: Tables, at: Moment) -> DataFrame:
-    """Due transfers with outcome: (TransferID, StudentID, ToRoomID, Round, BedSlotID, MoveDate, Reason)."""
-    moves = complete_due(t, at)
-    done = moves.done.select(
-        "TransferID", "StudentID", "ToRoomID", "Round", "BedSlotID", "MoveDate", F.lit(None).cast("string").alias("Reason")
-    )
-    refused = moves.refused.select("TransferID", "StudentID", "ToRoomID", "Reason")
-    return done.unionByName(refused, allowMissingColumns=True)
-
-
-def apply_moves(t: Tables, moves: Moves, at: Moment) -> Tables:
-    """The tables after the moves: stays, logs, transfers, notices, then housing repairs."""
-    done = moves.done
-    ends = done.select(F.col("OldAssignmentID").alias("AssignmentID"), F.col("MoveDate").alias("__end"))
-    arrived = done.select(
-        F.col("NewAssignmentID").alias("AssignmentID"), "StudentID", F.col("ToRoomID").alias("RoomID"), "BedSlotID",
-        F.col("MoveDate").alias("CheckInDate"), F.lit("Active").alias("Status"), "ContractDuration",
-    )
-    # A stay made by one move may be ended by a later one.
-    stays = t.room_assignment.unionByName(arrived, allowMissingColumns=True).join(ends, "AssignmentID", "left")
-    ended = F.col("__end").isNotNull()
-    stay_values = {
-        "Status": F.when(ended, "Completed").otherwise(F.col("Status")),
-        "ActualCheckOutDate": F.when(ended, F.coalesce("ActualCheckOutDate", "__end")).otherwise(F.col("ActualCheckOutDate")),
-    }
-    dates = done.select("TransferID", F.col("MoveDate").alias("__moved"))
-    transfers = t.room_transfer.join(dates, "TransferID", "left")
-    hit = F.col("__moved").isNotNull()
-    transfer_values = {
-        "Status": F.when(hit, "Completed").otherwise(F.col("Status")),
-        "ApprovalDate": F.when(hit, F.coalesce("ApprovalDate", at.date)).otherwise(F.col("ApprovalDate")),
-        "EffectiveMoveDate": F.coalesce("__moved", "EffectiveMoveDate"),
-    }
-
-    def rewritten(df: DataFrame, columns: list[str], values: dict[str, Column]) -> DataFrame:
-        return df.select(*[values[c].alias(c) if c in values else F.col(c) for c in columns])
-
-    notes = done.select(
-        new_id(t.notification, "NotificationID", F.col("TransferID")).alias("NotificationID"),
-        "StudentID",
-        F.lit("Room transfer completed").alias("Title"),
-        F.lit(False).alias("IsRead"),
-        at.time.alias("PublishDate"),
-        F.lit("Sent").alias("Status"),
-    )
-    after = t.replacing(
-        room_assignment=rewritten(stays, t.room_assignment.columns, stay_values),
-        room_transfer=rewritten(transfers, t.room_transfer.columns, transfer_values),
-        notification=t.notification.unionByName(notes, allowMissingColumns=True),
-    )
-    return run_steps(after, HOUSING, at)[0]
-
-
 # Intake
 
 

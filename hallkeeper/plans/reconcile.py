@@ -6,8 +6,9 @@ from collections.abc import Iterable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from hallkeeper.operators import allocation, repairs
+from hallkeeper.operators import moves, repairs
 from hallkeeper.operators.repairs import Moment
 from hallkeeper.session import cut_lineage
 from hallkeeper.tables import Tables
@@ -69,20 +70,20 @@ def _cut(t: Tables, names: Iterable[str]) -> Tables:
 
 def make_due_moves(t: Tables, at: Moment) -> Tables:
     """The last operational step: carry out due room transfers and repair housing after them."""
-    after = allocation.apply_moves(t, allocation.complete_due(t, at), at)
+    after = moves.apply_moves(t, moves.complete_due(t, at), at)
     return _cut(after, {"room_transfer", "notification", "room_assignment", "occupancy_log", "bed_slot", "room"})
 
 
-def reconcile_after(t: Tables, changed: set[str], at: Moment, moves: bool = True) -> Tables:
+def reconcile_after(t: Tables, changed: set[str], at: Moment, make_moves: bool = True) -> Tables:
     """Run the pipelines the changed tables call for, cutting lineage in between.
 
-    ``moves=False`` leaves due room transfers for another run.
+    ``make_moves=False`` leaves due room transfers for another run.
     """
     for name in pipelines_for(changed):
         steps = repairs.HOUSING if name == "housing" else repairs.OPERATIONAL
         after, _ = repairs.run_steps(t, steps, at)
         t = _cut(after, JOINED_TABLES & {table for step in steps for table in (step.table, *step.also)})
-        if name == "operational" and moves:
+        if name == "operational" and make_moves:
             t = make_due_moves(t, at)
     return t
 
@@ -93,5 +94,12 @@ def housing_counts(t: Tables, at: Moment) -> DataFrame:
 
 
 def operational_counts(t: Tables, at: Moment) -> DataFrame:
-    """(step, changed_rows) of the operational pipeline."""
+    """(step, changed_rows) of the operational pipeline up to the room moves."""
     return repairs.count_changes(reconcile_operational(t, at).changes, OPERATIONAL_COUNTS)
+
+
+def move_counts(t: Tables, at: Moment) -> DataFrame:
+    """(step, changed_rows) of the last operational step: due transfers completed after the others have run."""
+    ready = _cut(reconcile_operational(t, at).tables, {"room_transfer", "room_assignment"})
+    done = moves.complete_due(ready, at).done
+    return done.agg(F.count(F.lit(1)).alias("changed_rows")).select(F.lit("completed_due_transfers").alias("step"), "changed_rows")

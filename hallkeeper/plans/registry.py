@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from hallkeeper.functions.columns import enum_literals, initials, shortened, status_slug, text_or
 from hallkeeper.functions.ranking import union_all
-from hallkeeper.operators import allocation, browse, changes, checks, facts, finance, histories, queues, repairs, rules, snapshots, views
+from hallkeeper.operators import allocation, browse, changes, checks, facts, finance, histories, moves, queues, repairs, rules, snapshots, views
 from hallkeeper.operators.repairs import Moment
 from hallkeeper.plans import reconcile
 from hallkeeper.plans.sample_changes import REPAIRED_TABLES, later_tables, sample_changes
@@ -174,7 +174,7 @@ def _repair_queries() -> dict[str, Query]:
         return repairs.bed_fills(recounted)
 
     def checked_after(t: Tables) -> DataFrame:
-        repaired = reconcile.reconcile_after(t, {"room_assignment", "invoice"}, AT, moves=False)
+        repaired = reconcile.reconcile_after(t, {"room_assignment", "invoice"}, AT, make_moves=False)
         return checks.integrity_snapshot(repaired, AS_OF, REPAIRED_CHECKS)
 
     def saved(t: Tables, table: str) -> DataFrame:
@@ -234,12 +234,20 @@ def _allocation_queries() -> dict[str, Query]:
     def approvals(t: Tables) -> DataFrame:
         return allocation.approvals(reconciled(t), AT)
 
-    def moves(t: Tables) -> DataFrame:
-        return allocation.move_outcomes(t, AT)
+
+    def moved(t: Tables) -> Tables:
+        return moves.apply_moves(t, moves.complete_due(t, AT), AT)
+
+    def stays_after(t: Tables) -> DataFrame:
+        stays = moved(t).room_assignment.groupBy("StudentID", "RoomID", "Status")
+        return stays.agg(F.count(F.lit(1)).alias("Stays"))
 
     return {
+        "transfers_after_moves": _over_tables(lambda t: moved(t).room_transfer),
+        "stays_after_moves": _over_tables(stays_after),
+        "completed_due_transfers": _over_tables(reconcile.move_counts, AT),
         "approve_applications": _over_tables(approvals),
-        "complete_due_transfers": _over_tables(moves),
+        "complete_due_transfers": _over_tables(moves.move_outcomes, AT),
         "visitor_intake_permissions": _over_tables(lambda t: allocation.visitor_intake(t, AT).permissions),
         "visitor_intake_visitors": _over_tables(lambda t: allocation.visitor_intake(t, AT).visitors),
         "new_account_students": _over_tables(lambda t: allocation.new_accounts(t).students),

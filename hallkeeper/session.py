@@ -6,6 +6,8 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def local_session(cpus: int | str = 8, app: str = "hallkeeper", memory: str = "8g") -> SparkSession:
@@ -55,3 +57,26 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     folder = new_folder(df.sparkSession, "cut")
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+class Journal:
+    """Rows appended round by round to one folder of the shared storage, never rewritten.
+
+    Each round is a folder of its own, so a round that is run again after a failure replaces only itself.
+    """
+
+    def __init__(self, spark: SparkSession, name: str, schema: str):
+        self._spark, self._schema = spark, schema
+        self._folder = new_folder(spark, name)
+        self.append(spark.createDataFrame([], schema), 0)
+
+    def append(self, rows: DataFrame, number: int) -> DataFrame:
+        """Add the rows of a round; gives them back as written."""
+        types = StructType.fromDDL(self._schema)
+        kept = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in types.fields])
+        kept.write.mode("overwrite").parquet(f"{self._folder}/Round={number}")
+        return self._spark.read.schema(self._schema).parquet(f"{self._folder}/Round={number}")
+
+    def rows(self) -> DataFrame:
+        """The rows of all rounds so far, with their Round."""
+        return self._spark.read.schema(f"{self._schema}, Round int").parquet(self._folder)

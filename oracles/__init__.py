@@ -28,9 +28,9 @@ def with_projections(body: str) -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    from oracles import allocation, checks, finance, listings, repairs, rules, snapshots, views
+    from oracles import allocation, checks, finance, listings, moves, repairs, rules, snapshots, views
 
     bodies: dict[str, str] = {}
-    for module in (allocation, checks, finance, listings, repairs, rules, snapshots, views):
+    for module in (allocation, checks, finance, listings, moves, repairs, rules, snapshots, views):
         bodies.update(module.oracles())
     return {name: with_projections(body) for name, body in bodies.items()}

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hallkeeper.functions import ranking
-from hallkeeper.operators import allocation, checks, queues, repairs
+from hallkeeper.operators import allocation, checks, moves, queues, repairs
 from hallkeeper.operators.repairs import Moment
 from hallkeeper.plans import reconcile
 from hallkeeper.session import cut_lineage
@@ -268,18 +268,18 @@ def one_student(t):
 def test_moves_equal_the_documented_rounds(housed, change):
     t = change(housed)
     t = t.replacing(room_assignment=cut_lineage(t.room_assignment))
-    moves = allocation.complete_due(t, AT)
-    done = {r.TransferID: (r.Round, r.BedSlotID, r.MoveDate) for r in moves.done.collect()}
-    refused = {r.TransferID: r.Reason for r in moves.refused.collect()}
+    found = moves.complete_due(t, AT)
+    done = {r.TransferID: (r.Round, r.BedSlotID, r.MoveDate) for r in found.done.collect()}
+    refused = {r.TransferID: r.Reason for r in found.refused.collect()}
     assert (done, refused) == simulate_moves(t)
 
 
 def test_moves_are_applied(housed):
     t = roomier(housed)
-    moves = allocation.complete_due(t, AT)
-    done = moves.done.collect()
+    found = moves.complete_due(t, AT)
+    done = found.done.collect()
     assert done
-    after = allocation.apply_moves(t, moves, AT)
+    after = moves.apply_moves(t, found, AT)
     before = {r.row_key for r in checks.violations(t, "active_room_over_capacity", AS_OF).collect()}
     over = {r.row_key for r in checks.violations(after, "active_room_over_capacity", AS_OF).collect()}
     assert over <= before
@@ -323,7 +323,7 @@ def test_bed_fills_equal_a_sequential_loop(spark, small, monkeypatch, seed):
 
 
 def test_second_pipeline_run_changes_nothing(small):
-    once = reconcile.reconcile_after(small, {"room_assignment", "invoice"}, AT, moves=False)
+    once = reconcile.reconcile_after(small, {"room_assignment", "invoice"}, AT, make_moves=False)
     again = reconcile.reconcile_housing(once, AT).changes.unionByName(reconcile.reconcile_operational(once, AT).changes)
     assert again.collect() == []
 
@@ -354,3 +354,36 @@ def test_new_accounts_are_unique_and_clean(spark, small):
     # x1 comes first; its second try, x2 (national id taken) and x4 (email taken) lose; x3 gets b@x.
     assert {(r.StudentID, r.Email) for r in accounts.users.collect()} == {("x1", "a@x"), ("x3", "b@x")}
     assert {r.StudentID for r in accounts.students.collect()} == {"x1", "x3"}
+
+
+def test_later_rounds_judge_only_what_has_changed(spark, small):
+    """A chain of five moves next to a hundred transfers into rooms that stay full."""
+    rooms = [*range(6), *range(100, 200), *range(200, 300)]
+    pairs = [(i, i + 1) for i in range(5)] + [(100 + i, 200 + i) for i in range(100)]
+    stays = [(r, f"s{r}", r, None, dt.date(2024, 1, 1), "Active", "Year") for r in rooms if r != 5]
+    asked = [(a, f"s{a}", a, b, "Approved", dt.date(1998, 1, 1), None) for a, b in pairs]
+    t = small.replacing(
+        student=spark.createDataFrame([(f"s{r}", "Female") for r in rooms], "StudentID string, Gender string"),
+        room=small.room.limit(1).drop("RoomID", "Capacity", "CurrentOccupancy", "BuildingID", "Status").crossJoin(
+            spark.createDataFrame(
+                [(r, 1, int(r != 5), 1, "Available") for r in rooms],
+                "RoomID bigint, Capacity int, CurrentOccupancy int, BuildingID int, Status string",
+            )
+        ),
+        building=small.building.limit(1).withColumns(
+            {"BuildingID": F.lit(1), "Status": F.lit("Active"), "GenderAllowed": F.lit("Mixed")}
+        ),
+        bed_slot=small.bed_slot.limit(0),
+        room_assignment=spark.createDataFrame(
+            stays,
+            "AssignmentID bigint, StudentID string, RoomID bigint, BedSlotID bigint, CheckInDate date, Status string, ContractDuration string",
+        ),
+        room_transfer=spark.createDataFrame(
+            asked,
+            "TransferID bigint, StudentID string, FromRoomID bigint, ToRoomID bigint, Status string, ApprovalDate date, EffectiveMoveDate date",
+        ),
+    )
+    found = moves.complete_due(t, AT)
+    assert {r.TransferID: r.Round for r in found.done.collect()} == {4: 1, 3: 2, 2: 3, 1: 4, 0: 5}
+    assert {r.Reason for r in found.refused.collect()} == {"room_full"}
+    assert found.judged == (105, 1, 1, 1, 1)
