@@ -18,6 +18,7 @@ from hallkeeper.functions.columns import billed_total, date_value, time_value
 from hallkeeper.functions.ranking import Cell, id_block, row_rank, union_all
 from hallkeeper.operators import checks, facts
 from hallkeeper.operators.facts import active, free_bed
+from hallkeeper.schemas import KEYS
 from hallkeeper.session import cut_lineage
 from hallkeeper.tables import Tables
 
@@ -369,6 +370,13 @@ def run_steps(t: Tables, steps: Sequence[Repair], at: Moment) -> tuple[Tables, D
     return t, union_all(logs)
 
 
+def changed_rows(t: Tables, changes: DataFrame, table: str) -> DataFrame:
+    """The rows of a repaired table that the change log names."""
+    keys = changes.filter(F.col("table_name") == table).select("row_key").distinct()
+    keyed = t[table].withColumn("row_key", F.concat_ws("/", *[F.col(k).cast("string") for k in KEYS[table]]))
+    return keyed.join(keys, "row_key", "left_semi").select(*t[table].columns)
+
+
 def step_changes(t: Tables, steps: Sequence[Repair], step: str, at: Moment) -> DataFrame:
     """The change log of one step run on the given tables as they are."""
     repair = next(r for r in steps if r.step == step)

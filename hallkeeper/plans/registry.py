@@ -11,9 +11,11 @@ from hallkeeper.functions.columns import enum_literals, initials, shortened, sta
 from hallkeeper.functions.ranking import union_all
 from hallkeeper.operators import allocation, browse, changes, checks, facts, finance, histories, moves, queues, repairs, rules, snapshots, views
 from hallkeeper.operators.repairs import Moment
-from hallkeeper.plans import reconcile
-from hallkeeper.plans.sample_changes import REPAIRED_TABLES, later_tables, sample_changes
-from hallkeeper.session import new_folder
+from hallkeeper.plans import reach, reconcile
+from hallkeeper.plans.sample_changes import REPAIRED_TABLES, later_tables, sample_changes, sample_images
+from hallkeeper.schemas import KEYS
+from hallkeeper.session import cut_lineage, new_folder
+from hallkeeper.sources.bucketed import Store
 from hallkeeper.sources.testdata import AS_OF, NOW, testdata_tables
 from hallkeeper.streaming import notices
 from hallkeeper.tables import Tables
@@ -331,7 +333,48 @@ def _change_queries() -> dict[str, Query]:
         query.awaitTermination()
         return spark.read.parquet(f"{root}/notices")
 
+    def reconciled_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """Reconciled tables in a store; a stream of saved rows; what the rows it reaches hold in the end."""
+        base = reconcile.reconcile_after(testdata_tables(spark, sf_dir), {"room", "invoice"}, AT, make_moves=False)
+        names = {n for group in reach.GROUPS for r, called in group.steps for n in (r.table, *r.also, *called)}
+        root = new_folder(spark, "reconciled")
+        store = Store(spark, f"{root}/store", {n: KEYS[n] for n in sorted(names)}, 8).create(base)
+        notices.write_images(sample_images(store.tables(), AT), f"{root}/images")
+        stream = notices.read_images(spark, f"{root}/images")
+        notices.start_reconciling(stream, store, AT, f"{root}/batches", f"{root}/progress").awaitTermination()
+        t = store.tables()
+        shown = {
+            "room": ("RoomID", F.concat_ws("|", "CurrentOccupancy", "Status")),
+            "bed_slot": ("BedSlotID", F.col("IsOccupied").cast("string")),
+            "room_assignment": ("AssignmentID", F.concat_ws("|", "Status", "BedSlotID")),
+            "occupancy_log": ("LogID", F.concat_ws("|", "AssignmentID", "EndDate")),
+            "invoice": ("InvoiceID", F.col("PaymentStatus")),
+            "system_user": ("UserID", F.col("Email")),
+        }
+        return union_all(
+            [
+                t[n].select(F.lit(n).alias("table_name"), F.col(k).cast("string").alias("row_key"), v.alias("value"))
+                for n, (k, v) in shown.items()
+            ]
+        )
+
+    def stored(spark: SparkSession, sf_dir: str) -> Tables:
+        """Housing repairs carried out twice on stored tables, changed rows only."""
+        names = {"room", "bed_slot", "room_assignment", "occupancy_log"}
+        folder = new_folder(spark, "store")
+        store = Store(spark, folder, {n: KEYS[n] for n in sorted(names)}, 8).create(testdata_tables(spark, sf_dir))
+        for _ in range(2):
+            done = reconcile.reconcile_housing(store.tables(), AT)
+            log = cut_lineage(done.changes)
+            changed = {n: cut_lineage(repairs.changed_rows(done.tables, log, n)) for n in store.keys}
+            for name, rows in changed.items():
+                store.table(name).merge(rows)
+        return store.tables()
+
     return {
+        "reconciled_stream": reconciled_stream,
+        "stored_rooms_after_repairs": lambda spark, sf_dir: stored(spark, sf_dir).room,
+        "stored_logs_after_repairs": lambda spark, sf_dir: stored(spark, sf_dir).occupancy_log,
         "changed_columns": _over_tables(changed_columns),
         "notifications_batch": _over_tables(batch),
         "notifications_streaming": streamed,

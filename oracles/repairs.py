@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from oracles.checks import PAID
 
 AS_OF = "DATE '1998-06-30'"
@@ -174,6 +176,48 @@ def count_of(step: str, body: str) -> str:
     return f"SELECT '{step}' AS step, (SELECT count(DISTINCT row_key) FROM ({body}) q WHERE {where}) AS changed_rows"
 
 
+def streamed() -> str:
+    """The pipelines, the saved rows, and the housing steps once more over the state they leave."""
+    names = r"\b(h1_new|h1|h2|h3|free|waiting|fills|counted)\b"
+    again = re.sub(names, r"\1_2", CHAIN)
+    for table in ("room_assignment", "occupancy_log", "bed_slot", "room"):
+        again = re.sub(rf"\b{table}\b", f"{table}_1", again)
+    lifted = f"""SELECT row_key, max(new_value) AS day FROM ({OPERATIONAL['repaired_transfer_dates']}) z
+        WHERE table_name = 'room_assignment' GROUP BY row_key"""
+    invoices = OPERATIONAL["invoice_statuses"]
+    invoices = invoices[invoices.index("SELECT i.InvoiceID") : invoices.rindex(") z")].replace("FROM invoice i", "FROM invoices_1 i")
+    ends = f"Status = 'Active' AND CheckOutDate BETWEEN {AS_OF} - 60 AND {AS_OF} - 1"
+    rows = {
+        "room": ("RoomID", """concat_ws('|', CASE WHEN CurrentOccupancy IS NULL AND c = 0 THEN NULL ELSE c END,
+            CASE WHEN Status IN ('Available', 'Occupied') THEN derived ELSE Status END)""", "counted_2"),
+        "bed_slot": ("BedSlotID", "CAST(IsOccupied OR BedSlotID IN (SELECT BedSlotID FROM fills_2) AS VARCHAR)", "h3_2"),
+        "room_assignment": ("a.AssignmentID", "concat_ws('|', a.Status, coalesce(a.BedSlotID, f.BedSlotID))",
+                            "room_assignment_1 a LEFT JOIN fills_2 f USING (AssignmentID)"),
+        "occupancy_log": ("LogID", "concat_ws('|', AssignmentID, EndDate)", "h2_2"),
+        "invoice": ("k", "new", f"({invoices}) v"),
+        "system_user": ("u.UserID", """CASE WHEN s.StudentID IS NULL THEN u.Email
+            WHEN s.City = 'FURNITURE' THEN 'new.' || s.Email ELSE s.Email END""",
+                        "system_user u LEFT JOIN student s USING (StudentID)"),
+    }
+    shown = " UNION ALL ".join(
+        f"SELECT '{n}' AS table_name, CAST({k} AS VARCHAR) AS row_key, {v} AS value FROM {source}"
+        for n, (k, v, source) in rows.items()
+    )
+    return f"""WITH {CHAIN}, lifted AS ({lifted}),
+        room_assignment_1 AS (SELECT a.* REPLACE (coalesce(a.BedSlotID, f.BedSlotID) AS BedSlotID,
+            coalesce(CAST(d.day AS DATE), a.CheckInDate) AS CheckInDate,
+            CASE WHEN {ends} THEN 'Completed' ELSE a.Status END AS Status)
+          FROM room_assignment a LEFT JOIN fills f USING (AssignmentID)
+          LEFT JOIN lifted d ON d.row_key = CAST(a.AssignmentID AS VARCHAR)),
+        occupancy_log_1 AS (SELECT * EXCLUDE (old) FROM h2),
+        bed_slot_1 AS (SELECT * EXCLUDE (old) FROM h3),
+        room_1 AS (SELECT * EXCLUDE (c, derived, CurrentOccupancy), CASE WHEN CurrentOccupancy IS NULL AND c = 0
+          THEN NULL ELSE c END AS CurrentOccupancy FROM counted),
+        invoices_1 AS (SELECT * REPLACE (CASE WHEN DueDate BETWEEN {AS_OF} - 60 AND {AS_OF} - 1 THEN DueDate + 90
+          ELSE DueDate END AS DueDate) FROM invoice),
+        {again} {shown}"""
+
+
 def oracles() -> dict[str, str]:
     found = {f"repair_{step}": f"WITH {CHAIN} {body}" for step, body in HOUSING.items()}
     found.update({f"repair_{step}": body for step, body in OPERATIONAL.items()})
@@ -203,6 +247,9 @@ def oracles() -> dict[str, str]:
     ):
         found[f"save_time_fills_{table}"] = f"""SELECT * EXCLUDE ({column}), CASE WHEN Status IN ({statuses})
             THEN coalesce({column}, {value}) ELSE {column} END AS {column} FROM {table}"""
+    found["reconciled_stream"] = streamed()
+    found["stored_rooms_after_repairs"] = found["reconciled_room"]
+    found["stored_logs_after_repairs"] = found["reconciled_occupancy_log"]
     found["bed_fills"] = f"WITH {CHAIN} SELECT * FROM fills"
     found["integrity_after_repairs"] = " UNION ALL ".join(
         f"SELECT '{name}' AS check_name, CAST(0 AS BIGINT) AS violations" for name in REPAIRED_CHECKS

@@ -132,21 +132,6 @@ def test_notice_stream_runs_in_small_batches_and_resumes(spark, small, folder):
     assert run() == want
 
 
-def test_reconciling_stream_runs_the_pipelines_changes_call_for(spark, small, folder):
-    root, saved = str(folder), {}
-    notices.write_changes({"penalty": sample_changes(small, AT)["penalty"]}, f"{root}/changes")
-
-    def save(tables, batch_id):
-        saved[batch_id] = tables
-
-    stream = notices.read_changes(spark, f"{root}/changes")
-    notices.start_reconciling(stream, lambda: small, save, AT, f"{root}/progress").awaitTermination()
-    assert list(saved) == [0]
-    assert checks.violations(saved[0], "pending_penalties_past_due", AS_OF).count() == 0
-    # The operational pipeline ends with the due moves, and those with the housing repairs.
-    assert checks.violations(saved[0], "occupancy_mismatch", AS_OF).count() == 0
-
-
 def test_triggers():
     assert reconcile.pipelines_for({"room"}) == ("housing",)
     assert reconcile.pipelines_for({"invoice", "bed_slot"}) == ("housing", "operational")
