@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +18,7 @@ from hallkeeper.schemas import KEYS
 from hallkeeper.session import cut_lineage, new_folder
 from hallkeeper.sources.bucketed import Store
 from hallkeeper.sources.testdata import AS_OF, NOW, testdata_tables
-from hallkeeper.streaming import notices
+from hallkeeper.streaming import images, notices
 from hallkeeper.tables import Tables
 
 AT = Moment(AS_OF, NOW)
@@ -333,6 +334,30 @@ def _change_queries() -> dict[str, Query]:
         query.awaitTermination()
         return spark.read.parquet(f"{root}/notices")
 
+    def streamed_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """Changes from row images that arrive out of order; some rows are new and some are deleted."""
+        t = testdata_tables(spark, sf_dir)
+        later = later_tables(t, AT)
+        root = new_folder(spark, "images")
+        noon = F.lit(NOW)
+        parts = []
+        for name in REPAIRED_TABLES:
+            part = F.pmod(F.col(KEYS[name][0]), F.lit(50))
+            parts.append(images.row_images(name, t[name].filter(part != 1), noon, "base"))
+            parts.append(images.row_images(name, later[name].filter(part != 0), noon + F.expr("INTERVAL 1 HOUR"), "save"))
+            parts.append(images.row_images(name, t[name].filter(part == 0), noon + F.expr("INTERVAL 2 HOURS"), "delete"))
+        arrival = F.xxhash64("row_key", "changed_at", "kind")
+        images.write_in_turns(union_all(parts), f"{root}/images", 3, arrival)
+        images.write_in_turns(images.end_of_images(spark, NOW + dt.timedelta(days=9)), f"{root}/images", 1, F.lit(0))
+        stream = spark.readStream.schema(images.IMAGE_ROWS).option("maxFilesPerTrigger", 1).parquet(f"{root}/images")
+        pairs = images.paired_changes(stream, "1 day")
+        writer = pairs.writeStream.format("parquet").option("path", f"{root}/pairs").option("checkpointLocation", f"{root}/progress")
+        writer.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+        found = spark.read.schema(pairs.schema).parquet(f"{root}/pairs")
+        differing = F.filter(F.map_keys("new"), lambda c: ~F.col("new")[c].eqNullSafe(F.col("old")[c]))
+        columns = F.when(F.col("operation") == "update", F.array_join(differing, ",")).otherwise("")
+        return found.select("table_name", "operation", "row_key", columns.alias("columns"))
+
     def reconciled_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
         """Reconciled tables in a store; a stream of saved rows; what the rows it reaches hold in the end."""
         base = reconcile.reconcile_after(testdata_tables(spark, sf_dir), {"room", "invoice"}, AT, make_moves=False)
@@ -372,6 +397,7 @@ def _change_queries() -> dict[str, Query]:
         return store.tables()
 
     return {
+        "streamed_changes": streamed_changes,
         "reconciled_stream": reconciled_stream,
         "stored_rooms_after_repairs": lambda spark, sf_dir: stored(spark, sf_dir).room,
         "stored_logs_after_repairs": lambda spark, sf_dir: stored(spark, sf_dir).occupancy_log,

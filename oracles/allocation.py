@@ -308,6 +308,17 @@ def oracles() -> dict[str, str]:
             f"SELECT table_name, 'update' AS operation, row_key, column_name AS columns FROM ({OPERATIONAL[step]}) c"
             for step in ("overdue_penalties", "expired_visitor_permissions", "invoice_statuses")
         ),
+        "streamed_changes": " UNION ALL ".join(
+            f"""SELECT table_name, 'update' AS operation, row_key, column_name AS columns FROM ({OPERATIONAL[step]}) c
+              WHERE CAST(row_key AS BIGINT) % 50 > 1
+            UNION ALL SELECT '{table}', CASE {key} % 50 WHEN 0 THEN 'delete' ELSE 'insert' END, CAST({key} AS VARCHAR), ''
+              FROM {table} WHERE {key} % 50 <= 1"""
+            for table, key, step in (
+                ("penalty", "PenaltyID", "overdue_penalties"),
+                ("visitor_permission", "PermissionID", "expired_visitor_permissions"),
+                ("invoice", "InvoiceID", "invoice_statuses"),
+            )
+        ),
         "notifications_batch": notices(),
         "notifications_streaming": notices(),
     }
