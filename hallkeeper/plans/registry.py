@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from hallkeeper.functions.columns import enum_literals, initials, shortened, status_slug, text_or
 from hallkeeper.functions.ranking import union_all
-from hallkeeper.operators import allocation, browse, changes, checks, facts, finance, histories, moves, queues, repairs, rules, snapshots, views
+from hallkeeper.operators import allocation, browse, candidates, changes, checks, facts, finance, histories, moves, queues, repairs, rules, snapshots, views
 from hallkeeper.operators.repairs import Moment
 from hallkeeper.plans import reach, reconcile
 from hallkeeper.plans.sample_changes import REPAIRED_TABLES, later_tables, sample_changes, sample_images
@@ -250,6 +250,7 @@ def _allocation_queries() -> dict[str, Query]:
         "stays_after_moves": _over_tables(stays_after),
         "completed_due_transfers": _over_tables(reconcile.move_counts, AT),
         "approve_applications": _over_tables(approvals),
+        "rules_assignment_candidates": _over_tables(lambda t: candidates.assignment_candidates(reconciled(t))),
         "complete_due_transfers": _over_tables(moves.move_outcomes, AT),
         "visitor_intake_permissions": _over_tables(lambda t: allocation.visitor_intake(t, AT).permissions),
         "visitor_intake_visitors": _over_tables(lambda t: allocation.visitor_intake(t, AT).visitors),

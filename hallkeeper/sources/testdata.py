@@ -345,6 +345,16 @@ SELECT o_orderkey AS LineNo, CASE WHEN o_orderkey % 31 = 0 THEN 'x12' WHEN o_ord
   , CASE WHEN o_orderkey % 13 = 0 THEN '1850' WHEN o_orderkey % 41 = 0 THEN 'MMXX' ELSE '1999' END AS AcademicYear
   , CASE WHEN o_orderkey % 11 = 0 THEN 'Lost' WHEN o_orderkey % 43 = 0 THEN NULL ELSE 'Unpaid' END AS PaymentStatus
 FROM {orders}
+""",
+    "assignment_candidate": """
+SELECT o_orderkey AS LineNo, CASE o_orderkey % 32 WHEN 4 THEN o_orderkey WHEN 5 THEN o_orderkey - 1 WHEN 0 THEN o_orderkey ELSE 20000000 + o_orderkey END AS AssignmentID
+  , CAST(CASE WHEN o_orderkey % 32 IN (0, 4, 5) THEN o_custkey ELSE o_custkey - o_custkey % 3 END AS STRING) AS StudentID
+  , (CAST(floor(o_orderkey * 2 / 15.0) AS BIGINT) + CASE WHEN o_orderkey % 32 = 0 THEN 0 ELSE o_orderkey % 5 END) % (SELECT count(*) AS n
+FROM {part}) AS RoomID
+  , CASE WHEN o_orderkey % 3 = 0 THEN ((CAST(floor(o_orderkey * 2 / 15.0) AS BIGINT) + CASE WHEN o_orderkey % 32 = 0 THEN 0 ELSE o_orderkey % 5 END) % (SELECT count(*) AS n
+FROM {part})) * 10 + 1 + o_orderkey % 2 END AS BedSlotID
+  , CASE WHEN o_orderkey % 7 = 0 THEN o_orderkey END AS ApplicationID, CASE WHEN o_orderkey % 11 = 0 THEN 'Pending' ELSE 'Active' END AS Status
+FROM {orders}
 """,
     "housing_decision": """
 SELECT o_orderkey AS ApplicationID, (o_orderkey * 7) % (SELECT count(*) AS n

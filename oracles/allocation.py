@@ -68,6 +68,52 @@ APPROVALS = f"""WITH RECURSIVE {CHAIN},
     LEFT JOIN left_over o ON o.RoomID = w.RoomID AND o.n = w.n
     UNION ALL SELECT ApplicationID, StudentID, RoomID, refusal, NULL, NULL, NULL, NULL FROM judged WHERE refusal IS NOT NULL"""
 
+# Candidates over the same repaired tables, walked one by one; edits do not count their own stored row.
+CANDIDATES = APPROVALS[: APPROVALS.index(",\n    judged AS")] + """,
+    judged AS (SELECT c.*, w.seats AS open_seats, w.Capacity - coalesce(w.occupied, 0) AS seats, w.total, w.free,
+        coalesce(o.Status = 'Active' AND o.RoomID = c.RoomID, false) AS stays_put,
+        coalesce(o.BedSlotID = c.BedSlotID, false) AS own_bed, c.Status = 'Active' AS wanted,
+        CASE WHEN c.Status <> 'Active' THEN NULL
+          WHEN (SELECT count(*) FROM room_assignment a WHERE a.StudentID = c.StudentID AND a.Status = 'Active'
+            AND a.AssignmentID <> c.AssignmentID) > 0 THEN 'other_active_assignment'
+          WHEN w.RoomID IS NULL THEN 'room_not_found' WHEN w.BuildingStatus <> 'Active' THEN 'building_not_active'
+          WHEN w.RoomStatus NOT IN ('Available', 'Occupied') THEN 'room_not_assignable'
+          WHEN greatest(w.occupied - CASE WHEN o.Status = 'Active' AND o.RoomID = c.RoomID THEN 1 ELSE 0 END, 0) >= w.Capacity
+            THEN 'room_full'
+          WHEN g.StudentID <> c.StudentID THEN 'application_student'
+          WHEN c.BedSlotID IS NOT NULL AND k.BedSlotID IS NULL THEN 'bed_missing'
+          WHEN k.RoomID <> c.RoomID THEN 'bed_in_other_room'
+          WHEN k.IsReserved OR (k.used AND o.BedSlotID IS DISTINCT FROM c.BedSlotID) THEN 'bed_not_available'
+          WHEN c.BedSlotID IS NULL AND w.total > 0 AND w.free < 1 THEN 'no_free_bed' END AS refusal
+      FROM assignment_candidate c
+      LEFT JOIN (SELECT a.* REPLACE (coalesce(a.BedSlotID, f.BedSlotID) AS BedSlotID) FROM room_assignment a
+        LEFT JOIN fills f USING (AssignmentID)) o ON o.AssignmentID = c.AssignmentID
+      LEFT JOIN (SELECT p.*, n.c AS occupied FROM places p JOIN counted n USING (RoomID)) w ON w.RoomID = c.RoomID
+      LEFT JOIN (SELECT BedSlotID, RoomID, IsReserved, IsOccupied OR BedSlotID IN (SELECT BedSlotID FROM fills) AS used FROM h3) k
+        ON k.BedSlotID = c.BedSlotID
+      LEFT JOIN registration g ON g.ApplicationID = c.ApplicationID),
+    queue AS (SELECT *, row_number() OVER (ORDER BY (BedSlotID IS NULL), LineNo) AS i FROM judged WHERE refusal IS NULL),
+    walk AS (
+      SELECT CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS edited, CAST([] AS VARCHAR[]) AS people,
+        CAST([] AS BIGINT[]) AS rooms, CAST([] AS BIGINT[]) AS taken, CAST('' AS VARCHAR) AS verdict
+      UNION ALL
+      SELECT i, CASE WHEN verdict = 'ok' THEN list_append(edited, AssignmentID) ELSE edited END,
+        CASE WHEN verdict = 'ok' AND wanted THEN list_append(people, StudentID) ELSE people END,
+        CASE WHEN verdict = 'ok' AND wanted AND NOT stays_put THEN list_append(rooms, RoomID) ELSE rooms END,
+        CASE WHEN verdict = 'ok' AND wanted AND NOT own_bed AND BedSlotID IS NOT NULL THEN list_append(taken, BedSlotID)
+          ELSE taken END, verdict
+      FROM (SELECT q.*, v.edited, v.people, v.rooms, v.taken,
+          CASE WHEN list_contains(v.edited, q.AssignmentID) THEN 'row_edited_in_batch'
+            WHEN NOT q.wanted THEN 'ok'
+            WHEN list_contains(v.people, q.StudentID) THEN 'other_active_assignment'
+            WHEN NOT q.stays_put AND len(list_filter(v.rooms, lambda x: x = q.RoomID)) >= q.seats THEN 'room_full'
+            WHEN q.BedSlotID IS NOT NULL AND NOT q.own_bed AND list_contains(v.taken, q.BedSlotID) THEN 'bed_not_available'
+            WHEN NOT q.stays_put AND q.BedSlotID IS NULL AND q.total > 0
+              AND len(list_filter(v.rooms, lambda x: x = q.RoomID)) >= q.free THEN 'no_free_bed' ELSE 'ok' END AS verdict
+        FROM walk v JOIN queue q ON q.i = v.i + 1) z)
+    SELECT q.LineNo, q.AssignmentID, q.StudentID, q.RoomID, nullif(v.verdict, 'ok') AS rule FROM queue q JOIN walk v USING (i)
+    UNION ALL SELECT LineNo, AssignmentID, StudentID, RoomID, refusal FROM judged WHERE refusal IS NOT NULL"""
+
 VISITORS = f"""
     asked AS (SELECT * EXCLUDE (NationalID), nullif(NationalID, '') AS NationalID FROM visitor_intake
               WHERE EndDate >= StartDate),
@@ -254,6 +300,7 @@ def oracles() -> dict[str, str]:
             SELECT NewID AS VisitorID, FirstName, LastName, NationalID, true AS IsActive FROM served
             WHERE KnownID IS NULL AND MakerID = RequestID""",
         "approve_applications": APPROVALS,
+        "rules_assignment_candidates": CANDIDATES,
         "new_account_students": accounts(
             """SELECT sid AS StudentID, FirstName, LastName, mail AS Email, NationalIDOrPassport, DateOfBirth, Gender,
               FacultyID, ProgramID, 'Clear' AS DisciplinaryStatus, 'Active' AS Status FROM clean WHERE fs IS NULL"""
