@@ -16,6 +16,7 @@ from hallkeeper.plans import reach, reconcile
 from hallkeeper.plans.sample_changes import REPAIRED_TABLES, later_tables, sample_changes, sample_images
 from hallkeeper.schemas import KEYS
 from hallkeeper.session import cut_lineage, new_folder
+from hallkeeper.sources import imports
 from hallkeeper.sources.bucketed import Store
 from hallkeeper.sources.testdata import AS_OF, NOW, testdata_tables
 from hallkeeper.streaming import images, notices
@@ -204,6 +205,17 @@ def _rule_queries() -> dict[str, Query]:
     def raw_invoice_rows(t: Tables) -> DataFrame:
         return rules.import_rows(t.raw_invoice)
 
+    imported_tables = ("penalty", "meal_subscription", "complaint")
+
+    def lines_of(t: Tables, table: str) -> DataFrame:
+        return t.raw_line.filter(F.col("table_name") == table)
+
+    def table_rules(t: Tables) -> DataFrame:
+        return union_all([imports.line_rules(lines_of(t, n), n, t[n].schema) for n in imported_tables])
+
+    def penalty_rows(t: Tables) -> DataFrame:
+        return imports.line_rows(lines_of(t, "penalty"), "penalty", t.penalty.schema)
+
     def complaints_after(t: Tables) -> DataFrame:
         return rules.apply_cancellations(t, "complaint", AT)
 
@@ -215,6 +227,8 @@ def _rule_queries() -> dict[str, Query]:
         "vocabulary_counts": _over_tables(rules.vocabulary_counts),
         "rules_import": _over_tables(raw_invoice_rules),
         "imported_invoices": _over_tables(raw_invoice_rows),
+        "rules_import_tables": _over_tables(table_rules),
+        "imported_penalties": _over_tables(penalty_rows),
         "rules_portal_registration": _over_tables(rules.portal_rules),
         "student_role": _over_tables(rules.student_role),
         "application_checks": _over_tables(rules.application_checks, AS_OF),

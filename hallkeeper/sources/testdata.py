@@ -345,6 +345,21 @@ SELECT o_orderkey AS LineNo, CASE WHEN o_orderkey % 31 = 0 THEN 'x12' WHEN o_ord
   , CASE WHEN o_orderkey % 13 = 0 THEN '1850' WHEN o_orderkey % 41 = 0 THEN 'MMXX' ELSE '1999' END AS AcademicYear
   , CASE WHEN o_orderkey % 11 = 0 THEN 'Lost' WHEN o_orderkey % 43 = 0 THEN NULL ELSE 'Unpaid' END AS PaymentStatus
 FROM {orders}
+""",
+    "raw_line": """
+SELECT 'penalty' AS table_name, o_orderkey AS LineNo, concat(CASE WHEN o_orderkey % 31 = 0 THEN ' ' ELSE CAST(o_orderkey AS STRING) END, ',', CAST(o_custkey AS STRING)
+  , ',', CASE WHEN o_orderkey % 13 = 0 THEN 'ten' ELSE '12.50' END, ',', CAST(CAST(o_orderdate AS DATE) AS STRING), ',', CASE o_orderkey % 4 WHEN 0 THEN '' WHEN 1 THEN '1998-02-30' ELSE '1998-03-01' END
+  , ',', CASE WHEN o_orderkey % 11 = 0 THEN 'Lost' ELSE 'Paid' END, CASE WHEN o_orderkey % 17 = 0 THEN '' ELSE ',Noise' END) AS line
+FROM {orders}
+WHERE o_orderpriority = '1-URGENT'
+UNION ALL SELECT 'meal_subscription', o_orderkey, concat(CAST(o_orderkey AS STRING), ',', CAST(o_custkey AS STRING), ',', CAST(CAST(o_orderdate AS DATE) AS STRING), ',', CAST(CAST(o_orderdate AS DATE) + 90 AS STRING)
+  , ',', CASE WHEN o_orderkey % 7 = 0 THEN 'two' ELSE CAST(1 + o_orderkey % 3 AS STRING) END, ',', CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE 'Active' END, CASE WHEN o_orderkey % 19 = 0 THEN ',more' ELSE '' END)
+FROM {orders}
+WHERE o_orderkey % 9 = 3
+UNION ALL SELECT 'complaint', event_id, CASE WHEN event_id % 23 = 0 THEN '' ELSE concat(CASE WHEN event_id % 29 = 0 THEN 'C1' ELSE CAST(event_id AS STRING) END, ',', CAST(user_id AS STRING), ',Subject ', CAST(event_id AS STRING)
+  , ',', CASE WHEN event_id % 3 = 0 THEN 'Open' ELSE 'Opened' END, ',', CASE WHEN event_id % 2 = 0 THEN '2024-01-05T10:00:00' ELSE 'noon' END, ',,', CASE WHEN event_id % 3 = 0 THEN 'Noise' ELSE '' END, ',High') END
+FROM {events}
+WHERE event_type = 'click'
 """,
     "assignment_candidate": """
 SELECT o_orderkey AS LineNo, CASE o_orderkey % 32 WHEN 4 THEN o_orderkey WHEN 5 THEN o_orderkey - 1 WHEN 0 THEN o_orderkey ELSE 20000000 + o_orderkey END AS AssignmentID

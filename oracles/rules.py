@@ -23,6 +23,46 @@ def imported(column: str, parse: str, required: bool, allowed: str = "") -> str:
         '{column}' AS column_name FROM raw_invoice"""
 
 
+IMPORTS = {
+    "penalty": (
+        ("PenaltyID", "BIGINT", True, ""), ("StudentID", "VARCHAR", False, ""), ("Amount", "DECIMAL(10,2)", False, ""),
+        ("PenaltyDate", "DATE", False, ""), ("DueDate", "DATE", False, ""),
+        ("Status", "VARCHAR", True, "'Pending', 'Paid', 'Waived', 'Overdue'"), ("Type", "VARCHAR", True, ""),
+    ),
+    "meal_subscription": (
+        ("SubscriptionID", "BIGINT", True, ""), ("StudentID", "VARCHAR", False, ""), ("StartDate", "DATE", False, ""),
+        ("EndDate", "DATE", False, ""), ("MealsPerDay", "INTEGER", False, ""),
+        ("Status", "VARCHAR", True, "'Active', 'Paused', 'Cancelled', 'Expired'"),
+    ),
+    "complaint": (
+        ("ComplaintID", "BIGINT", True, ""), ("StudentID", "VARCHAR", False, ""), ("Subject", "VARCHAR", False, ""),
+        ("Status", "VARCHAR", True, "'Open', 'In Progress', 'Resolved', 'Closed', 'Rejected'"),
+        ("SubmittedAt", "TIMESTAMP", False, ""), ("ClosedAt", "TIMESTAMP", False, ""), ("Category", "VARCHAR", False, ""),
+        ("Priority", "VARCHAR", True, "'Low', 'Medium', 'High', 'Urgent'"),
+    ),
+}
+
+
+def imported_lines(table: str) -> str:
+    """Each field of each line with the rule it breaks, and the lines of a wrong number of fields."""
+    columns = IMPORTS[table]
+    source = f"(SELECT LineNo, line, string_split(line, ',') AS f FROM raw_line WHERE table_name = '{table}') z"
+    right = f"len(f) = {len(columns)} AND trim(line) <> ''"
+    parts = []
+    for i, (column, kind, required, allowed) in enumerate(columns, start=1):
+        blank = "'required'" if required else "NULL"
+        wrong = f"WHEN trim(f[{i}]) NOT IN ({allowed}) THEN 'value_not_allowed'" if allowed else ""
+        parts.append(
+            f"""SELECT LineNo, CASE WHEN trim(f[{i}]) = '' THEN {blank}
+                WHEN TRY_CAST(replace(trim(f[{i}]), 'T', CASE WHEN '{kind}' = 'TIMESTAMP' THEN ' ' ELSE 'T' END) AS {kind}) IS NULL
+                THEN 'not_typed' {wrong} END AS rule, '{column}' AS column_name, CAST(NULL AS VARCHAR) AS line
+                FROM {source} WHERE {right}"""
+        )
+    parts.append(f"SELECT LineNo, 'line_not_split', NULL, line FROM {source} WHERE NOT ({right})")
+    return f"""SELECT '{table}' AS table_name, CAST(LineNo AS VARCHAR) AS row_key, rule, column_name, line
+        FROM ({" UNION ALL ".join(parts)}) y WHERE rule IS NOT NULL"""
+
+
 def candidate_rule(field: str, rule: str, where: str) -> str:
     return f"SELECT CandidateID, '{field}' AS field, '{rule}' AS rule FROM c WHERE {where}"
 
@@ -113,6 +153,12 @@ def oracles() -> dict[str, str]:
               CASE WHEN TRY_CAST(trim(AcademicYear) AS INTEGER) BETWEEN 1901 AND 2155
                 THEN TRY_CAST(trim(AcademicYear) AS INTEGER) END AS AcademicYear,
               nullif(trim(PaymentStatus), '') AS PaymentStatus FROM raw_invoice""",
+        "rules_import_tables": " UNION ALL ".join(imported_lines(table) for table in IMPORTS),
+        "imported_penalties": f"""WITH wrong AS ({imported_lines("penalty")}), lines AS (
+              SELECT LineNo, string_split(line, ',') AS f FROM raw_line
+              WHERE table_name = 'penalty' AND CAST(LineNo AS VARCHAR) NOT IN (SELECT row_key FROM wrong))
+            SELECT {", ".join(f"CAST(nullif(trim(f[{i}]), '') AS {kind}) AS {column}"
+                              for i, (column, kind, _, _) in enumerate(IMPORTS["penalty"], start=1))} FROM lines""",
         "rules_portal_registration": """WITH c AS (
             SELECT k.CandidateID, trim(k.StudentID) AS sid, lower(trim(k.Email)) AS mail, k.*, s.Status AS fs,
               lower(s.Email) AS fmail, s.FirstName AS ff, s.LastName AS fl, s.DateOfBirth AS fd, s.Gender AS fg
