@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from oracles.checks import KEYS as CHECKS
+
 AS_OF = "DATE '1998-06-30'"
 NOW = "TIMESTAMP '2024-01-15 12:00:00'"
 
@@ -111,10 +113,8 @@ def oracles() -> dict[str, str]:
         "available_beds": """SELECT RoomID, BedSlotID, BedNumber, BedPosition, BedType FROM bed_slot
             WHERE NOT IsOccupied AND NOT IsReserved""",
         "due_transfers": f"""
-            SELECT x.TransferID, x.StudentID, x.FromRoomID, x.ToRoomID, x.ApprovalDate, x.EffectiveMoveDate
-            FROM room_transfer x LEFT JOIN room_assignment a
-              ON a.StudentID = x.StudentID AND a.RoomID = x.ToRoomID AND a.Status = 'Active'
-            WHERE x.Status = 'Approved' AND coalesce(x.EffectiveMoveDate, {AS_OF}) <= {AS_OF} AND a.AssignmentID IS NULL""",
+            SELECT TransferID, StudentID, FromRoomID, ToRoomID, ApprovalDate, EffectiveMoveDate FROM room_transfer
+            WHERE TransferID IN ({CHECKS["approved_transfers_due_without_move"]})""",
         "active_announcements": f"WITH {NOTICES} SELECT * FROM notices",
         "read_announcements": f"WITH {NOTICES} SELECT * FROM seen",
         "active_notifications": f"""WITH {NOTICES}
