@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hallkeeper.functions.ranking import Cell, running_totals
-from hallkeeper.session import cut_lineage
+from hallkeeper.session import Journal, cut_lineage
 
 
 @dataclass(frozen=True)
@@ -40,6 +40,19 @@ class Claim:
         return f"__open_{self.name}"
 
 
+_KEY = "__claimed"
+
+
+def _claimed(claim: Claim, row_id: str) -> Column:
+    """What a row claims as one text; a row that claims nothing is a key of its own, so such rows meet nowhere."""
+    has_key = reduce(and_, [F.col(k).isNotNull() for k in claim.keys])
+    if len(claim.keys) == 1:
+        text = F.col(claim.keys[0]).cast("string")
+    else:
+        text = F.to_json(F.struct(*claim.keys))
+    return F.when(has_key, F.concat(F.lit("k"), text)).otherwise(F.concat(F.lit("r"), F.col(row_id).cast("string")))
+
+
 def _with_totals(
     rows: DataFrame,
     row_id: str,
@@ -48,17 +61,22 @@ def _with_totals(
     cells: Sequence[Cell],
     known_rows: int,
 ) -> DataFrame:
-    """Add, per claim, the earlier granted and earlier undecided rows.
-
-    Each claim is worked out from the rows themselves and joined on the row id.
-    """
+    """Add, per claim, the earlier granted and earlier undecided rows."""
     judged = rows
     for claim in claims:
-        has_key = reduce(and_, [F.col(k).isNotNull() for k in claim.keys])
         values = {claim.granted: F.col("__granted"), claim.open: F.col("__open")}
-        totals = running_totals(rows.filter(has_key), claim.keys, order, cells, values, known_rows)
-        judged = judged.join(totals.select(row_id, claim.granted, claim.open), row_id, "left")
-    return judged.fillna(0, [name for c in claims for name in (c.granted, c.open)])
+        keyed = judged.withColumn(_KEY, _claimed(claim, row_id))
+        judged = running_totals(keyed, [_KEY], order, cells, values, known_rows).drop(_KEY)
+    return judged
+
+
+def _beside(granted: DataFrame, still_open: DataFrame, row_id: str, claims: Sequence[Claim]) -> DataFrame:
+    """Granted rows that hold something an undecided row claims, once each."""
+    parts = []
+    for claim in claims:
+        wanted = still_open.select(*claim.keys).distinct()
+        parts.append(granted.join(wanted, list(claim.keys), "left_semi").select(*granted.columns))
+    return reduce(DataFrame.unionByName, parts).dropDuplicates([row_id])
 
 
 def grant_in_order(
@@ -66,24 +84,36 @@ def grant_in_order(
 ) -> DataFrame:
     """Add ``Granted`` and, per claim, ``__granted_<name>``: how many earlier rows hold it.
 
-    ``rows`` should be cheap to read again (cut from its lineage).
+    ``rows`` should be cheap to read again (cut from its lineage). A round ranks the undecided rows and the granted
+    ones that share a claim with them; rows that are certain to lose, and granted rows nobody undecided meets, are set
+    aside. Granted rows go to a journal, the counts of all rows are taken once at the end.
     """
     columns = rows.columns
-    known_rows = rows.count()
-    state = rows.withColumns({"__granted": F.lit(0), "__open": F.lit(1)})
-    while True:
-        judged = _with_totals(state, row_id, claims, order, cells, known_rows)
+    spark = rows.sparkSession
+    granted = Journal(spark, "granted", ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields))
+    still_open, work, number = rows, rows.withColumns({"__granted": F.lit(0), "__open": F.lit(1)}), 0
+    total = rows.count()
+    known_rows = total
+    while known_rows:
+        number += 1
         wins = reduce(and_, [F.col(c.granted) + F.col(c.open) < c.limit for c in claims])
         loses = reduce(or_, [F.col(c.granted) >= c.limit for c in claims])
-        undecided = F.col("__open") == 1
-        state = cut_lineage(
-            judged.select(
-                *columns,
-                F.when(undecided & wins, 1).otherwise(F.col("__granted")).alias("__granted"),
-                F.when(undecided & ~wins & ~loses, 1).otherwise(0).alias("__open"),
+        judged = _with_totals(work, row_id, claims, order, cells, known_rows).filter(F.col("__open") == 1)
+        decided = cut_lineage(judged.filter(wins | ~loses).select(*columns, wins.alias("__wins")))
+        granted.append(decided.filter("__wins"), number)
+        still_open = decided.filter(~F.col("__wins")).select(*columns)
+        if still_open.isEmpty():
+            break
+        near = _beside(granted.rows().select(*columns), still_open, row_id, claims)
+        work = cut_lineage(
+            still_open.withColumns({"__granted": F.lit(0), "__open": F.lit(1)}).unionByName(
+                near.withColumns({"__granted": F.lit(1), "__open": F.lit(0)})
             )
         )
-        if state.filter(F.col("__open") == 1).isEmpty():
-            break
-    final = _with_totals(state, row_id, claims, order, cells, known_rows)
+        known_rows = work.count()
+    won = granted.rows().select(row_id, F.lit(1).alias("__granted"))
+    state = rows.join(won, row_id, "left").withColumns(
+        {"__granted": F.coalesce("__granted", F.lit(0)), "__open": F.lit(0)}
+    )
+    final = _with_totals(state, row_id, claims, order, cells, total)
     return final.select(*columns, (F.col("__granted") == 1).alias("Granted"), *[c.granted for c in claims])

@@ -31,6 +31,33 @@ def new_id(existing: DataFrame, id_column: str, source_id: Column) -> Column:
     return highest + 1 + source_id
 
 
+# Title and text of the notices.
+APPROVED_NOTICE = (
+    "Dorm application approved",
+    "Your dorm application was approved and a room assignment is now active.",
+)
+MOVED_NOTICE = (
+    "Room transfer completed",
+    "Your room transfer was completed and your new room assignment is now active.",
+)
+
+
+def housing_notices(t: Tables, rows: DataFrame, source_id: str, title: str, message: str, at: Moment) -> DataFrame:
+    """An unread housing notice of high priority to each row's student."""
+    return rows.select(
+        new_id(t.notification, "NotificationID", F.col(source_id)).alias("NotificationID"),
+        "StudentID",
+        F.lit(title).alias("Title"),
+        F.lit(message).alias("Message"),
+        F.lit("In-App").alias("Channel"),
+        F.lit("Housing").alias("Type"),
+        F.lit(False).alias("IsRead"),
+        F.lit("High").alias("PriorityLevel"),
+        at.time.alias("PublishDate"),
+        F.lit("Sent").alias("Status"),
+    )
+
+
 # Applications
 
 
@@ -154,21 +181,15 @@ def apply_approvals(t: Tables, outcomes: DataFrame, at: Moment) -> Tables:
     stays = accepted.select(
         new_id(t.room_assignment, "AssignmentID", F.col("ApplicationID")).alias("AssignmentID"),
         "StudentID", "RoomID", "BedSlotID", "ApplicationID", "CheckInDate", F.lit("Active").alias("Status"),
+        "MonthlyRent", "DepositAmount",
     )
-    notes = accepted.select(
-        new_id(t.notification, "NotificationID", F.col("ApplicationID")).alias("NotificationID"),
-        "StudentID",
-        F.lit("Dorm application approved").alias("Title"),
-        F.lit(False).alias("IsRead"),
-        at.time.alias("PublishDate"),
-        F.lit("Sent").alias("Status"),
-    )
+    notes = housing_notices(t, accepted, "ApplicationID", *APPROVED_NOTICE, at)
     after = t.replacing(
         registration=decided,
         room_assignment=t.room_assignment.unionByName(stays, allowMissingColumns=True),
         notification=t.notification.unionByName(notes, allowMissingColumns=True),
     )
-    # Logs, bed flags and room counters follow from the new stays.
+    # Stored tables may lack columns that new rows have: rent, deposit and the parts of a notice. Logs, bed flags and room counters follow from the new stays.
     return run_steps(after, HOUSING, at)[0]
 
 

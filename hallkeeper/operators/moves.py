@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from hallkeeper.functions.ranking import Cell, id_block, row_rank
 from hallkeeper.functions.skew import spread_join
 from hallkeeper.operators import rules
-from hallkeeper.operators.allocation import new_id
+from hallkeeper.operators.allocation import MOVED_NOTICE, housing_notices
 from hallkeeper.operators.facts import ASSIGNABLE_ROOM, active
 from hallkeeper.operators.queues import due_transfers
 from hallkeeper.operators.repairs import HOUSING, Moment, run_steps
@@ -311,6 +311,7 @@ def apply_moves(t: Tables, moves: Moves, at: Moment) -> Tables:
     arrived = done.select(
         F.col("NewAssignmentID").alias("AssignmentID"), "StudentID", F.col("ToRoomID").alias("RoomID"), "BedSlotID",
         F.col("MoveDate").alias("CheckInDate"), F.lit("Active").alias("Status"), "ContractDuration",
+        "MonthlyRent", "DepositAmount",
     )
     # A stay made by one move may be ended by a later one.
     stays = t.room_assignment.unionByName(arrived, allowMissingColumns=True).join(ends, "AssignmentID", "left")
@@ -331,16 +332,9 @@ def apply_moves(t: Tables, moves: Moves, at: Moment) -> Tables:
     def rewritten(df: DataFrame, columns: list[str], values: dict[str, Column]) -> DataFrame:
         return df.select(*[values[c].alias(c) if c in values else F.col(c) for c in columns])
 
-    notes = done.select(
-        new_id(t.notification, "NotificationID", F.col("TransferID")).alias("NotificationID"),
-        "StudentID",
-        F.lit("Room transfer completed").alias("Title"),
-        F.lit(False).alias("IsRead"),
-        at.time.alias("PublishDate"),
-        F.lit("Sent").alias("Status"),
-    )
+    notes = housing_notices(t, done, "TransferID", *MOVED_NOTICE, at)
     after = t.replacing(
-        room_assignment=rewritten(stays, t.room_assignment.columns, stay_values),
+        room_assignment=rewritten(stays, [c for c in stays.columns if c != "__end"], stay_values),
         room_transfer=rewritten(transfers, t.room_transfer.columns, transfer_values),
         notification=t.notification.unionByName(notes, allowMissingColumns=True),
     )

@@ -252,6 +252,16 @@ def _allocation_queries() -> dict[str, Query]:
         return allocation.approvals(reconciled(t), AT)
 
 
+    def approved(t: Tables) -> tuple[Tables, Tables]:
+        """Reconciled tables, and those tables with the approvals carried out."""
+        before = reconciled(t)
+        outcomes = cut_lineage(allocation.approvals(before, AT))
+        return before, allocation.apply_approvals(before, outcomes, AT)
+
+    def added(t: Tables, table: str, key: str, *columns: str) -> DataFrame:
+        before, after = approved(t)
+        return after[table].join(before[table], key, "left_anti").select(*columns)
+
     def moved(t: Tables) -> Tables:
         return moves.apply_moves(t, moves.complete_due(t, AT), AT)
 
@@ -260,6 +270,14 @@ def _allocation_queries() -> dict[str, Query]:
         return stays.agg(F.count(F.lit(1)).alias("Stays"))
 
     return {
+        "stays_from_approvals": _over_tables(
+            added, "room_assignment", "AssignmentID", "AssignmentID", "StudentID", "RoomID", "BedSlotID", "ApplicationID",
+            "CheckInDate", "Status", "MonthlyRent", "DepositAmount",
+        ),
+        "notices_from_approvals": _over_tables(
+            added, "notification", "NotificationID", "NotificationID", "StudentID", "Title", "Message", "Channel", "Type",
+            "IsRead", "PriorityLevel", "PublishDate", "Status",
+        ),
         "transfers_after_moves": _over_tables(lambda t: moved(t).room_transfer),
         "stays_after_moves": _over_tables(stays_after),
         "completed_due_transfers": _over_tables(reconcile.move_counts, AT),

@@ -300,6 +300,15 @@ def oracles() -> dict[str, str]:
             SELECT NewID AS VisitorID, FirstName, LastName, NationalID, true AS IsActive FROM served
             WHERE KnownID IS NULL AND MakerID = RequestID""",
         "approve_applications": APPROVALS,
+        "stays_from_approvals": f"""SELECT (SELECT max(AssignmentID) FROM room_assignment) + 1 + ApplicationID AS AssignmentID,
+              StudentID, RoomID, BedSlotID, ApplicationID, CheckInDate, 'Active' AS Status, MonthlyRent, DepositAmount
+            FROM ({APPROVALS}) z WHERE Reason IS NULL""",
+        "notices_from_approvals": f"""SELECT (SELECT max(NotificationID) FROM notification) + 1 + ApplicationID AS NotificationID,
+              StudentID, 'Dorm application approved' AS Title,
+              'Your dorm application was approved and a room assignment is now active.' AS Message, 'In-App' AS Channel,
+              'Housing' AS Type, false AS IsRead, 'High' AS PriorityLevel, TIMESTAMP '2024-01-15 12:00:00' AS PublishDate,
+              'Sent' AS Status
+            FROM ({APPROVALS}) z WHERE Reason IS NULL""",
         "rules_assignment_candidates": CANDIDATES,
         "new_account_students": accounts(
             """SELECT sid AS StudentID, FirstName, LastName, mail AS Email, NationalIDOrPassport, DateOfBirth, Gender,

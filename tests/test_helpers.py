@@ -12,6 +12,7 @@ from hallkeeper.functions import ranking, skew
 from hallkeeper.functions.claims import Claim, grant_in_order
 from hallkeeper.functions.ranking import Cell, id_block, row_rank, running_totals, top_per_key
 from hallkeeper.functions.skew import spread_join
+from hallkeeper.session import cut_lineage
 
 
 @pytest.fixture
@@ -137,3 +138,29 @@ def test_grants_equal_one_by_one_service(spark, monkeypatch, tiny_blocks, seed):
             rooms[room] += 1
             beds.add(bed)
     assert got == want
+
+
+def test_later_rounds_rank_only_what_is_undecided(spark, monkeypatch):
+    """A chain that is settled one by one next to many rows that are certain at once."""
+    from hallkeeper.functions import claims as module
+
+    # Each row of the chain shares one thing with the row before it and another with the row after it.
+    chain = [(i, f"a{i // 2}", f"a{(i + 1) // 2}") for i in range(8)]
+    rows = chain + [(100 + i, f"b{i}", None) for i in range(300)] + [(1000 + i, f"b{i}", None) for i in range(300)]
+    df = cut_lineage(spark.createDataFrame(rows, "id bigint, x string, y string"))
+    ranked = []
+    real = module._with_totals
+    monkeypatch.setattr(module, "_with_totals", lambda rows, *a: (ranked.append(rows.count()), real(rows, *a))[1])
+    claims = [Claim("x", ("x",), F.lit(1)), Claim("y", ("y",), F.lit(1))]
+    served = grant_in_order(df, "id", [F.asc("id")], [Cell(id_block("id"))], claims)
+    granted = {r.id for r in served.collect() if r.Granted}
+    taken, want = set(), set()
+    for i, x, y in sorted(rows):
+        things = {("x", x)} | ({("y", y)} if y else set())
+        if not things & taken:
+            want.add(i)
+            taken |= things
+    assert granted == want
+    assert ranked[0] == ranked[-1] == len(rows) and len(ranked) >= 5
+    assert all(n <= len(chain) for n in ranked[2:-1])
+    assert sorted(ranked[:-1], reverse=True) == ranked[:-1]
