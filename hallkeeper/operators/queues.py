@@ -274,15 +274,17 @@ def announcements_for(t: Tables, student_id: str, now: dt.datetime) -> DataFrame
 
 
 def active_notifications(t: Tables, now: dt.datetime) -> DataFrame:
-    """Notifications valid now and not failed, per student, newest first."""
+    """Notifications valid now and not failed, of all students; ``notifications_of`` gives one student's list in order."""
     moment = time_value(now)
-    return (
-        t.notification.filter(
-            valid_at(F.col("PublishDate"), F.col("ExpiryDate"), moment) & (F.col("Status") != "Failed")
-        )
-        .select("StudentID", "NotificationID", "Title", "IsRead", "PublishDate", "ExpiryDate", "Status")
-        .orderBy("StudentID", F.desc("PublishDate"), F.desc("NotificationID"))
-    )
+    return t.notification.filter(
+        valid_at(F.col("PublishDate"), F.col("ExpiryDate"), moment) & (F.col("Status") != "Failed")
+    ).select("StudentID", "NotificationID", "Title", "IsRead", "PublishDate", "ExpiryDate", "Status")
+
+
+def notifications_of(t: Tables, now: dt.datetime, student_id: str) -> DataFrame:
+    """One student's notifications valid now, newest first."""
+    own = active_notifications(t, now).filter(F.col("StudentID") == student_id)
+    return own.orderBy(F.desc("PublishDate"), F.desc("NotificationID"))
 
 
 def unread_counts(t: Tables, now: dt.datetime) -> DataFrame:

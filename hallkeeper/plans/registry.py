@@ -133,6 +133,7 @@ def _view_queries() -> dict[str, Query]:
         "capacity": _over_tables(views.capacity),
         "priority_queues": _over_tables(views.priority_queues, AS_OF),
         "activity_metrics": _over_tables(views.activity_metrics, AS_OF),
+        "activity_metrics_on_a_meal_day": _over_tables(views.activity_metrics, NOW.date()),
         "view_student_directory": _over_tables(views.student_directory),
         "view_room_occupancy": _over_tables(views.room_occupancy),
         "view_building_capacity": _over_tables(views.building_capacity),

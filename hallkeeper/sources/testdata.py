@@ -186,7 +186,7 @@ FROM {region}
 """,
     "leave_permission": """
 SELECT o_orderkey AS PermissionID, CAST(o_custkey AS STRING) AS StudentID, CAST(o_orderdate AS DATE) AS RequestDate, CAST(o_orderdate AS DATE) + 3 AS StartDate
-  , CAST(o_orderdate AS DATE) + CAST(o_orderkey % 20 AS INT) AS EndDate, CASE o_orderkey % 4 WHEN 0 THEN 'Pending' WHEN 1 THEN 'Approved' WHEN 2 THEN 'Rejected' ELSE 'Cancelled' END AS Status
+  , CAST(o_orderdate AS DATE) + CAST(CASE WHEN o_orderkey % 20 < 3 THEN 1 ELSE 18 END * (o_orderkey % 20) AS INT) AS EndDate, CASE o_orderkey % 4 WHEN 0 THEN 'Pending' WHEN 1 THEN 'Approved' WHEN 2 THEN 'Rejected' ELSE 'Cancelled' END AS Status
   , CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE CAST(o_orderdate AS DATE) + 1 END AS ApprovalDate
 FROM {orders}
 WHERE o_orderkey % 9 = 1

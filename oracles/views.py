@@ -51,6 +51,18 @@ def oracles() -> dict[str, str]:
                 "Meal check-ins": f"SELECT count(*) FROM meal_attendance WHERE MealDate = {AS_OF}",
             }
         ),
+        "activity_metrics_on_a_meal_day": metrics(
+            {
+                "Available bed slots": "SELECT count(*) FROM bed_slot WHERE NOT IsOccupied AND NOT IsReserved",
+                "Actionable inspections": "SELECT count(*) FROM room_inspection WHERE Status = 'Failed' OR FollowUpRequired",
+                "Expiring contracts": """SELECT count(*) FROM room_assignment WHERE Status = 'Active'
+                    AND CheckOutDate BETWEEN DATE '2024-01-15' AND DATE '2024-01-15' + 30""",
+                "Active blacklist": """SELECT count(*) FROM blacklist WHERE Status = 'Active'
+                    AND (EndDate IS NULL OR EndDate >= DATE '2024-01-15')""",
+                "Recent payments": "SELECT count(*) FROM payment_transaction WHERE PaymentDate >= DATE '2024-01-15' - 30",
+                "Meal check-ins": "SELECT count(*) FROM meal_attendance WHERE MealDate = DATE '2024-01-15'",
+            }
+        ),
         "view_student_directory": """
             SELECT s.StudentID, s.FirstName || ' ' || s.LastName AS StudentName, s.Email, s.Status,
               f.Name AS FacultyName, p.Name AS ProgramName

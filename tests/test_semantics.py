@@ -305,3 +305,11 @@ def test_typed_import_rules(spark):
         ("2", "TotalAmount"): "required",
         ("2", "PaymentStatus"): "value_not_allowed",
     }
+
+
+def test_one_students_notifications_are_in_order(small):
+    every = queues.active_notifications(small, NOW)
+    student = every.groupBy("StudentID").count().orderBy("count", ascending=False).first().StudentID
+    own = queues.notifications_of(small, NOW, student).collect()
+    assert len(own) == every.filter(every.StudentID == student).count() > 1
+    assert own == sorted(own, key=lambda r: (r.PublishDate, r.NotificationID), reverse=True)

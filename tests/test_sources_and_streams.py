@@ -151,20 +151,6 @@ def test_lineage_is_cut_in_the_shared_folder(spark):
     assert sorted(r.id for r in cut.collect()) == [0, 1, 2]
 
 
-PLAIN = [
-    name
-    for name in queries()
-    if not name.startswith(("approve", "complete", "new_account", "notifications", "cascade", "integrity_after", "reconcil", "repair"))
-]
-
-
-@pytest.mark.parametrize("name", PLAIN)
-def test_no_products_and_no_python_in_plans(spark, name):
-    plan = queries()[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
-    for word in ("CartesianProduct", "BroadcastNestedLoopJoin", "ArrowEval", "BatchEvalPython", "InPandas"):
-        assert word not in plan
-
-
 @pytest.mark.parametrize(
     ("name", "columns"),
     [
