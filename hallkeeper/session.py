@@ -68,7 +68,8 @@ class Journal:
     def __init__(self, spark: SparkSession, name: str, schema: str):
         self._spark, self._schema = spark, schema
         self._folder = new_folder(spark, name)
-        self.append(spark.createDataFrame([], schema), 0)
+        # A round of its own, so that no round is written over while it is read.
+        self.append(spark.createDataFrame([], schema), -1)
 
     def append(self, rows: DataFrame, number: int) -> DataFrame:
         """Add the rows of a round; gives them back as written."""

@@ -308,6 +308,8 @@ def test_typed_import_rules(spark):
 
 
 def test_one_students_notifications_are_in_order(small):
+    from hallkeeper.sources.testdata import NOW
+
     every = queues.active_notifications(small, NOW)
     student = every.groupBy("StudentID").count().orderBy("count", ascending=False).first().StudentID
     own = queues.notifications_of(small, NOW, student).collect()
