@@ -35,6 +35,9 @@ CORE = 0.5
 STEPS = 30
 """Steps at most; they end before when no determinant falls by more than a thousandth."""
 
+SMALL = 16
+"""Tasks that write a table with few rows per group."""
+
 SCALE = 1000
 """Vectors are given in thousandths."""
 
@@ -129,9 +132,16 @@ def _statistics(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
     return out | {f: np.rint(v * SCALE).astype(np.int64) for f, v in zip(FEATURES, vector, strict=True)}
 
 
-def _measure(kept: tuple[str, ...]):
+def _with_text(batches: Iterator[pa.RecordBatch], row: str) -> Iterator[pa.RecordBatch]:
+    """The batches with the text inside their whole rows as a column."""
+    for batch in batches:
+        columns = dict(zip(batch.schema.names, batch.columns, strict=True))
+        yield pa.record_batch(columns | {"text": batch.column(row).field("text")})
+
+
+def _measure(kept: tuple[str, ...], row: str | None = None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in W.chunks(batches):
+        for batch in W.chunks(_with_text(batches, row) if row else batches):
             columns = {c: batch.column(c) for c in kept}
             yield pa.record_batch(columns | {k: pa.array(v, pa.int64()) for k, v in _statistics(batch).items()})
 
@@ -144,14 +154,17 @@ def _group_key(level: str, *columns: str) -> Column:
     return F.concat(F.lit(f"{level} "), F.to_json(names, {"ignoreNullFields": "false"}))
 
 
-def statistics(docs: DataFrame, *kept: str) -> DataFrame:
-    """The ``kept`` columns, the group, the word statistics, the vector, and base_failed of each document."""
+def statistics(docs: DataFrame, *kept: str, row: str | None = None) -> DataFrame:
+    """The ``kept`` columns, the group, the word statistics, the vector, and base_failed of each document.
+
+    ``row`` names a kept struct that holds the text, which then isn't sent a second time.
+    """
     ship(docs.sparkSession)
-    texts = docs.select(*kept, "text", _group_key("group", "lang", "source").alias("group"), _group_key("language", "lang").alias("language"))
+    texts = docs.select(*kept, *([] if row else ["text"]), _group_key("group", "lang", "source").alias("group"), _group_key("language", "lang").alias("language"))
     names = (*kept, "group", "language")
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in texts.schema.fields if f.name in names]
     longs = [f"{c} long" for c in (*_STATISTICS, *FEATURES)]
-    return texts.mapInArrow(_measure(names), ", ".join(fields + longs)).withColumn(
+    return texts.mapInArrow(_measure(names, row), ", ".join(fields + longs)).withColumn(
         "base_failed",
         (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words")),
     )
@@ -241,6 +254,22 @@ def _quantile(rows: DataFrame, share: float) -> DataFrame:
     )
 
 
+def _core(away: DataFrame) -> DataFrame:
+    """Per key and start the count and moments of the nearest CORE of the rows, whole steps of distance at a time.
+
+    Rows are summed up per step once; which steps belong to the core follows from those sums.
+    """
+    moments = {"n": F.lit(1), **{f"s{i}": F.col(f) for i, f in enumerate(FEATURES)}}
+    moments |= {f"q{i}{j}": F.col(FEATURES[i]) * F.col(FEATURES[j]) for i, j in _pairs()}
+    steps = away.groupBy("key", "start", "step").agg(*[F.sum(v.cast("long")).alias(c) for c, v in moments.items()])
+    nearer = Window.partitionBy("key", "start").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
+    core = steps.withColumn("nearer", F.coalesce(F.sum("n").over(nearer), F.lit(0))).withColumn(
+        "all", F.sum("n").over(Window.partitionBy("key", "start"))
+    )
+    inside = core.filter(F.col("nearer") < CORE * F.col("all"))
+    return inside.groupBy("key", "start").agg(*[F.sum(c).alias(c) for c in moments])
+
+
 def fit_groups(stats: DataFrame) -> DataFrame:
     """(key, m0.., i00.., unit, size) for each group, each language and all documents.
 
@@ -252,23 +281,17 @@ def fit_groups(stats: DataFrame) -> DataFrame:
         *[F.struct((F.col(c) if c else F.lit("all")).alias("key"), home.alias("home")) for c, home in keyed]
     )
     rows = cut_lineage(stats.select(F.explode(levels).alias("k"), *FEATURES).select("k.key", "k.home", *FEATURES))
-    fit = cut_lineage(_starts(rows))
+    fit = cut_lineage(_starts(rows).coalesce(SMALL))
     for _ in range(STEPS):
         away = rows.join(fit, "key").select("key", "start", *FEATURES, _step_of(_distance()).alias("step"))
-        core = away.join(cut_lineage(_quantile(away, CORE)), ["key", "start"]).filter("step <= limit")
-        sums = core.groupBy("key", "start").agg(
-            F.count(F.lit(1)).alias("n"),
-            *[F.sum(f).alias(f"s{i}") for i, f in enumerate(FEATURES)],
-            *[F.sum(F.col(FEATURES[i]) * F.col(FEATURES[j])).alias(f"q{i}{j}") for i, j in _pairs()],
-        )
-        new = cut_lineage(sums.mapInArrow(_invert, _FIT))
+        new = cut_lineage(_core(away).coalesce(SMALL).mapInArrow(_invert, _FIT))
         old = fit.select("key", "start", F.col("spread").alias("before"))
         falls = not new.join(old, ["key", "start"]).filter("spread < before - 0.001").isEmpty()
         fit = new
         if not falls:
             break
     least = fit.groupBy("key").agg(F.min(F.struct("spread", "start")).alias("l")).select("key", F.col("l.start").alias("start"))
-    fit = cut_lineage(fit.join(least, ["key", "start"]).drop("spread"))
+    fit = cut_lineage(fit.join(least, ["key", "start"]).drop("spread").coalesce(SMALL))
     away = rows.join(fit, "key").select("key", "start", _step_of(_distance()).alias("step"))
     middle = _quantile(away, 0.5).select(
         "key",
@@ -276,7 +299,7 @@ def fit_groups(stats: DataFrame) -> DataFrame:
         # A group far narrower than the least spread isn't stretched to a normal one.
         F.greatest((F.pow(2.0, F.col("limit") / 64) - 1) / 1000 / _MEDIAN, F.lit(0.25)).alias("unit"),
     )
-    return cut_lineage(fit.drop("start").join(middle, "key"))
+    return cut_lineage(fit.drop("start").join(middle, "key").coalesce(SMALL))
 
 
 def _chosen(stats: DataFrame, fit: DataFrame) -> DataFrame:
@@ -307,13 +330,13 @@ def quality(docs: DataFrame) -> DataFrame:
     count as often as they occur. Other columns of ``docs`` are left aside.
     """
     stats = cut_lineage(statistics(docs, "doc_id"))
-    estimates = cut_lineage(_chosen(stats, fit_groups(stats.filter("not base_failed"))))
+    estimates = cut_lineage(_chosen(stats, fit_groups(stats.filter("not base_failed"))).coalesce(SMALL))
     return judge(stats, estimates)
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
     """The documents that pass, with the columns of ``docs``."""
     stats = cut_lineage(statistics(docs))
-    estimates = cut_lineage(_chosen(stats, fit_groups(stats.filter("not base_failed"))))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), "text", "lang", "source")
-    return judge(statistics(rows, "__row"), estimates).filter("kept").select("__row.*")
+    estimates = cut_lineage(_chosen(stats, fit_groups(stats.filter("not base_failed"))).coalesce(SMALL))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), "lang", "source")
+    return judge(statistics(rows, "__row", row="__row"), estimates).filter("kept").select("__row.*")
