@@ -196,3 +196,45 @@ def test_empty_tables(documents, spark):
     assert quality.quality(empty).count() == 0
     assert licenses.scan_licenses(empty).count() == 0
     assert html_text.extract_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+def test_pii_variants_are_added_and_clean_numbers_left(documents):
+    rnd = random.Random(7)
+    number = lambda n: "".join(rnd.choice("123456789") for _ in range(n))
+    base = [f"write to user{i}@mail{i % 7}.example.com or +1 ({number(3)}) 555-{number(4)} from {i % 250}.1.2.3 now" for i in range(400)]
+    noise = [f"order {number(10)} of 2024-01-15 10:30, total 0.{number(9)} key ab{number(12)}cd at {number(7)}" for _ in range(400)]
+    variants = ["see bob (at) example.com today", "see ann[AT]mail[dot]example[dot]org today", "ring 0049 30 1234567 now", "ring (030) 555-1234 now",
+                "go to 10[.]1[.]2[.]3 now"]
+    rows = {r.doc_id: r for r in pii.find_pii(documents(base + noise + variants)).collect()}
+    values = lambda i, text: [text[int(a) : int(b)] for a, b in (s.split(":")[1:] for s in rows[i].spans.split(",") if s)]
+    for i, text in enumerate(base):
+        assert rows[i].spans == ",".join(_base_spans(text))
+    assert [i for i in range(400, 800) if rows[i].spans] == []
+    assert [values(800 + i, t) for i, t in enumerate(variants)] == [
+        ["bob (at) example.com"], ["ann[AT]mail[dot]example[dot]org"], ["0049 30 1234567"], ["(030) 555-1234"], ["10[.]1[.]2[.]3"]]
+
+
+def test_pii_of_a_text_with_100000_spans(documents):
+    long = " ".join(f"é a{i}@b.cd" for i in range(100_000))
+    (r,) = pii.find_pii(documents([long])).collect()
+    expected = _base_spans(long)
+    assert r.n_email == len(expected) == 100_000
+    assert r.base_sha256 == hashlib.sha256(",".join(expected).encode()).hexdigest()
+    (r,) = pii.redact(documents([long])).collect()
+    assert r.text == " ".join(["é [EMAIL]"] * 100_000)
+
+
+def test_redaction_merges_overlaps_and_keeps_rows(documents):
+    sample = texts(5)
+    rows = [(r.doc_id, r.text) for r in pii.redact(documents(sample, repeat=2)).collect()]
+    spans = {r.doc_id: r.spans for r in pii.find_pii(documents(sample, repeat=2)).collect()}
+    expected = []
+    for i, text in list(enumerate(sample)) + list(enumerate(sample[:2])):
+        if text is not None:
+            at, out = 0, ""
+            for start, end, kind in sorted((int(a), int(b), pii.KINDS.index(k)) for k, a, b in (s.split(":") for s in spans[i].split(",") if s)):
+                out += text[at:start] + f"[{pii.KINDS[kind].upper()}]" if start >= at else ""
+                at = max(at, end)
+            text = out + text[at:]
+        expected.append((i, text))
+    assert sorted(rows, key=str) == sorted(expected, key=str)
