@@ -57,7 +57,7 @@ TRIGGERS = {
 }
 """Beginnings of words that speak for a kind when they come shortly before a candidate."""
 
-_NATIONAL = r"^00[1-9][0-9\x20()./-]{6,}$|^\(?0[0-9][0-9]*[\x20()/.-]|^\([0-9]|^\+|^[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}$"
+_NATIONAL = r"^00[1-9][0-9]{9,12}$|^\(?0[0-9][0-9]*[\x20()/.-]|^\([0-9]|^\+|^[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}$"
 _DATE = r"^\(?[0-9]{1,4}[./-][0-9]{1,2}[./-][0-9]{1,4}(?![0-9])"
 
 FEATURES = {"digits": 8, "parts": 6, "marks": 4, "check": 3, "trigger": 2, "before": 3, "after": 3}
