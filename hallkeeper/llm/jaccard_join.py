@@ -12,14 +12,16 @@ lets a set skip its most frequent signatures (the cost of a signature is the siz
 reach H + 1 is joined through an exact prefix of its shingles instead.
 
 Signatures travel packed: a task sorts those of a few thousand documents by bucket and sends one row per bucket.
-Groups of equal signatures are not expanded into pairs. In a few turns every member is compared with one leader of
-its group, another one each turn; then pairs are only made between members that are not yet connected. A parity bitmap, whose bits differ in at
-most as many places as the sets do, rejects pairs without reading the sets; the rest is verified exactly.
+Groups of equal signatures are not expanded into pairs. In a few turns every member is compared with
+the leaders it shares most groups with, other ones each turn. What isn't connected then is compared member by member inside tasks, a large group
+in cells of CELL members each way, and only pairs that may be similar leave the task: a parity bitmap, whose bits
+differ in at most as many places as the sets do, rejects the others. The rest is verified exactly.
 """
 
 from __future__ import annotations
 
 import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,8 +43,17 @@ HELD_SIGNATURES = 2_000_000
 HOT_GROUP = 20_000
 """Members from which a group is passed on as it comes."""
 
-TURNS = 4
-"""Turns in which the members of a signature are compared with one leader each, before pairs are made."""
+TURNS = 1
+"""Turns in which members are compared with leaders of their signatures, before all that are apart are."""
+
+LEADERS = 20
+"""Leaders a member is compared with in a turn."""
+
+CELL = 2048
+"""Members on each side of a cell, on average."""
+
+SPREAD = 5
+"""Standard deviations by which the smallest sets of a band are to exceed the weight they need."""
 
 _U = np.uint64
 
@@ -61,15 +72,43 @@ def _band(sizes: np.ndarray) -> np.ndarray:
     return np.searchsorted(_bands(), sizes, "left")
 
 
-def _shape(band: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of a band's index: the weight a set needs, the number of segments, and how many carry deletions."""
-    top = _bands()[np.maximum(band, 0)]
-    need = (top + top * 4 // 3) // 7 + 1
+@functools.lru_cache(maxsize=1)
+def _layout() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Per band: the weight a set needs, the number of segments, and how many carry deletions.
+
+    Deletions are given to as few segments as let the weight of a band's smallest sets stay above the need by SPREAD
+    standard deviations, if all segments with deletions allow for it.
+    """
+    tops = _bands()
+    need = (tops + tops * 4 // 3) // 7 + 1
     segments = need + need // 4 + (need > 1)
     deletions = np.minimum(segments, np.ceil(np.sqrt(segments)).astype(np.int64) + 8)
+    for band in range(1, len(tops)):
+        m = int(segments[band])
+        rate = (int(tops[band - 1]) + 1) / m
+        empty = math.exp(-rate)
+        twice = 1 - (1 + rate) * empty
+        spread = m * max(empty - (1 + rate) * empty * empty, 0.0)
+
+        def enough(d: int, m=m, empty=empty, twice=twice, spread=spread, need=int(need[band])) -> bool:
+            mean = m * (1 - empty) + d * twice
+            return mean - need >= SPREAD * math.sqrt(spread + d * twice * (1 - twice) + 2 * d * twice * empty)
+
+        low, high = int(deletions[band]), m
+        while low < high:
+            middle = (low + high) // 2
+            low, high = (low, middle) if enough(middle) else (middle + 1, high)
+        deletions[band] = low
     return need, segments, deletions
 
 
+def _shape(band: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a band's index: the weight a set needs, the number of segments, and how many carry deletions."""
+    need, segments, deletions = _layout()
+    band = np.maximum(band, 0)
+    return need[band], segments[band], deletions[band]
+
+
 def _segments(doc: np.ndarray, value: np.ndarray, bounds: np.ndarray, band: np.ndarray):
     """Shingles' segments in the index of their document's ``band``, and per segment the document, count and sum.
 
@@ -359,8 +398,8 @@ def verified(pairs: DataFrame, texts: DataFrame, classes: DataFrame) -> DataFram
     )
 
 
-def _small_rows(sizes: list[int], prefix: bool):
-    """(class_id, shingle) of sets of the given sizes; prefix: enough of them to share one with any similar set."""
+def _prefix_rows(sizes: list[int]):
+    """(class_id, shingle) of sets of the given sizes: enough of the least shingles to share one with any similar set."""
     wanted = np.array(sorted(sizes), np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -368,10 +407,8 @@ def _small_rows(sizes: list[int], prefix: bool):
             doc, value, bounds = _sets(batch)
             size = np.diff(bounds)
             ids = _class_ids(value, bounds)
-            use = np.isin(size, wanted)[doc]
-            if prefix:
-                use &= (np.arange(len(doc)) - bounds[doc]) <= (size // 4)[doc]
-            yield pa.record_batch({"class_id": ids[doc[use]], "shingle": value[use].view(np.int64)})
+            use = np.isin(size, wanted)[doc] & ((np.arange(len(doc)) - bounds[doc]) <= (size // 4)[doc])
+            yield pa.record_batch({"b": ids[doc[use]], "shingle": value[use].view(np.int64)})
 
     return run
 
@@ -382,13 +419,9 @@ def _prefix_pairs(texts: DataFrame, rows: DataFrame) -> DataFrame | None:
     if not sizes:
         return None
     near = {m for n in sizes for m in range(-(-3 * n // 4), 4 * n // 3 + 1)}
-    schema = "class_id long, shingle long"
     short = rows.filter("short").select("class_id").distinct()
-    probes = (
-        texts.select("text").mapInArrow(_small_rows(sizes, True), schema)
-        .distinct().join(short, "class_id", "left_semi").withColumnRenamed("class_id", "a")
-    )
-    others = texts.select("text").mapInArrow(_small_rows(list(near), False), schema).withColumnRenamed("class_id", "b")
+    others = texts.select("text").mapInArrow(_prefix_rows(list(near)), "b long, shingle long").distinct()
+    probes = others.withColumnRenamed("b", "a").join(short.withColumnRenamed("class_id", "a"), "a", "left_semi")
     return probes.join(others, "shingle").filter("a != b").select("a", "b")
 
 
@@ -406,13 +439,129 @@ def _apart(members: DataFrame, roots: DataFrame | None) -> DataFrame:
 
 
 def _star_pairs(members: DataFrame, turn: int) -> DataFrame:
-    """Each member with its signature's leader of this turn, a member with a whole segment, unless connected."""
+    """Each member with those leaders of its signatures it shares most signatures with, unless connected.
+
+    A signature's leader of this turn is a member with a whole segment. Leaders passed over are left to later steps.
+    """
     leads = (
         members.filter("not deleted").groupBy("sig")
         .agg(F.min(F.struct(F.xxhash64("class_id", F.lit(turn)).alias("h"), "class_id", "root")).alias("lead"))
     )
     met = members.join(leads, "sig").filter("root != lead.root")
-    return _ordered(met.select(F.col("lead.class_id").alias("a"), F.col("class_id").alias("b")))
+    shared = met.groupBy("class_id", F.col("lead.class_id").alias("lead")).agg(F.count(F.lit(1)).alias("n"))
+    best = Window.partitionBy("class_id").orderBy(F.desc("n"), "lead")
+    ranked = shared.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= LEADERS)
+    return _ordered(ranked.select(F.col("lead").alias("a"), F.col("class_id").alias("b")))
+
+
+def _folded(bits: np.ndarray, width: int) -> np.ndarray:
+    while bits.shape[1] > width:
+        half = bits.shape[1] // 2
+        bits = bits[:, :half] ^ bits[:, half:]
+    return bits
+
+
+def _close_in_group(g: dict[str, np.ndarray], data: np.ndarray) -> Iterator[np.ndarray]:
+    """Pairs (a, b) of one cell's members that ask and that are met, unless connected or certain to be unlike."""
+    bits = {}
+    for length in np.unique(g["length"]):
+        at = np.flatnonzero(g["length"] == length)
+        bits[int(length)] = at, data[g["offset"][at][:, None] + np.arange(length)].view(np.uint64)
+    for at_a, all_a in bits.values():
+        asks = g["asks"][at_a]
+        at_a, all_a = at_a[asks], all_a[asks]
+        for at_b, all_b in bits.values():
+            met = g["met"][at_b]
+            at_b, bits_b = at_b[met], all_b[met]
+            width = min(all_a.shape[1], bits_b.shape[1])
+            bits_a, bits_b = _folded(all_a, width), _folded(bits_b, width)
+            step = max(1, 2_000_000 // max(1, len(at_b) * width))
+            for s in range(0, len(at_a), step):
+                x, y = at_a[s : s + step][:, None], at_b[None, :]
+                n, m = g["n"][x], g["n"][y]
+                use = (g["root"][x] != g["root"][y]) & ~(g["deleted"][x] & g["deleted"][y])
+                use &= 4 * np.minimum(n, m) >= 3 * np.maximum(n, m)
+                i, j = np.nonzero(use)
+                unlike = np.bitwise_count(bits_a[s + i] ^ bits_b[j]).sum(axis=1, dtype=np.int64)
+                near = unlike * 7 <= g["n"][at_a[s + i]] + g["n"][at_b[j]]
+                one, two = g["id"][at_a[s + i[near]]], g["id"][at_b[j[near]]]
+                yield np.stack([np.minimum(one, two), np.maximum(one, two)], axis=1)
+
+
+def _close_in_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Close pairs of rows sorted by cell; a cell may run over batches."""
+    kept: pa.Table | None = None
+
+    def closed(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        rows = rows.combine_chunks()
+        column = lambda c: rows.column(c).to_numpy(zero_copy_only=False)
+        parity = rows.column("parity").combine_chunks()
+        parity = parity.chunk(0) if isinstance(parity, pa.ChunkedArray) else parity
+        offsets = np.frombuffer(parity.buffers()[1], np.int32)[parity.offset : parity.offset + len(parity) + 1].astype(np.int64)
+        data = np.frombuffer(parity.buffers()[2], np.uint8)
+        all_rows = {"id": column("class_id"), "root": column("root"), "n": column("n_shingles"), "deleted": column("deleted"),
+                    "asks": column("asks"), "met": column("met"), "offset": offsets[:-1], "length": np.diff(offsets)}
+        cuts = _cuts(rows)
+        found, n = [], 0
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            for pairs in _close_in_group({k: v[a:b] for k, v in all_rows.items()}, data) if b - a > 1 else ():
+                found.append(pairs)
+                n += len(pairs)
+            if found and (n > 200_000 or b == len(rows)):
+                pairs = np.unique(np.concatenate(found), axis=0)
+                yield pa.record_batch({"a": pairs[:, 0], "b": pairs[:, 1]})
+                found, n = [], 0
+        if found:
+            pairs = np.unique(np.concatenate(found), axis=0)
+            yield pa.record_batch({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    def _cuts(rows: pa.Table) -> np.ndarray:
+        new = np.zeros(len(rows) + 1, bool)
+        new[[0, -1]] = True
+        for c in ("sig", "i", "j"):
+            v = rows.column(c).to_numpy()
+            new[1:-1] |= v[1:] != v[:-1]
+        return np.flatnonzero(new)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = pa.Table.from_batches([batch])
+        kept = table if kept is None else pa.concat_tables([kept, table])
+        last = int(_cuts(kept)[-2])
+        if last:
+            yield from closed(kept.slice(0, last))
+            kept = kept.slice(last)
+    if kept is not None:
+        yield from closed(kept)
+
+
+def _close_pairs(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of members of one signature that aren't connected and whose parity bitmaps are close.
+
+    A signature of more than CELL members is dealt to a square of cells: a member asks in its row and is met in its
+    column, so each task holds two parts of the group and none holds all of it.
+    """
+    cells = members.groupBy("sig").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("cells"))
+    placed = (
+        members.join(classes.select("class_id", "n_shingles", "parity"), "class_id")
+        .join(cells, "sig")
+        .withColumn("mine", F.pmod(F.xxhash64("class_id"), F.col("cells")).cast("int"))
+    )
+    places = F.expr(
+        "flatten(transform(sequence(0, cells - 1), o -> IF(o = mine, "
+        "array(named_struct('i', mine, 'j', mine, 'asks', probes, 'met', true)), "
+        "array(named_struct('i', mine, 'j', o, 'asks', probes, 'met', false), "
+        "named_struct('i', o, 'j', mine, 'asks', false, 'met', true)))))"
+    )
+    dealt = placed.select("sig", "class_id", "root", "deleted", "n_shingles", "parity", F.inline(places))
+    return (
+        dealt.filter("asks or met")
+        .repartition("sig", "i", "j")
+        .sortWithinPartitions("sig", "i", "j")
+        .mapInArrow(_close_in_cells, "a long, b long")
+        .distinct()
+    )
 
 
 def jaccard_classes(docs: DataFrame) -> DataFrame:
@@ -470,11 +619,7 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     if links is None:
         return rows.select("doc_id", "row_key", "n_shingles", "class_id", _component(F.lit(None).cast("long")))
 
-    # What is still apart is compared pair by pair.
-    whole = _apart(members, roots)
-    one = whole.filter("probes").select("sig", F.col("class_id").alias("a"), F.col("root").alias("ra"), F.col("deleted").alias("da"))
-    two = whole.select("sig", F.col("class_id").alias("b"), F.col("root").alias("rb"), F.col("deleted").alias("db"))
-    rest = _ordered(one.join(two, "sig").filter("ra != rb and not (da and db)").select("a", "b"))
+    rest = _close_pairs(_apart(members, roots), classes)
     more = verified(rest.join(tried, ["a", "b"], "left_anti"), texts, classes)
     if not more.isEmpty():
         roots = components(links.union(more))

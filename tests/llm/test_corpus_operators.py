@@ -63,6 +63,19 @@ def test_components_equal_all_pairs(documents):
     assert {(r.doc_id, r.n_shingles, r.component_id) for r in rows} == {(i, len(s), expected[i]) for i, s in enumerate(sets)}
 
 
+def test_components_with_small_cells_and_a_common_line(documents, monkeypatch):
+    """Groups dealt to many cells, a line that unlike documents share, one leader only: the same components."""
+    monkeypatch.setattr(jaccard_join, "CELL", 7)
+    monkeypatch.setattr(jaccard_join, "LEADERS", 1)
+    rnd = random.Random(11)
+    line = " ".join(f"common{i}" for i in range(12))
+    unlike = [line + " " + " ".join(f"w{rnd.randrange(10**6)}" for _ in range(rnd.randrange(2, 30))) for _ in range(150)]
+    texts = near_texts(3) + unlike
+    expected = components([shingles(t) for t in texts])
+    rows = jaccard_join.near_duplicate_groups(documents(texts)).collect()
+    assert {(r.doc_id, r.component_id) for r in rows} == set(enumerate(expected))
+
+
 def test_one_document_of_each_group_stays(documents):
     texts = near_texts(2)
     expected = components([shingles(t) for t in texts])
