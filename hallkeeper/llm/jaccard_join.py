@@ -160,9 +160,12 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = np.diff(bounds)
         own = np.where(size > 0, _band(size), 0)
         short = np.zeros(len(size), bool)
+        slacks = np.zeros((2, len(size)), np.int32)
         if len(value):
-            for band in (own, np.maximum(own - 1, 0)):
-                short |= (band > 0) & (_segments(doc, value, bounds, band)[-1] < 0)
+            for role, band in enumerate((own, np.maximum(own - 1, 0))):
+                slack = _segments(doc, value, bounds, band)[-1]
+                short |= (band > 0) & (slack < 0)
+                slacks[role] = np.maximum(slack, 0)
         yield pa.record_batch(
             {
                 "doc_id": batch.column("doc_id"),
@@ -171,12 +174,18 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 "class_id": _class_ids(value, bounds),
                 "parity": pa.array([_parity(value[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary()),
                 "short": short,
+                "slack_own": slacks[0],
+                "slack_upper": slacks[1],
             }
         )
 
 
 def _pack(buckets: int):
-    """One row per chunk and bucket: signatures with their document, flags and, per document, its slack."""
+    """One row per chunk and bucket: signatures with their document and flags.
+
+    32 bits of a signature go with its bucket, which holds as many signatures at every size of the input; two that
+    agree by chance only make a pair that the verification rejects.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in W.chunks(batches):
@@ -189,9 +198,9 @@ def _pack(buckets: int):
             once[np.unique(ids, return_index=True)[1]] = True
             once &= size > 0
             own = np.where(once, _band(size), 0)
-            table_ids, table_slack, sig, flags, at_doc = [], [], [], [], []
+            table_ids, sig, flags, at_doc = [], [], [], []
             for role, band in enumerate((own, np.maximum(own - 1, 0))):
-                of, seg, at, mixed, count, total, owner, number, twice, slack = _segments(doc, value, bounds, band)
+                of, seg, at, mixed, count, total, owner, number, twice, _ = _segments(doc, value, bounds, band)
                 place = (band[owner].astype(np.uint64) << _U(40)) + number.astype(np.uint64)
                 some = np.flatnonzero(count > 0)
                 sig.append(W.mix(total[some] + W.mix(place[some])))
@@ -203,23 +212,20 @@ def _pack(buckets: int):
                 flags.append(np.full(len(gone), 1 + 2 + 4 * role, np.uint8))
                 at_doc.append(of[gone] + role * len(ids))
                 table_ids.append(ids)
-                table_slack.append(np.maximum(slack, 0).astype(np.int32))
             sig, flags, at_doc = np.concatenate(sig), np.concatenate(flags), np.concatenate(at_doc)
-            table_ids, table_slack = np.concatenate(table_ids), np.concatenate(table_slack)
-            bucket = (((sig >> _U(40)) * _U(buckets)) >> _U(24)).astype(np.int64)
+            table_ids = np.concatenate(table_ids)
+            bucket = (((sig >> _U(32)) * _U(buckets)) >> _U(32)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             sig, flags, at_doc, bucket = sig[order], flags[order], at_doc[order], bucket[order]
             cuts = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.zeros(0, np.int64)
-            rows: dict[str, list] = {k: [] for k in ("bucket", "low", "high", "flags", "doc", "ids", "slack")}
+            rows: dict[str, list] = {k: [] for k in ("bucket", "low", "flags", "doc", "ids")}
             for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(bucket)], strict=True):
                 used, local = np.unique(at_doc[a:b], return_inverse=True)
                 rows["bucket"].append(int(bucket[a]))
                 rows["low"].append((sig[a:b] & _U(0xFFFFFFFF)).astype(np.uint32).tobytes())
-                rows["high"].append(((sig[a:b] >> _U(32)) & _U(0xFFFF)).astype(np.uint16).tobytes())
                 rows["flags"].append(flags[a:b].tobytes())
                 rows["doc"].append(local.astype(np.uint16).tobytes())
                 rows["ids"].append(table_ids[used].tobytes())
-                rows["slack"].append(table_slack[used].tobytes())
             yield pa.record_batch(
                 {k: pa.array(v, pa.int64() if k == "bucket" else pa.binary()) for k, v in rows.items()}
             )
@@ -227,20 +233,18 @@ def _pack(buckets: int):
     return run
 
 
-_PACKED = "bucket long, low binary, high binary, flags binary, doc binary, ids binary, slack binary"
-_MEMBERS = "sig long, class_id long, k int, lead long, deleted boolean, weight int, upper boolean, slack int"
+_PACKED = "bucket long, low binary, flags binary, doc binary, ids binary"
+_MEMBERS = "sig long, class_id long, k int, lead long, deleted boolean, weight int, upper boolean"
 
 
 def _unpack(batch: pa.RecordBatch):
     for r in batch.to_pylist():
-        low, high = np.frombuffer(r["low"], np.uint32), np.frombuffer(r["high"], np.uint16)
         doc = np.frombuffer(r["doc"], np.uint16)
-        key = low.astype(np.uint64) | (high.astype(np.uint64) << _U(32)) | (_U(r["bucket"] & 0xFFFF) << _U(48))
-        flags = np.frombuffer(r["flags"], np.uint8)
-        yield key, np.frombuffer(r["ids"], np.int64)[doc], np.frombuffer(r["slack"], np.int32)[doc], flags
+        key = np.frombuffer(r["low"], np.uint32).astype(np.uint64) | (_U(r["bucket"]) << _U(32))
+        yield key, np.frombuffer(r["ids"], np.int64)[doc], np.frombuffer(r["flags"], np.uint8)
 
 
-def _rows(key, ids, slack, flags, k, lead) -> pa.RecordBatch:
+def _rows(key, ids, flags, k, lead) -> pa.RecordBatch:
     return pa.record_batch(
         {
             "sig": key.view(np.int64),
@@ -250,7 +254,6 @@ def _rows(key, ids, slack, flags, k, lead) -> pa.RecordBatch:
             "deleted": (flags & 1).astype(bool),
             "weight": (1 + (flags & 2) // 2).astype(np.int32),
             "upper": (flags & 4).astype(bool),
-            "slack": slack,
         }
     )
 
@@ -265,16 +268,16 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hot_keys, hot_leads = np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
     def grouped(parts):
-        key, ids, slack, flags = (np.concatenate(x) for x in zip(*parts, strict=True))
+        key, ids, flags = (np.concatenate(x) for x in zip(*parts, strict=True))
         ordered = np.sort(key)
         again = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
         some = np.flatnonzero(again[np.minimum(np.searchsorted(again, key), len(again) - 1)] == key) if len(again) else np.zeros(0, np.int64)
-        key, ids, slack, flags = key[some], ids[some], slack[some], flags[some]
+        key, ids, flags = key[some], ids[some], flags[some]
         order = np.lexsort((flags & 1, ids, key))
-        key, ids, slack, flags = key[order], ids[order], slack[order], flags[order]
+        key, ids, flags = key[order], ids[order], flags[order]
         first = np.ones(len(key), bool)
         first[1:] = (key[1:] != key[:-1]) | (ids[1:] != ids[:-1])
-        return key[first], ids[first], slack[first], flags[first]
+        return key[first], ids[first], flags[first]
 
     def measured(key, ids, flags):
         cuts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
@@ -302,23 +305,23 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             held.append(part)
             n += len(part[0])
             if n > limit:
-                key, ids, slack, flags = (np.concatenate(x) for x in zip(*held, strict=True))
+                key, ids, flags = (np.concatenate(x) for x in zip(*held, strict=True))
                 order = np.lexsort((ids, key))
-                key, ids, slack, flags = key[order], ids[order], slack[order], flags[order]
+                key, ids, flags = key[order], ids[order], flags[order]
                 size, lead = measured(key, ids, flags)
                 new = (size > HOT_GROUP) & (lead != np.iinfo(np.int64).max)
                 keys, at = np.unique(key[new], return_index=True)
                 hot_keys, leads = np.r_[hot_keys, keys], np.r_[hot_leads, lead[new][at]]
                 order = np.argsort(hot_keys)
                 hot_keys, hot_leads = hot_keys[order], leads[order]
-                out, part = pass_on((key, ids, slack, flags))
+                out, part = pass_on((key, ids, flags))
                 if out is not None:
                     yield out
                 held, n = [part], len(part[0])
                 limit = max(HELD_SIGNATURES, 2 * n)
     if not n:
         return
-    key, ids, slack, flags = grouped(held)
+    key, ids, flags = grouped(held)
     if not len(key):
         return
     size, lead = measured(key, ids, flags)
@@ -327,7 +330,7 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = slice(a, a + 100_000)
         u = use[s]
         if u.any():
-            yield _rows(key[s][u], ids[s][u], slack[s][u], flags[s][u], size[s][u], lead[s][u])
+            yield _rows(key[s][u], ids[s][u], flags[s][u], size[s][u], lead[s][u])
 
 
 def _members(texts: DataFrame, total_shingles: int) -> DataFrame:
@@ -578,13 +581,15 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     rows = cut_lineage(
         texts.select("doc_id", "row_key", "text").mapInArrow(
             _describe,
-            "doc_id long, row_key long, n_shingles long, class_id long, parity binary, short boolean",
+            "doc_id long, row_key long, n_shingles long, class_id long, parity binary, short boolean, "
+            "slack_own int, slack_upper int",
         )
     )
     classes = cut_lineage(
         rows.filter("n_shingles > 0")
         .groupBy("class_id")
-        .agg(F.first("n_shingles").alias("n_shingles"), F.first("parity").alias("parity"), F.min("row_key").alias("row_key"))
+        .agg(F.first("n_shingles").alias("n_shingles"), F.first("parity").alias("parity"), F.min("row_key").alias("row_key"),
+             F.first("slack_own").alias("slack_own"), F.first("slack_upper").alias("slack_upper"))
     )
     total = classes.agg(F.sum("n_shingles")).first()[0] or 0
     # A set leaves out its most frequent signatures within its slack. With all of them inside the slack, it is
@@ -594,6 +599,8 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     spent = F.sum(F.when(F.col("deleted"), 1).otherwise(F.col("weight")))
     members = cut_lineage(
         _members(texts, total)
+        .join(classes.select("class_id", "slack_own", "slack_upper"), "class_id")
+        .withColumn("slack", F.when(F.col("upper"), F.col("slack_upper")).otherwise(F.col("slack_own")))
         .withColumn("spent", spent.over(costly))
         .withColumn("all", spent.over(own))
         .filter("all > slack")
