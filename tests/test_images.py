@@ -79,3 +79,25 @@ def test_images_equal_the_difference_of_snapshots(spark, small):
     found = spark.read.schema(pairs.schema).parquet(f"{root}/out").collect()
     assert {(r.operation, r.row_key, str(r.old), str(r.new)) for r in found} == want
     assert len(found) == len(want) and {r.operation for r in found} == {"insert", "update", "delete"}
+
+
+def test_state_is_held_by_buckets_and_turns_have_many_files(spark, monkeypatch):
+    monkeypatch.setattr(images, "STATE_BUCKETS", 4)
+    root = tempfile.mkdtemp(prefix="run-", dir="/tmp")
+    rows = [(k, h, "save", f"{h}") for k in range(60) for h in range(3)] + [(k, 5, "save", None) for k in range(9)]
+    lines = [
+        ("penalty", str(k), START + dt.timedelta(hours=h), kind, None if v is None else f'{{"v":"{v}"}}') for k, h, kind, v in rows
+    ]
+    found = spark.createDataFrame(lines, images.IMAGE_ROWS).repartition(3)
+    files = images.write_in_turns(found, f"{root}/in", 2, F.xxhash64("row_key", "changed_at"))
+    assert len(spark.read.parquet(f"{root}/in").inputFiles()) > 2
+    images.write_in_turns(images.end_of_images(spark, START + dt.timedelta(days=9)), f"{root}/in", 1, F.lit(0))
+    stream = spark.readStream.schema(images.IMAGE_ROWS).option("maxFilesPerTrigger", files).parquet(f"{root}/in")
+    pairs = images.paired_changes(stream, "1 day")
+    writer = pairs.writeStream.format("parquet").option("path", f"{root}/out").option("checkpointLocation", f"{root}/progress")
+    query = writer.trigger(availableNow=True).start()
+    query.awaitTermination()
+    held = [op["numRowsTotal"] for p in query.recentProgress for op in p["stateOperators"]]
+    assert 0 < max(held) <= 4 + 1  # the end of the images has a bucket of its own
+    operations = spark.read.schema(pairs.schema).parquet(f"{root}/out").groupBy("operation").count().collect()
+    assert {r["operation"]: r["count"] for r in operations} == {"insert": 60, "update": 120, "delete": 9}
