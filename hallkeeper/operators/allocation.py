@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from hallkeeper.functions.claims import Claim, grant_in_order
 from hallkeeper.functions.columns import status_rank
 from hallkeeper.functions.ranking import Cell, first_per_key, id_block, row_rank
-from hallkeeper.functions.skew import spread_join
+from hallkeeper.functions.skew import sparse_join, spread_join
 from hallkeeper.operators import rules
 from hallkeeper.operators.facts import ASSIGNABLE_ROOM, active, free_bed
 from hallkeeper.operators.queues import QUEUED_APPLICATION
@@ -81,7 +81,7 @@ def approvals(t: Tables, at: Moment) -> DataFrame:
     wide = decisions.join(applications, "ApplicationID", "left").join(semesters, "SemesterID", "left")
     wide = spread_join(wide, people, ["StudentID"], hot_in=t.registration)
     wide = spread_join(wide, rules.room_frame(t), ["RoomID"], hot_in=decisions)
-    wide = wide.join(beds, "BedSlotID", "left")
+    wide = sparse_join(wide, beds, ["BedSlotID"])
 
     seats = F.greatest(F.col("Capacity") - F.coalesce("CurrentOccupancy", F.lit(0)), F.lit(0))
     names_bed = F.col("BedSlotID").isNotNull()

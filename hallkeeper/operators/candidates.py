@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from hallkeeper.functions.claims import Claim, grant_in_order
 from hallkeeper.functions.ranking import Cell, id_block
-from hallkeeper.functions.skew import spread_join
+from hallkeeper.functions.skew import sparse_join, spread_join
 from hallkeeper.operators import rules
 from hallkeeper.operators.facts import ASSIGNABLE_ROOM, active
 from hallkeeper.session import cut_lineage
@@ -37,7 +37,7 @@ def _with_stored(t: Tables, rows: DataFrame) -> DataFrame:
     wide = rows.join(old, "AssignmentID", "left")
     wide = spread_join(wide, held, ["StudentID"], hot_in=rows)
     wide = spread_join(wide, rules.room_frame(t), ["RoomID"], hot_in=rows)
-    return wide.join(beds, "BedSlotID", "left").join(applicants, "ApplicationID", "left")
+    return sparse_join(sparse_join(wide, beds, ["BedSlotID"]), applicants, ["ApplicationID"])
 
 
 def _stored_rule(taken: Column, has_bed: Column, own_bed: Column, others: Column) -> Column:

@@ -130,3 +130,10 @@ def test_equals_saving_one_after_the_other(spark, small, seed):
 def test_no_candidates(small):
     t = small.replacing(assignment_candidate=small.assignment_candidate.filter(F.lit(False)))
     assert candidates.assignment_candidates(t).collect() == []
+
+
+def test_rows_without_bed_or_application_are_dealt_to_all_tasks(spark, small):
+    wide = candidates._with_stored(small, small.assignment_candidate)
+    joins = [line for line in wide._jdf.queryExecution().analyzed().toString().splitlines() if "Join LeftOuter" in line]
+    for key in ("BedSlotID", "ApplicationID"):
+        assert any(f"{key}#" in line and "__spread" in line for line in joins)

@@ -102,6 +102,24 @@ def test_spread_join_equals_a_plain_join(spark, monkeypatch, how):
     assert got == want
 
 
+@pytest.mark.parametrize("how", ["left", "left_anti"])
+def test_sparse_join_equals_a_plain_join_and_deals_null_keys_to_many_tasks(spark, how):
+    rows = [(i, None if i % 4 else i % 6) for i in range(400)]
+    left = spark.createDataFrame(rows, "id bigint, key int")
+    right = spark.createDataFrame([(0, "a"), (2, "b"), (None, "c")], "key bigint, name string").hint("merge")
+    got = skew.sparse_join(left, right, ["key"], how)
+    want = left.join(right, "key", how)
+    assert sorted(map(tuple, got.select("id", *got.columns).collect()), key=str) == sorted(
+        map(tuple, want.select("id", *want.columns).collect()), key=str
+    )
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        places = got.filter("key IS NULL").select(F.spark_partition_id()).distinct().count()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert places > 1
+
+
 def test_hot_rows_are_spread_over_slices(spark, monkeypatch):
     monkeypatch.setattr(skew, "HOT_ROWS", 5)
     left = spark.range(1000).select(F.lit(1).alias("key"), "id")
