@@ -27,6 +27,9 @@ _HEADER = -1
 
 _BUCKET = "__bucket"
 
+SLICES = 32
+"""Parts that a bucket's rows are dealt to when they are written, so that the tasks don't depend on the few buckets."""
+
 
 @dataclass(frozen=True)
 class Manifest:
@@ -60,7 +63,8 @@ class BucketedTable:
         """Write whole buckets under a version; gives the rows of each."""
         folder = f"{self.folder}/data/version={version}"
         placed = rows.withColumn(_BUCKET, self._bucket())
-        placed.repartition(_BUCKET).write.mode("overwrite").partitionBy(_BUCKET).parquet(folder)
+        part = F.pmod(F.hash(*[F.col(c) for c in self.key]), F.lit(SLICES))
+        placed.repartition(F.col(_BUCKET), part).write.mode("overwrite").partitionBy(_BUCKET).parquet(folder)
         written = self.spark.read.schema(placed.schema).parquet(folder)
         return {r[_BUCKET]: r["count"] for r in written.groupBy(_BUCKET).count().collect()}
 

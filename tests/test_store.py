@@ -155,3 +155,13 @@ def test_streamed_images_end_in_the_same_state_when_a_batch_is_repeated(spark, s
     versions = {n: store.table(n).manifest().version for n in store.keys}
     notices.start_reconciling(stream, store, AT, str(folder / "batches"), str(folder / "again")).awaitTermination()
     assert {n: store.table(n).manifest().version for n in store.keys} == versions
+
+
+def test_a_bucket_is_written_by_many_tasks(spark, folder):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        table = BucketedTable(spark, str(folder), ["k"], 2).create(spark.range(4000).select(F.col("id").alias("k")))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(files(table)) > 2
+    assert sorted(r.k for r in table.read().collect()) == list(range(4000))
