@@ -55,6 +55,11 @@ def _order() -> list[Column]:
     return [F.asc("__approved"), F.asc("TransferID")]
 
 
+def _shuffled(rows: DataFrame) -> DataFrame:
+    """Rows to be joined by a shuffle: a broadcast of each join and round would add up on the driver as tables grow."""
+    return rows.hint("merge")
+
+
 def _cells() -> list[Cell]:
     return [Cell(F.col("__approved")), Cell(id_block("TransferID"))]
 
@@ -83,7 +88,7 @@ class _State:
         came = moved.select(F.col("ToRoomID").alias("RoomID"), F.lit(1).cast("bigint").alias("Residents"))
         left = moved.select(F.col("FromRoomID").alias("RoomID"), F.lit(-1).cast("bigint").alias("Residents"))
         changes = self.residents.unionByName(came).unionByName(left)
-        return changes.join(rooms, "RoomID", "left_semi").groupBy("RoomID").agg(F.sum("Residents").alias("Residents"))
+        return changes.join(_shuffled(rooms), "RoomID", "left_semi").groupBy("RoomID").agg(F.sum("Residents").alias("Residents"))
 
     def beds_in(self, rooms: DataFrame) -> DataFrame:
         """(RoomID, BedSlotID, BedNumber, Open) of the given RoomID rows: open beds are unreserved and held by nobody."""
@@ -97,7 +102,7 @@ class _State:
             .groupBy("BedSlotID")
             .agg(F.sum("Change").alias("Change"))
         )
-        beds = self.beds.join(rooms, "RoomID", "left_semi").join(changes, "BedSlotID", "left")
+        beds = self.beds.join(_shuffled(rooms), "RoomID", "left_semi").join(_shuffled(changes), "BedSlotID", "left")
         holders = F.col("Holders") + F.coalesce("Change", F.lit(0))
         return beds.select("RoomID", "BedSlotID", "BedNumber", ((holders == 0) & ~F.col("IsReserved")).alias("Open"))
 
@@ -116,23 +121,24 @@ class _State:
             F.col("MoveDate").alias("CheckInDate"), "ContractDuration",
         )
         here = places.withColumnRenamed("FromRoomID", "RoomID")
-        found = self.stays.unionByName(arrived).join(here, ["StudentID", "RoomID"], "left_semi")
+        found = self.stays.unionByName(arrived).join(_shuffled(here), ["StudentID", "RoomID"], "left_semi")
         seated = self.seated.rows().select("AssignmentID", F.col("BedSlotID").alias("__bed"))
-        now = found.join(moved.select(F.col("OldAssignmentID").alias("AssignmentID")), "AssignmentID", "left_anti")
-        return now.join(seated, "AssignmentID", "left").withColumn("BedSlotID", F.coalesce("BedSlotID", "__bed")).drop("__bed")
+        left = moved.select(F.col("OldAssignmentID").alias("AssignmentID"))
+        now = found.join(_shuffled(left), "AssignmentID", "left_anti")
+        return now.join(_shuffled(seated), "AssignmentID", "left").withColumn("BedSlotID", F.coalesce("BedSlotID", "__bed")).drop("__bed")
 
     def seat(self, rooms: DataFrame, number: int) -> None:
         """Hand open beds of the given RoomID rows to stays without one, oldest check-in first."""
         moved = self.moved.rows().select(F.col("OldAssignmentID").alias("AssignmentID"))
         waiting = (
-            self.waiting.join(rooms, "RoomID", "left_semi")
-            .join(self.seated.rows(), "AssignmentID", "left_anti")
-            .join(moved, "AssignmentID", "left_anti")
+            self.waiting.join(_shuffled(rooms), "RoomID", "left_semi")
+            .join(_shuffled(self.seated.rows()), "AssignmentID", "left_anti")
+            .join(_shuffled(moved), "AssignmentID", "left_anti")
         )
         cells = [Cell(F.col("CheckInDate")), Cell(id_block("AssignmentID"))]
         order = [F.asc("CheckInDate"), F.asc("AssignmentID")]
         queue = row_rank(waiting, ["RoomID"], order, cells, known_rows=self.known_stays)
-        given = queue.join(self.open_beds(rooms), ["RoomID", "rn"])
+        given = queue.join(_shuffled(self.open_beds(rooms)), ["RoomID", "rn"])
         self.seated.append(given.select("AssignmentID", "RoomID", F.col("__bed").alias("BedSlotID")), number)
 
 
@@ -142,16 +148,16 @@ def _first_state(t: Tables, pending: DataFrame, touched: DataFrame) -> _State:
         "AssignmentID", "StudentID", "RoomID", "BedSlotID", "CheckInDate", "ContractDuration"
     )
     holders = held.filter(F.col("BedSlotID").isNotNull()).groupBy("BedSlotID").agg(F.count(F.lit(1)).alias("Holders"))
-    inside = held.join(touched, "RoomID", "left_semi")
+    inside = held.join(_shuffled(touched), "RoomID", "left_semi")
     beds = cut_lineage(
-        t.bed_slot.join(touched, "RoomID", "left_semi")
-        .join(holders, "BedSlotID", "left")
+        t.bed_slot.join(_shuffled(touched), "RoomID", "left_semi")
+        .join(_shuffled(holders), "BedSlotID", "left")
         .select("BedSlotID", "RoomID", "BedNumber", "IsReserved", F.coalesce("Holders", F.lit(0).cast("bigint")).alias("Holders"))
     )
     places = pending.select("StudentID", F.col("FromRoomID").alias("RoomID"))
-    stays = cut_lineage(held.join(places, ["StudentID", "RoomID"], "left_semi").select(*held.columns))
+    stays = cut_lineage(held.join(_shuffled(places), ["StudentID", "RoomID"], "left_semi").select(*held.columns))
     residents = cut_lineage(inside.groupBy("RoomID").agg(F.count(F.lit(1)).alias("Residents")))
-    without = inside.filter(F.col("BedSlotID").isNull()).join(beds, "RoomID", "left_semi")
+    without = inside.filter(F.col("BedSlotID").isNull()).join(_shuffled(beds), "RoomID", "left_semi")
     waiting = cut_lineage(without.select("RoomID", "AssignmentID", "CheckInDate"))
     state = _State(
         residents, beds, stays, waiting, Journal(spark, "moved", MOVED), Journal(spark, "seated", SEATED),
@@ -167,9 +173,9 @@ def _judged(front: DataFrame, state: _State, known_rows: int) -> DataFrame:
     rooms = front.select(F.col("ToRoomID").alias("RoomID")).distinct()
     sources = state.stays_of(places).groupBy("StudentID", F.col("RoomID").alias("FromRoomID")).agg(F.count(F.lit(1)).alias("Sources"))
     beds = state.beds_in(rooms).groupBy("RoomID").agg(F.count(F.lit(1)).alias("TotalBeds"), F.count_if("Open").alias("FreeBeds"))
-    counted = state.residents_in(rooms).join(beds, "RoomID", "full").withColumnRenamed("RoomID", "ToRoomID")
-    wide = spread_join(front, sources, ["StudentID", "FromRoomID"], known_rows=known_rows)
-    wide = spread_join(wide, counted, ["ToRoomID"], hot_in=front, known_rows=known_rows)
+    counted = state.residents_in(rooms).join(_shuffled(beds), "RoomID", "full").withColumnRenamed("RoomID", "ToRoomID")
+    wide = spread_join(front, sources, ["StudentID", "FromRoomID"], known_rows=known_rows, shuffled=True)
+    wide = spread_join(wide, counted, ["ToRoomID"], hot_in=front, known_rows=known_rows, shuffled=True)
     wide = wide.fillna(0, ["Residents", "TotalBeds", "FreeBeds"])
     reason = rules.first_broken(
         ("no_active_source", F.col("Sources").isNull()),
@@ -199,7 +205,7 @@ def _with_sources(eligible: DataFrame, state: _State, known_rows: int) -> DataFr
     cells = [Cell(F.col("SourceCheckIn"), True), Cell(id_block("OldAssignmentID"), True)]
     latest = row_rank(stays, place, order, cells, known_rows=state.known_stays)
     asked = row_rank(eligible, place, _order(), _cells(), known_rows=known_rows)
-    return asked.join(latest, [*place, "rn"]).drop("rn")
+    return asked.join(_shuffled(latest), [*place, "rn"]).drop("rn")
 
 
 def _admitted(eligible: DataFrame, state: _State, base: Column, known_rows: int) -> DataFrame:
@@ -210,7 +216,7 @@ def _admitted(eligible: DataFrame, state: _State, base: Column, known_rows: int)
     ranked = row_rank(first, ["ToRoomID"], _order(), _cells(), known_rows=known_rows).filter(F.col("rn") <= room_for)
     rooms = eligible.select(F.col("ToRoomID").alias("RoomID")).distinct()
     beds = state.open_beds(rooms).withColumnRenamed("RoomID", "ToRoomID")
-    return ranked.join(beds, ["ToRoomID", "rn"], "left").select(
+    return ranked.join(_shuffled(beds), ["ToRoomID", "rn"], "left").select(
         "TransferID", "StudentID", "FromRoomID", "ToRoomID", "OldAssignmentID", "OldBedSlotID",
         (base + 1 + F.col("TransferID")).alias("NewAssignmentID"),
         F.col("__bed").alias("BedSlotID"),
@@ -226,9 +232,10 @@ def _next_frontier(waiting: DataFrame, moved: DataFrame, eligible: DataFrame, fr
     place = ["StudentID", "FromRoomID"]
     left = moved.select(F.col("FromRoomID").alias("ToRoomID")).unionByName(freed.select(F.col("RoomID").alias("ToRoomID")))
     came = moved.select("StudentID", F.col("ToRoomID").alias("FromRoomID"))
-    without_place = eligible.join(moved, "TransferID", "left_anti").select(*place)
+    without_place = eligible.join(_shuffled(moved), "TransferID", "left_anti").select(*place)
     changed = came.unionByName(without_place).distinct().withColumn("__source", F.lit(True))
-    near = waiting.join(left.distinct().withColumn("__room", F.lit(True)), "ToRoomID", "left").join(changed, place, "left")
+    near = waiting.join(_shuffled(left.distinct().withColumn("__room", F.lit(True))), "ToRoomID", "left")
+    near = near.join(_shuffled(changed), place, "left")
     return near.filter(F.col("__room") | F.col("__source")).select(*waiting.columns)
 
 
@@ -242,7 +249,7 @@ def complete_transfers(t: Tables, transfer_ids: DataFrame, at: Moment) -> Moves:
     """
     genders = t.student.select("StudentID", "Gender")
     asked = t.room_transfer.filter(F.col("Status").isin("Pending", "Approved")).join(
-        transfer_ids, "TransferID", "left_semi"
+        _shuffled(transfer_ids), "TransferID", "left_semi"
     )
     rooms = rules.room_frame(t).select(
         F.col("RoomID").alias("ToRoomID"), "RoomStatus", "BuildingStatus", "GenderAllowed", "Capacity", "MonthlyRent", "DepositAmount"
@@ -255,7 +262,9 @@ def complete_transfers(t: Tables, transfer_ids: DataFrame, at: Moment) -> Moves:
         ("gender_not_admitted", ~admitted),
     )
     pending = cut_lineage(
-        spread_join(asked.join(genders, "StudentID"), rooms, ["ToRoomID"], hot_in=t.room_transfer).select(
+        spread_join(
+            asked.join(_shuffled(genders), "StudentID"), rooms, ["ToRoomID"], hot_in=t.room_transfer, shuffled=True
+        ).select(
             "TransferID", "StudentID", "FromRoomID", "ToRoomID",
             F.coalesce("EffectiveMoveDate", at.date).alias("WantedDate"),
             F.coalesce("ApprovalDate", F.lit("0001-01-01").cast("date")).alias("__approved"),
@@ -278,13 +287,15 @@ def complete_transfers(t: Tables, transfer_ids: DataFrame, at: Moment) -> Moves:
         moved = state.moved.append(_admitted(eligible, state, base, known_rows), number)
         if moved.isEmpty():
             break
-        freed = state.beds.join(moved.select(F.col("OldBedSlotID").alias("BedSlotID")), "BedSlotID", "left_semi")
+        freed = state.beds.join(
+            _shuffled(moved.select(F.col("OldBedSlotID").alias("BedSlotID"))), "BedSlotID", "left_semi"
+        )
         freed = freed.select("RoomID").distinct()
         state.seat(freed, number)
-        waiting = possible.join(state.moved.rows(), "TransferID", "left_anti")
+        waiting = possible.join(_shuffled(state.moved.rows()), "TransferID", "left_anti")
         front = cut_lineage(_next_frontier(waiting, moved, eligible, freed))
 
-    left = pending.join(state.moved.rows(), "TransferID", "left_anti")
+    left = pending.join(_shuffled(state.moved.rows()), "TransferID", "left_anti")
     refused = _judged(left, state, pending.count()).select("TransferID", "StudentID", "FromRoomID", "ToRoomID", "Reason")
     return Moves(state.moved.rows(), refused, tuple(judged))
 

@@ -387,3 +387,13 @@ def test_later_rounds_judge_only_what_has_changed(spark, small):
     assert {r.TransferID: r.Round for r in found.done.collect()} == {4: 1, 3: 2, 2: 3, 1: 4, 0: 5}
     assert {r.Reason for r in found.refused.collect()} == {"room_full"}
     assert found.judged == (105, 1, 1, 1, 1)
+
+
+def test_moves_send_no_growing_side_to_the_driver(housed, capsys):
+    """Each round joins by shuffles, however small its tables are."""
+    found = moves.complete_due(roomier(housed), AT)
+    assert found.done.count()
+    found.refused.explain()
+    plan = capsys.readouterr().out
+    assert "SortMergeJoin" in plan
+    assert "BroadcastHashJoin" not in plan
