@@ -315,3 +315,19 @@ def test_one_students_notifications_are_in_order(small):
     own = queues.notifications_of(small, NOW, student).collect()
     assert len(own) == every.filter(every.StudentID == student).count() > 1
     assert own == sorted(own, key=lambda r: (r.PublishDate, r.NotificationID), reverse=True)
+
+
+def test_typed_rows_give_the_notices_of_their_text(small, capsys):
+    """Null, missing and changed fields alike; no text is made of whole rows."""
+    from hallkeeper.plans.registry import AT
+    from hallkeeper.plans.sample_changes import sample_changes, sample_rows
+
+    typed, text = sample_rows(small, AT), sample_changes(small, AT)
+    found = changes.notifications_for(typed, small)
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert rows(found) == rows(changes.notifications_for(text, small))
+    found.explain()
+    assert "map(" not in capsys.readouterr().out
+    for name in ("penalty", "complaint", "blacklist"):
+        gone = changes.snapshot_rows(name, small[name], small[name].filter("false"))
+        assert changes.matched_notices({name: gone}).isEmpty()
