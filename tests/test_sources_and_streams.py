@@ -16,7 +16,7 @@ from hallkeeper.operators import browse, changes, checks, queues, repairs, snaps
 from hallkeeper.operators.repairs import Moment
 from hallkeeper.plans import reconcile
 from hallkeeper.plans.registry import queries
-from hallkeeper.plans.sample_changes import sample_changes
+from hallkeeper.plans.sample_changes import sample_changes, sample_rows
 from hallkeeper.schemas import FOREIGN_KEYS, KEYS, MODULES
 from hallkeeper.session import cut_lineage, shared_folder
 from hallkeeper.sources import store
@@ -132,6 +132,16 @@ def test_notice_stream_runs_in_small_batches_and_resumes(spark, small, folder):
     assert run() == want
 
 
+def test_streamed_typed_rows_give_the_notices_of_a_batch(spark, small, folder):
+    given = {name: df for name, df in sample_rows(small, AT).items() if name in ("penalty", "blacklist", "maintenance_log")}
+    root = str(folder)
+    notices.write_changes(given, f"{root}/changes")
+    streams = notices.read_rows(spark, given, f"{root}/changes")
+    notices.start_notices(streams, small, f"{root}/out", f"{root}/progress").awaitTermination()
+    rows = lambda df: sorted(map(str, df.collect()))
+    assert rows(spark.read.parquet(f"{root}/out")) == rows(changes.notifications_for(given, small))
+
+
 def test_triggers():
     assert reconcile.pipelines_for({"room"}) == ("housing",)
     assert reconcile.pipelines_for({"invoice", "bed_slot"}) == ("housing", "operational")
