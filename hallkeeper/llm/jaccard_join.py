@@ -14,8 +14,10 @@ reach H + 1 is joined through an exact prefix of its shingles instead.
 Signatures travel packed: a task sorts those of a few thousand documents by bucket and sends one row per bucket.
 Groups of equal signatures are not expanded into pairs. In a few turns every member is compared with
 the leaders it shares most groups with, other ones each turn. What isn't connected then is compared member by member inside tasks, a large group
-in cells of CELL members each way, and only pairs that may be similar leave the task: a parity bitmap, whose bits
-differ in at most as many places as the sets do, rejects the others. The rest is verified exactly.
+in cells of CELL members each way: a parity bitmap, whose bits differ in at most as many places as the sets do, rejects
+most pairs. The others aren't given out one by one, as near copies make a square of them, but as the edges of a forest
+that connects the members that may be similar. The trees of all forests together are neighbourhoods no link leads out
+of; the whole sets of each are compared in cells once more, exactly, and a forest of links is what is left.
 """
 
 from __future__ import annotations
@@ -52,6 +54,12 @@ LEADERS = 20
 CELL = 2048
 """Members on each side of a cell, on average."""
 
+CELL_SHINGLES = 500_000
+"""Shingles of whole sets on each side of a cell, on average."""
+
+FINE = 8
+"""Bits per shingle of the bitmaps made of whole sets."""
+
 SPREAD = 5
 """Standard deviations by which the smallest sets of a band are to exceed the weight they need."""
 
@@ -355,16 +363,19 @@ def _close_parity(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield batch.select(["a", "b"]).filter(pa.array(keep))
 
 
+def _similar(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sorted sets have a similarity of 0.75 or more."""
+    if len(x) > len(y):
+        x, y = y, x
+    inter = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+    return 100 * inter >= 75 * (len(x) + len(y) - inter)
+
+
 def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         keep = np.zeros(batch.num_rows, bool)
         for i, (x, y) in enumerate(zip(batch.column("sa"), batch.column("sb"), strict=True)):
-            x = np.frombuffer(x.as_buffer(), np.uint64)
-            y = np.frombuffer(y.as_buffer(), np.uint64)
-            if len(x) > len(y):
-                x, y = y, x
-            inter = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
-            keep[i] = 100 * inter >= 75 * (len(x) + len(y) - inter)
+            keep[i] = _similar(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64))
         yield batch.select(["a", "b"]).filter(pa.array(keep))
 
 
@@ -464,83 +475,180 @@ def _folded(bits: np.ndarray, width: int) -> np.ndarray:
     return bits
 
 
-def _close_in_group(g: dict[str, np.ndarray], data: np.ndarray) -> Iterator[np.ndarray]:
-    """Pairs (a, b) of one cell's members that ask and that are met, unless connected or certain to be unlike."""
-    bits = {}
-    for length in np.unique(g["length"]):
-        at = np.flatnonzero(g["length"] == length)
-        bits[int(length)] = at, data[g["offset"][at][:, None] + np.arange(length)].view(np.uint64)
-    for at_a, all_a in bits.values():
+class _Forest:
+    """Which rows of a cell are connected, starting from their roots."""
+
+    def __init__(self, root: np.ndarray):
+        self.label = np.unique(root, return_inverse=True)[1]
+        self.up = list(range(int(self.label.max()) + 1))
+
+    def find(self, x: int) -> int:
+        while self.up[x] != x:
+            self.up[x] = self.up[self.up[x]]
+            x = self.up[x]
+        return x
+
+    def join(self, i: np.ndarray, j: np.ndarray, linked=None) -> list[tuple[int, int]]:
+        """The pairs of rows (i, j), if ``linked``, that connect what was apart; labels are brought up to date."""
+        x, y = self.label[i], self.label[j]
+        if linked is None and len(i) > 1:
+            # Pairs of the same two labels are worth one edge.
+            at = np.unique(np.minimum(x, y).astype(np.int64) * len(self.up) + np.maximum(x, y), return_index=True)[1]
+            i, j, x, y = i[at], j[at], x[at], y[at]
+        edges = []
+        for a, b, p, q in zip(i.tolist(), j.tolist(), x.tolist(), y.tolist(), strict=True):
+            p, q = self.find(p), self.find(q)
+            if p != q and (linked is None or linked(a, b)):
+                self.up[max(p, q)] = min(p, q)
+                edges.append((a, b))
+        if edges:
+            self.label = np.array([self.find(x) for x in range(len(self.up))])[self.label]
+        return edges
+
+
+def _forest_of_group(g: dict[str, np.ndarray], linked=None) -> list[tuple[int, int]]:
+    """Edges (row, row) of a forest over one cell's members that ask and that are met, unlike roots only.
+
+    ``g["bits"]`` holds, per length, the rows and their parity bitmaps. Pairs certain to be unlike make no edge; the
+    others make one if ``linked``. Rows that ask go by blocks, small ones first, as what is connected needs no look.
+    """
+    forest, edges = _Forest(g["root"]), []
+    for at_a, all_a in g["bits"]:
         asks = g["asks"][at_a]
         at_a, all_a = at_a[asks], all_a[asks]
-        for at_b, all_b in bits.values():
+        for at_b, all_b in g["bits"]:
             met = g["met"][at_b]
             at_b, bits_b = at_b[met], all_b[met]
+            if not len(at_a) or not len(at_b):
+                continue
             width = min(all_a.shape[1], bits_b.shape[1])
             bits_a, bits_b = _folded(all_a, width), _folded(bits_b, width)
-            step = max(1, 2_000_000 // max(1, len(at_b) * width))
-            for s in range(0, len(at_a), step):
+            most = max(1, 2_000_000 // (len(at_b) * width))
+            s, step = 0, min(most, max(1, 16_384 // len(at_b)))
+            while s < len(at_a):
                 x, y = at_a[s : s + step][:, None], at_b[None, :]
                 n, m = g["n"][x], g["n"][y]
-                use = (g["root"][x] != g["root"][y]) & ~(g["deleted"][x] & g["deleted"][y])
+                use = (forest.label[x] != forest.label[y]) & ~(g["deleted"][x] & g["deleted"][y])
                 use &= 4 * np.minimum(n, m) >= 3 * np.maximum(n, m)
                 i, j = np.nonzero(use)
-                unlike = np.bitwise_count(bits_a[s + i] ^ bits_b[j]).sum(axis=1, dtype=np.int64)
-                near = unlike * 7 <= g["n"][at_a[s + i]] + g["n"][at_b[j]]
-                one, two = g["id"][at_a[s + i[near]]], g["id"][at_b[j[near]]]
-                yield np.stack([np.minimum(one, two), np.maximum(one, two)], axis=1)
-
-
-def _close_in_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Close pairs of rows sorted by cell; a cell may run over batches."""
+                if len(i):
+                    unlike = np.bitwise_count(bits_a[s + i] ^ bits_b[j]).sum(axis=1, dtype=np.int64)
+                    i, j = at_a[s + i], at_b[j]
+                    near = unlike * 7 <= g["n"][i] + g["n"][j]
+                    if near.any():
+                        edges += forest.join(i[near], j[near], linked)
+                s += step
+                step = min(most, 2 * step)
+    return edges
+
+
+def _cell_cuts(rows: pa.Table) -> np.ndarray:
+    new = np.zeros(len(rows) + 1, bool)
+    new[[0, -1]] = True
+    for c in ("sig", "i", "j"):
+        v = rows.column(c).to_numpy()
+        new[1:-1] |= v[1:] != v[:-1]
+    return np.flatnonzero(new)
+
+
+def _whole_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Rows sorted by cell with the cells' bounds; a cell may run over batches."""
     kept: pa.Table | None = None
-
-    def closed(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        rows = rows.combine_chunks()
-        column = lambda c: rows.column(c).to_numpy(zero_copy_only=False)
-        parity = rows.column("parity").combine_chunks()
-        parity = parity.chunk(0) if isinstance(parity, pa.ChunkedArray) else parity
-        offsets = np.frombuffer(parity.buffers()[1], np.int32)[parity.offset : parity.offset + len(parity) + 1].astype(np.int64)
-        data = np.frombuffer(parity.buffers()[2], np.uint8)
-        all_rows = {"id": column("class_id"), "root": column("root"), "n": column("n_shingles"), "deleted": column("deleted"),
-                    "asks": column("asks"), "met": column("met"), "offset": offsets[:-1], "length": np.diff(offsets)}
-        cuts = _cuts(rows)
-        found, n = [], 0
-        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            for pairs in _close_in_group({k: v[a:b] for k, v in all_rows.items()}, data) if b - a > 1 else ():
-                found.append(pairs)
-                n += len(pairs)
-            if found and (n > 200_000 or b == len(rows)):
-                pairs = np.unique(np.concatenate(found), axis=0)
-                yield pa.record_batch({"a": pairs[:, 0], "b": pairs[:, 1]})
-                found, n = [], 0
-        if found:
-            pairs = np.unique(np.concatenate(found), axis=0)
-            yield pa.record_batch({"a": pairs[:, 0], "b": pairs[:, 1]})
-
-    def _cuts(rows: pa.Table) -> np.ndarray:
-        new = np.zeros(len(rows) + 1, bool)
-        new[[0, -1]] = True
-        for c in ("sig", "i", "j"):
-            v = rows.column(c).to_numpy()
-            new[1:-1] |= v[1:] != v[:-1]
-        return np.flatnonzero(new)
-
     for batch in batches:
         if not batch.num_rows:
             continue
         table = pa.Table.from_batches([batch])
         kept = table if kept is None else pa.concat_tables([kept, table])
-        last = int(_cuts(kept)[-2])
-        if last:
-            yield from closed(kept.slice(0, last))
-            kept = kept.slice(last)
+        cuts = _cell_cuts(kept)
+        if len(cuts) > 2:
+            yield kept.slice(0, int(cuts[-2])).combine_chunks(), cuts[:-1]
+            kept = kept.slice(int(cuts[-2]))
     if kept is not None:
-        yield from closed(kept)
+        yield kept.combine_chunks(), _cell_cuts(kept)
+
+
+def _bytes_of(rows: pa.Table, name: str) -> tuple[np.ndarray, np.ndarray]:
+    """A binary column's bytes, and where each row's begin and the last one's end."""
+    column = rows.column(name).combine_chunks()
+    column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    return np.frombuffer(column.buffers()[2], np.uint8), offsets
+
+
+def _edges(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    a, b = (np.concatenate(x) for x in zip(*found, strict=True))
+    pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+    return pa.record_batch({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+
+def _close_in_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (a, b) between roots: per cell a forest over the members that may be similar to one met."""
+    for rows, cuts in _whole_cells(batches):
+        data, offsets = _bytes_of(rows, "parity")
+        length = np.diff(offsets)
+        column = lambda c: rows.column(c).to_numpy()  # noqa: E731, B023
+        all_rows = {"root": column("root"), "n": column("n_shingles"), "deleted": column("deleted"),
+                    "asks": column("asks"), "met": column("met")}
+        found = []
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            if b - a < 2:
+                continue
+            g = {k: v[a:b] for k, v in all_rows.items()}
+            g["bits"] = []
+            for size in np.unique(length[a:b]).tolist():
+                at = np.flatnonzero(length[a:b] == size)
+                g["bits"].append((at, data[offsets[a + at][:, None] + np.arange(size)].view(np.uint64)))
+            if edges := _forest_of_group(g):
+                x, y = np.array(edges).T
+                found.append((g["root"][x], g["root"][y]))
+        if found:
+            yield _edges(found)
+
 
+def _fine_bits(value: np.ndarray, bounds: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Per length, the sets and their parity bitmaps of at least FINE bits per shingle."""
+    size = np.diff(bounds)
+    bits = np.maximum(64, 1 << np.ceil(np.log2(FINE * np.maximum(size, 1))).astype(np.int64))
+    out = []
+    for length in np.unique(bits).tolist():
+        at = np.flatnonzero(bits == length)
+        owner = np.repeat(np.arange(len(at)), size[at])
+        mine = np.repeat(bits == length, size)
+        places = owner * length + (value[mine] & _U(length - 1)).astype(np.int64)
+        odd = (np.bincount(places, minlength=len(at) * length) & 1).astype(bool)
+        out.append((at, np.packbits(odd).view(np.uint64).reshape(len(at), -1)))
+    return out
+
+
+def _linked_in_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links (a, b) between classes of a similarity of 0.75 or more: per cell a forest that connects what they do."""
+    for rows, cuts in _whole_cells(batches):
+        data, offsets = _bytes_of(rows, "shingles")
+        column = lambda c: rows.column(c).to_numpy()  # noqa: E731, B023
+        all_rows = {"id": column("class_id"), "root": column("root"), "asks": column("asks"), "met": column("met")}
+        found = []
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            if b - a < 2:
+                continue
+            g = {k: v[a:b] for k, v in all_rows.items()}
+            value = data[offsets[a] : offsets[b]].view(np.uint64)
+            bounds = (offsets[a : b + 1] - offsets[a]) // 8
+            g["n"] = np.diff(bounds)
+            g["deleted"] = np.zeros(b - a, bool)
+            g["bits"] = _fine_bits(value, bounds)
+
+            def linked(i: int, j: int, value=value, bounds=bounds) -> bool:
+                return _similar(value[bounds[i] : bounds[i + 1]], value[bounds[j] : bounds[j + 1]])
+
+            if edges := _forest_of_group(g, linked):
+                x, y = np.array(edges).T
+                found.append((g["id"][x], g["id"][y]))
+        if found:
+            yield _edges(found)
 
-def _close_pairs(members: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of members of one signature that aren't connected and whose parity bitmaps are close.
+
+def _close_roots(members: DataFrame, classes: DataFrame) -> DataFrame:
+    """Edges (a, b) between roots that connect all whose members, of one signature, have close parity bitmaps.
 
     A signature of more than CELL members is dealt to a square of cells: a member asks in its row and is met in its
     column, so each task holds two parts of the group and none holds all of it.
@@ -557,7 +665,7 @@ def _close_pairs(members: DataFrame, classes: DataFrame) -> DataFrame:
         "array(named_struct('i', mine, 'j', o, 'asks', probes, 'met', false), "
         "named_struct('i', o, 'j', mine, 'asks', false, 'met', true)))))"
     )
-    dealt = placed.select("sig", "class_id", "root", "deleted", "n_shingles", "parity", F.inline(places))
+    dealt = placed.select("sig", "root", "deleted", "n_shingles", "parity", F.inline(places))
     return (
         dealt.filter("asks or met")
         .repartition("sig", "i", "j")
@@ -567,6 +675,54 @@ def _close_pairs(members: DataFrame, classes: DataFrame) -> DataFrame:
     )
 
 
+def _links_between(close: DataFrame, roots: DataFrame, texts: DataFrame, classes: DataFrame) -> DataFrame:
+    """Links (a, b) that connect all classes whose roots the edges ``close`` connect and that links connect.
+
+    Classes of a neighbourhood's largest root ask nothing, as any two roots are compared if one of them asks. Rows and
+    columns of cells are dealt as in ``_close_roots``, by the shingles that ask and that are met.
+    """
+    around = components(close).select(F.col("node").alias("root"), F.col("root").alias("sig"))
+    held = cut_lineage(
+        classes.select("class_id", "n_shingles", "row_key")
+        .join(roots.select(F.col("node").alias("class_id"), "root"), "class_id", "left")
+        .withColumn("root", F.coalesce("root", "class_id"))
+        .join(around, "root")
+    )
+    sizes = (
+        held.groupBy("sig", "root").agg(F.sum("n_shingles").alias("n"))
+        .groupBy("sig").agg(F.sum("n").alias("n"), F.max(F.struct("n", "root")).alias("most"))
+        .select("sig", F.col("most.root").alias("largest"), F.ceil((F.col("n") - F.col("most.n")) / CELL_SHINGLES).cast("int").alias("rows"),
+                F.ceil(F.col("n") / CELL_SHINGLES).cast("int").alias("columns"))
+    )
+    sets = cut_lineage(
+        texts.select("row_key", "text")
+        .join(held.select("row_key"), "row_key", "left_semi")
+        .select("text")
+        .mapInArrow(_whole_sets, "class_id long, shingles binary")
+        .dropDuplicates(["class_id"])
+    )
+    placed = (
+        held.join(sizes, "sig")
+        .withColumn("asking", F.col("root") != F.col("largest"))
+        .withColumn("i", F.pmod(F.xxhash64("class_id"), F.col("rows")).cast("int"))
+        .withColumn("j", F.pmod(F.xxhash64("class_id", F.lit(1)), F.col("columns")).cast("int"))
+    )
+    places = F.expr(
+        "flatten(array("
+        "transform(sequence(0, rows - 1), o -> named_struct('i', o, 'j', j, 'asks', asking and o = i, 'met', true)), "
+        "IF(asking, transform(filter(sequence(0, columns - 1), o -> o != j), "
+        "o -> named_struct('i', i, 'j', o, 'asks', true, 'met', false)), array())))"
+    )
+    return (
+        placed.select("sig", "class_id", "root", F.inline(places))
+        .join(sets, "class_id")
+        .repartition("sig", "i", "j")
+        .sortWithinPartitions("sig", "i", "j")
+        .mapInArrow(_linked_in_cells, "a long, b long")
+        .distinct()
+    )
+
+
 def jaccard_classes(docs: DataFrame) -> DataFrame:
     """One row per document: doc_id, row_key, n_shingles, class_id, component (smallest class id reachable by links).
 
@@ -626,9 +782,9 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     if links is None:
         return rows.select("doc_id", "row_key", "n_shingles", "class_id", _component(F.lit(None).cast("long")))
 
-    rest = _close_pairs(_apart(members, roots), classes)
-    more = verified(rest.join(tried, ["a", "b"], "left_anti"), texts, classes)
-    if not more.isEmpty():
+    close = cut_lineage(_close_roots(_apart(members, roots), classes))
+    if not close.isEmpty():
+        more = cut_lineage(_links_between(close, roots, texts, classes))
         roots = components(links.union(more))
     return rows.join(roots, rows.class_id == roots.node, "left").select(
         "doc_id", "row_key", "n_shingles", "class_id", _component(F.col("root"))

@@ -76,6 +76,43 @@ def test_components_with_small_cells_and_a_common_line(documents, monkeypatch):
     assert {(r.doc_id, r.component_id) for r in rows} == set(enumerate(expected))
 
 
+def test_close_members_leave_a_cell_as_a_forest():
+    """Members that are all close to each other give as many edges as connect them, not a square of pairs."""
+    import numpy as np
+    import pyarrow as pa
+
+    n = 60
+    parity = [np.zeros(4, np.uint64).tobytes()] * n + [np.full(4, 2**64 - 1, np.uint64).tobytes()]
+    ids = np.arange(n + 1)
+    rows = pa.record_batch(
+        {"sig": np.ones(n + 1, np.int64), "class_id": ids, "root": ids, "deleted": np.zeros(n + 1, bool), "n_shingles": np.full(n + 1, 200),
+         "parity": pa.array(parity, pa.binary()), "i": np.zeros(n + 1, np.int32), "j": np.zeros(n + 1, np.int32),
+         "asks": np.ones(n + 1, bool), "met": np.ones(n + 1, bool)}
+    )
+    edges = [(r["a"], r["b"]) for part in (0, 7) for b in jaccard_join._close_in_cells(iter([rows.slice(0, part), rows.slice(part)])) for r in b.to_pylist()]
+    assert len(edges) == 2 * (n - 1)
+    root = list(range(n + 1))
+    for a, b in edges:
+        root = [root[a] if r == root[b] else r for r in root]
+    assert len(set(root[:n])) == 1 and root[n] == n
+
+
+def test_components_with_neighbourhoods_in_many_cells(documents, monkeypatch):
+    """Texts close to their neighbours without a link, and chains of links, whose whole sets lie in many cells."""
+    monkeypatch.setattr(jaccard_join, "CELL_SHINGLES", 300)
+    monkeypatch.setattr(jaccard_join, "LEADERS", 1)
+    rnd = random.Random(12)
+    texts = []
+    for step in (9, 12, 13, 14, 15, 16, 18, 22):
+        words = [f"{step}w{rnd.randrange(10**6)}" for _ in range(600)]
+        texts += [" ".join(words[a : a + 100]) for a in range(0, 500, step)]
+    rnd.shuffle(texts)
+    expected = components([shingles(t) for t in texts])
+    rows = jaccard_join.near_duplicate_groups(documents(texts)).collect()
+    assert {(r.doc_id, r.component_id) for r in rows} == set(enumerate(expected))
+    assert 100 < len(set(expected)) < len(texts)
+
+
 def test_one_document_of_each_group_stays(documents):
     texts = near_texts(2)
     expected = components([shingles(t) for t in texts])
