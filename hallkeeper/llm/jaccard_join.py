@@ -444,12 +444,25 @@ def _ordered(pairs: DataFrame) -> DataFrame:
 
 
 def _apart(members: DataFrame, roots: DataFrame | None) -> DataFrame:
-    """Members of the signatures whose members aren't all connected yet, with their present roots."""
+    """Members of the signatures whose members aren't all connected yet, with their present roots.
+
+    Signatures of the same members, by a hash of them, are told by one of them; ``alike`` tells how many it stands for.
+    """
+    if "alike" not in members.columns:
+        members = members.withColumn("alike", F.lit(1).cast("long"))
     if roots is not None:
         members = members.drop("root").join(roots, members.class_id == roots.node, "left")
         members = members.withColumn("root", F.coalesce("root", "class_id")).drop("node")
-    open_sigs = members.groupBy("sig").agg(F.min("root").alias("x"), F.max("root").alias("y")).filter("x != y")
-    return cut_lineage(members.join(open_sigs.select("sig"), "sig", "left_semi"))
+    one = F.xxhash64("class_id", "deleted", "probes")
+    open_sigs = (
+        members.groupBy("sig")
+        .agg(F.min("root").alias("x"), F.max("root").alias("y"), F.min("class_id").alias("first"), F.count(F.lit(1)).alias("n"),
+             F.bit_xor(one).alias("all"), F.sum(one.bitwiseAND(0x7FFFFFFF)).alias("total"), F.first("alike").alias("alike"))
+        .filter("x != y")
+        .groupBy("first", "n", "all", "total")
+        .agg(F.min("sig").alias("sig"), F.sum("alike").alias("alike"))
+    )
+    return cut_lineage(members.drop("alike").join(open_sigs.select("sig", "alike"), "sig"))
 
 
 def _star_pairs(members: DataFrame, turn: int) -> DataFrame:
@@ -462,7 +475,7 @@ def _star_pairs(members: DataFrame, turn: int) -> DataFrame:
         .agg(F.min(F.struct(F.xxhash64("class_id", F.lit(turn)).alias("h"), "class_id", "root")).alias("lead"))
     )
     met = members.join(leads, "sig").filter("root != lead.root")
-    shared = met.groupBy("class_id", F.col("lead.class_id").alias("lead")).agg(F.count(F.lit(1)).alias("n"))
+    shared = met.groupBy("class_id", F.col("lead.class_id").alias("lead")).agg(F.sum("alike").alias("n"))
     best = Window.partitionBy("class_id").orderBy(F.desc("n"), "lead")
     ranked = shared.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= LEADERS)
     return _ordered(ranked.select(F.col("lead").alias("a"), F.col("class_id").alias("b")))
@@ -651,9 +664,13 @@ def _close_roots(members: DataFrame, classes: DataFrame) -> DataFrame:
     """Edges (a, b) between roots that connect all whose members, of one signature, have close parity bitmaps.
 
     A signature of more than CELL members is dealt to a square of cells: a member asks in its row and is met in its
-    column, so each task holds two parts of the group and none holds all of it.
+    column, so each task holds two parts of the group and none holds all of it. Where no member asks, nothing is met.
     """
-    cells = members.groupBy("sig").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("cells"))
+    cells = (
+        members.groupBy("sig")
+        .agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("cells"), F.max("probes").alias("asked"))
+        .filter("asked").drop("asked")
+    )
     placed = (
         members.join(classes.select("class_id", "n_shingles", "parity"), "class_id")
         .join(cells, "sig")

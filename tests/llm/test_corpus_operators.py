@@ -76,6 +76,17 @@ def test_components_with_small_cells_and_a_common_line(documents, monkeypatch):
     assert {(r.doc_id, r.component_id) for r in rows} == set(enumerate(expected))
 
 
+def test_signatures_of_the_same_members_are_told_by_one(spark):
+    """Two signatures with equal members give one group that counts for both; other members, flags or counts don't."""
+    rows = [(s, c, c, False, p) for s, c, p in [(1, 5, True), (1, 6, True), (2, 6, True), (2, 5, True), (3, 5, True), (3, 7, True),
+            (4, 5, True), (4, 6, False), (5, 5, True), (5, 5, True), (5, 7, True), (6, 5, True), (6, 6, True), (6, 6, True)]]
+    rows += [(s, c, 9, False, True) for s in (7, 8) for c in (9, 10)]  # connected
+    members = spark.createDataFrame(rows, "sig long, class_id long, root long, deleted boolean, probes boolean")
+    apart = jaccard_join._apart(members, None).collect()
+    assert {(r.sig, r.alike) for r in apart} == {(1, 2), (3, 1), (4, 1), (5, 1), (6, 1)}
+    assert sorted(r[0] for r in apart) == [1, 1, 3, 3, 4, 4, 5, 5, 5, 6, 6, 6]
+
+
 def test_close_members_leave_a_cell_as_a_forest():
     """Members that are all close to each other give as many edges as connect them, not a square of pairs."""
     import numpy as np
