@@ -192,7 +192,8 @@ def _pack(buckets: int):
     """One row per chunk and bucket: signatures with their document and flags.
 
     32 bits of a signature go with its bucket, which holds as many signatures at every size of the input; two that
-    agree by chance only make a pair that the verification rejects.
+    agree by chance only make a pair that the verification rejects. Of class ids 32 bits go along, as signatures share
+    fewer of them the more buckets there are; ``_members`` gives every class these bits may mean.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -233,7 +234,7 @@ def _pack(buckets: int):
                 rows["low"].append((sig[a:b] & _U(0xFFFFFFFF)).astype(np.uint32).tobytes())
                 rows["flags"].append(flags[a:b].tobytes())
                 rows["doc"].append(local.astype(np.uint16).tobytes())
-                rows["ids"].append(table_ids[used].tobytes())
+                rows["ids"].append((table_ids[used] & 0xFFFFFFFF).astype(np.uint32).tobytes())
             yield pa.record_batch(
                 {k: pa.array(v, pa.int64() if k == "bucket" else pa.binary()) for k, v in rows.items()}
             )
@@ -281,10 +282,11 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         again = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
         some = np.flatnonzero(again[np.minimum(np.searchsorted(again, key), len(again) - 1)] == key) if len(again) else np.zeros(0, np.int64)
         key, ids, flags = key[some], ids[some], flags[some]
-        order = np.lexsort((flags & 1, ids, key))
+        order = np.lexsort((flags, flags & 1, ids, key))
         key, ids, flags = key[order], ids[order], flags[order]
+        # Rows of one id with other flags may be another class with the same bits, so they stay.
         first = np.ones(len(key), bool)
-        first[1:] = (key[1:] != key[:-1]) | (ids[1:] != ids[:-1])
+        first[1:] = (key[1:] != key[:-1]) | (ids[1:] != ids[:-1]) | (flags[1:] != flags[:-1])
         return key[first], ids[first], flags[first]
 
     def measured(key, ids, flags):
@@ -341,10 +343,27 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _rows(key[s][u], ids[s][u], flags[s][u], size[s][u], lead[s][u])
 
 
-def _members(texts: DataFrame, total_shingles: int) -> DataFrame:
+def _groups_of_short_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def widened() -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = [np.frombuffer(x.as_buffer(), np.uint32).astype(np.int64).tobytes() for x in batch.column("ids")]
+            at = batch.schema.get_field_index("ids")
+            yield batch.set_column(at, "ids", pa.array(ids, pa.binary()))
+
+    return _groups(widened())
+
+
+def _members(texts: DataFrame, classes: DataFrame, total_shingles: int) -> DataFrame:
+    """Members of signatures with the columns of their class; a class may be given as a member of another's, too.
+
+    Such a member asks at most more often, as it takes slack, and the verification rejects what it meets.
+    """
     buckets = max(1, -(-total_shingles // BUCKET_SIGNATURES))
     packed = texts.select("text").mapInArrow(_pack(buckets), _PACKED)
-    return packed.repartitionById(buckets, F.col("bucket").cast("int")).mapInArrow(_groups, _MEMBERS)
+    grouped = packed.repartitionById(buckets, F.col("bucket").cast("int")).mapInArrow(_groups_of_short_ids, _MEMBERS)
+    return grouped.withColumnRenamed("class_id", "short").join(
+        classes.withColumn("short", F.expr("class_id & 4294967295L")), "short"
+    )
 
 
 def _close_parity(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -767,12 +786,11 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     total = classes.agg(F.sum("n_shingles")).first()[0] or 0
     # A set leaves out its most frequent signatures within its slack. With all of them inside the slack, it is
     # similar to nothing. A deletion left out counts as its segment's second weight.
-    own = Window.partitionBy("class_id", "upper")
+    own = Window.partitionBy("short", "class_id", "upper")  # rows lie by ``short`` since their join
     costly = own.orderBy(F.desc("k"), "sig", "deleted").rowsBetween(Window.unboundedPreceding, 0)
     spent = F.sum(F.when(F.col("deleted"), 1).otherwise(F.col("weight")))
     members = cut_lineage(
-        _members(texts, total)
-        .join(classes.select("class_id", "slack_own", "slack_upper"), "class_id")
+        _members(texts, classes.select("class_id", "slack_own", "slack_upper"), total)
         .withColumn("slack", F.when(F.col("upper"), F.col("slack_upper")).otherwise(F.col("slack_own")))
         .withColumn("spent", spent.over(costly))
         .withColumn("all", spent.over(own))

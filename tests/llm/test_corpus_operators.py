@@ -87,6 +87,18 @@ def test_signatures_of_the_same_members_are_told_by_one(spark):
     assert sorted(r[0] for r in apart) == [1, 1, 3, 3, 4, 4, 5, 5, 5, 6, 6, 6]
 
 
+def test_classes_of_the_same_short_id_are_all_members(spark, documents):
+    """Signatures carry 32 bits of a class id; each class these bits may mean is given as a member."""
+    texts = documents([t for t in near_texts(4) if t]).select("text")
+    sizes = texts.mapInArrow(jaccard_join._whole_sets, "class_id long, shingles binary").select("class_id").distinct()
+    twins = sizes.union(sizes.selectExpr("class_id ^ (1L << 40)"))
+    alone = jaccard_join._members(texts, sizes, 1000).select("sig", "class_id").distinct()
+    both = jaccard_join._members(texts, twins, 1000).select("sig", "class_id").distinct()
+    assert alone.count() > 100 and both.count() == 2 * alone.count()
+    packed = texts.mapInArrow(jaccard_join._pack(3), jaccard_join._PACKED).collect()
+    assert all(len(r.ids) == 4 * (max(r.doc[::2][i] + 256 * r.doc[1::2][i] for i in range(len(r.doc) // 2)) + 1) for r in packed)
+
+
 def test_close_members_leave_a_cell_as_a_forest():
     """Members that are all close to each other give as many edges as connect them, not a square of pairs."""
     import numpy as np
